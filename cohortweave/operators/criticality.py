@@ -66,7 +66,8 @@ def branching_mr(act: DataFrame, max_lag: int) -> DataFrame:
     w = Window.partitionBy("subject")
     c = act.withColumn("c", F.col("act") - F.avg("act").over(w)).withColumn("var", F.var_pop("act").over(w))
     o = w.orderBy("t")
-    lagged = c.select("subject", "c", "var", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lead("c", k).over(o).alias("d")) for k in range(1, max_lag + 1)])).alias("x"))
+    ahead = c.select("subject", "c", "var", F.array(*[F.struct(F.lit(k).alias("k"), F.lead("c", k).over(o).alias("d")) for k in range(1, max_lag + 1)]).alias("lags"))
+    lagged = ahead.select("subject", "c", "var", F.explode("lags").alias("x"))
     r = lagged.filter("x.d is not null").groupBy("subject", F.col("x.k").alias("k")).agg((F.avg(F.col("c") * F.col("x.d")) / F.max(F.nullif("var", F.lit(0.0)))).alias("r"))
     fit = r.filter("r > 0").groupBy("subject").agg(F.regr_slope(F.log("r"), F.col("k")).alias("slope"), F.regr_intercept(F.log("r"), F.col("k")).alias("start"), F.count(F.lit(1)).alias("lags"))
     return fit.filter("lags >= 3").select("subject", F.exp("slope").alias("m"), F.exp("start").alias("b"), "lags")

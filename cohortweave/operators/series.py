@@ -84,7 +84,7 @@ def autocorrelation(ts: DataFrame, max_lag: int) -> DataFrame:
     c = ts.withColumn("c", F.col("v") - F.avg("v").over(w)).withColumn("ss", F.sum(F.col("c") * F.col("c")).over(w))
     ordered = w.orderBy("t")
     lags = F.array(*[F.struct(F.lit(k).alias("lag"), F.lead("c", k).over(ordered).alias("d")) for k in range(1, max_lag + 1)])
-    rows = c.select("subject", "roi", "c", "ss", F.explode(lags).alias("x"))
+    rows = c.select("subject", "roi", "c", "ss", lags.alias("lags")).select("subject", "roi", "c", "ss", F.explode("lags").alias("x"))
     return rows.groupBy("subject", "roi", F.col("x.lag").alias("lag")).agg((F.sum(F.col("c") * F.col("x.d")) / F.max(F.nullif("ss", F.lit(0.0)))).alias("r"))
 
 
