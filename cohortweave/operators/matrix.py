@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cohortweave.functions.ranks import average_rank
 
-_SUBJECT = Window.partitionBy("subject")
+def _subject():  # noqa: ANN202
+    return Window.partitionBy("subject")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -41,9 +42,9 @@ def normalize(edges: DataFrame, how: str = "max") -> DataFrame:
     if how == "log":
         return edges.withColumn("w", F.log1p("w"))
     if how == "minmax":
-        lo, hi = F.min("w").over(_SUBJECT), F.max("w").over(_SUBJECT)
+        lo, hi = F.min("w").over(_subject()), F.max("w").over(_subject())
         return edges.withColumn("w", F.coalesce((F.col("w") - lo) / F.nullif(hi - lo, F.lit(0.0)), F.lit(0.0)))
-    top = F.max(F.abs("w")).over(_SUBJECT)
+    top = F.max(F.abs("w")).over(_subject())
     return edges.withColumn("w", F.coalesce(F.col("w") / F.nullif(top, F.lit(0.0)), F.lit(0.0)))
 
 
@@ -56,7 +57,7 @@ def normalize_rows(edges: DataFrame) -> DataFrame:
 def threshold_density(edges: DataFrame, density: float, nodes: int) -> DataFrame:
     """The strongest max(1, ceil(density * N (N - 1) / 2)) edges, and all that tie with the last; absent pairs count as 0."""
     keep = max(1, math.ceil(density * nodes * (nodes - 1) / 2))
-    rank = F.rank().over(_SUBJECT.orderBy(F.desc("w")))
+    rank = F.rank().over(_subject().orderBy(F.desc("w")))
     return edges.withColumn("_r", rank).filter(F.col("_r") <= keep).drop("_r")
 
 
@@ -91,7 +92,7 @@ def edge_statistics(edges: DataFrame) -> DataFrame:
 
 def top_edges(edges: DataFrame, k: int) -> DataFrame:
     """The ``k`` edges of largest absolute weight of each subject."""
-    return edges.withColumn("place", F.row_number().over(_SUBJECT.orderBy(F.desc(F.abs("w")), "i", "j"))).filter(F.col("place") <= k)
+    return edges.withColumn("place", F.row_number().over(_subject().orderBy(F.desc(F.abs("w")), "i", "j"))).filter(F.col("place") <= k)
 
 
 def similarity(edges: DataFrame, method: str = "pearson") -> DataFrame:
