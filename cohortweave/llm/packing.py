@@ -263,7 +263,8 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     first = F.broadcast(counts.select(F.col("cls").alias("c"), F.col("bucket").alias("b"), F.coalesce(before, F.lit(0)).alias("first")))
     rank = F.row_number().over(Window.partitionBy("cls", "bucket").orderBy("id", "start", "ids_crc32"))
     ranked = marked.withColumn("rank", rank - 1).join(first, (F.col("cls") == F.col("c")) & (F.col("bucket") == F.col("b")))
-    ranked = ranked.select(*cut.columns, "cls", (F.col("rank") + F.col("first")).cast("long").alias("rank"))
+    names = list(cut.columns)
+    ranked = ranked.select(*names, "cls", (F.col("rank") + F.col("first")).cast("long").alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -274,7 +275,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
                 start, places, bin_ = table[int(c)]
                 k = np.searchsorted(start, rank[at], "right") - 1
                 seq[at] = bin_[k] + (rank[at] - start[k]) // places[k]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cut.columns), pa.array(seq)], [*cut.columns, "sequence_id"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(seq)], [*names, "sequence_id"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
     placed = ranked.mapInArrow(place, f"{schema}, sequence_id long")
