@@ -24,6 +24,7 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 
 from cohortweave.llm._chunks import CHUNK, groups
 
-MAX_STATES = 120_000
+MAX_STATES = 150_000
 MAX_PAIRS = 400_000
-_CACHE = 200_000
+_CACHE = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -47,13 +48,26 @@ class Transducer:
 
     A state is the last final token and the bytes pending after it, with the size and
     the id of the last token of each prefix of these bytes (at 0 the final token) and
-    the positions at which a token that is not complete yet can have begun.
+    the positions at which a token that is not complete yet can have begun, with their
+    nodes in the tokens' trie.
     """
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES) -> None:
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.begins = {t[:k] for t in ranks for k in range(1, len(t))}  # beginnings of longer tokens
+        self.child: dict[int, int] = {}  # the tokens' trie: node * 256 + byte to node
+        self.ends_token, self.goes_on = [-1], [True]
+        for t, rank in ranks.items():
+            node = 0
+            for byte in t:
+                self.goes_on[node] = True
+                key = node << 8 | byte
+                node = self.child.get(key, -1)
+                if node < 0:
+                    node = self.child[key] = len(self.goes_on)
+                    self.ends_token.append(-1)
+                    self.goes_on.append(False)
+            self.ends_token[node] = rank
         self.max_states = max_states
         self.pairs: dict[int, bool] = {}
         self.single = [bytes((b,)) for b in range(256)]
@@ -62,12 +76,12 @@ class Transducer:
 
     def _reset(self) -> None:
         self.ids: dict[tuple[int, bytes], int] = {}
-        self.states: list[tuple[bytes, tuple[int, ...], tuple[int, ...], tuple[int, ...]]] = []
+        self.states: list[tuple[bytes, tuple[int, ...], tuple[int, ...], tuple[tuple[int, int], ...]]] = []
         self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
         self.ends: list[tuple[int, ...] | None] = []
         self._state(b"", (0,), (-1,), ())
 
-    def _state(self, pending: bytes, size: tuple[int, ...], token: tuple[int, ...], open_: tuple[int, ...]) -> int:
+    def _state(self, pending: bytes, size: tuple[int, ...], token: tuple[int, ...], open_: tuple[tuple[int, int], ...]) -> int:
         key = (token[0], pending)
         got = self.ids.get(key)
         if got is None:
@@ -131,12 +145,13 @@ class Transducer:
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         pending, size, token, open_ = self.states[state]
-        text = pending + self.single[byte]
-        n = len(text)
-        ranks, pairs, begins, still, hit = self.ranks, self.pairs, self.begins, [], -1
-        for j in (*open_, n - 1):
-            tail = text[j:]
-            if hit < 0 and (t := ranks.get(tail)) is not None:
+        n = len(pending) + 1
+        child, ends_token, pairs, still, hit = self.child, self.ends_token, self.pairs, [], -1
+        for j, node in (*open_, (n - 1, 0)):
+            node = child.get(node << 8 | byte)  # noqa: PLW2901
+            if node is None:
+                continue
+            if hit < 0 and (t := ends_token[node]) >= 0:
                 key = token[j] << 20 | t
                 fits = pairs.get(key)
                 if fits is None:
@@ -145,11 +160,12 @@ class Transducer:
                     fits = pairs[key] = self.compatible(token[j], t)
                 if fits:
                     hit, at = t, j
-            if tail in begins:
-                still.append(j)
+            if self.goes_on[node]:
+                still.append((j, node))
         size, token = (*size, n - at), (*token, hit)
         cut = n
-        for j in still:  # the last boundary that all continuations share
+        text = pending + self.single[byte]
+        for j, _ in still:  # the last boundary that all continuations share
             while cut != j:
                 if cut > j:
                     cut -= size[cut]
@@ -158,7 +174,7 @@ class Transducer:
             if not cut:
                 return self._state(text, size, token, tuple(still)), ()
         out = self._tokens(size, token, cut)
-        return self._state(text[cut:], (0, *size[cut + 1 :]), token[cut:], tuple([j - cut for j in still])), out
+        return self._state(text[cut:], (0, *size[cut + 1 :]), token[cut:], tuple([(j - cut, node) for j, node in still])), out
 
     @staticmethod
     def _tokens(size: tuple[int, ...], token: tuple[int, ...], to: int) -> tuple[int, ...]:
@@ -320,9 +336,7 @@ def encoded(df: DataFrame, ranks_path: str, text_col: str = "text", out_col: str
     """``df`` with an array column of token ids (null texts: empty)."""
 
     @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[object]) -> Iterator[object]:
-        import pandas as pd
-
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = _LOADED.get(ranks_path) or ByteBPE(ranks_path)
         _LOADED[ranks_path] = bpe
         for s in batches:

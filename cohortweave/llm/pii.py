@@ -22,6 +22,7 @@ import random
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -352,9 +353,7 @@ def redactor():  # noqa: ANN201
     weights = fitted()
 
     @F.pandas_udf("string")
-    def redact(batches: Iterator[object]) -> Iterator[object]:
-        import pandas as pd
-
+    def redact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([redacted(t, find_spans(t, weights)[1]) for t in texts], dtype=object)
 

@@ -30,6 +30,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -309,9 +310,7 @@ def signature(text: Column, words: int = 5, lanes: int = 8) -> Column:
     """A text column's wide signature (see :func:`wide_signature`), as binary."""
 
     @F.pandas_udf("binary")
-    def sign(batches: Iterator[object]) -> Iterator[object]:
-        import pandas as pd
-
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([wide_signature(t, words, lanes) for t in texts], dtype=object)
 

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -159,9 +160,7 @@ def scorer(model: FactorizationMachine):  # noqa: ANN201
     """A column function: text to score, over whole texts (null and empty ones too)."""
 
     @F.pandas_udf("double")
-    def toxicity(batches: Iterator[object]) -> Iterator[object]:
-        import pandas as pd
-
+    def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache: dict[str, tuple[int, ...]] = {}
         for texts in batches:
             yield pd.Series(model.score([term_ids(t, cache, model.slot) for t in texts]))
