@@ -221,8 +221,9 @@ def bit_tables(n: int, bits: int, similarity: float, recall: float = 0.97) -> np
 
 
 def radius_of(bits: int, similarity: float) -> int:
-    """Differing bits expected at that set similarity."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    """Differing bits expected at that set similarity, and a standard deviation more: pairs at it are mostly linked."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + math.sqrt(bits * share * (1 - share)))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Table]]:
@@ -321,8 +322,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``id, sig, keep``: one row per distinct (id, signature), ``keep`` on one of each near-duplicate class.
 
     Wide signatures of ``64 * lanes`` bits over the set of ``words``-word shingles;
-    texts whose signatures differ in no more bits than expected at ``similarity``
-    are linked.  The member with the smallest id is kept (null ids last, then by
+    texts whose signatures differ in no more bits than :func:`radius_of` gives for
+    ``similarity`` are linked.  The member with the smallest id is kept (null ids last, then by
     signature).  Null and empty texts are one class.
     """
     bits = 64 * lanes
