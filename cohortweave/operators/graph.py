@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortweave.session import cut
+
 
 def arcs(edges: DataFrame) -> DataFrame:
     """Both directions of each edge: ``g, i, j, w``."""
@@ -150,12 +152,12 @@ def decoupling_index(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def hop_lengths(edges: DataFrame, max_hops: int) -> DataFrame:
     """Shortest hop counts of ordered pairs, to ``max_hops``: each round joins the newest pairs with the arcs."""
-    a = arcs(edges).select("g", "i", "j").distinct()
+    a = cut(arcs(edges).select("g", "i", "j").distinct())
     known = a.withColumn("hops", F.lit(1))
     front = a
     for h in range(2, max_hops + 1):
         step = front.join(a.select("g", F.col("i").alias("j"), F.col("j").alias("k")), ["g", "j"]).select("g", "i", F.col("k").alias("j")).filter("i <> j").distinct()
-        front = step.join(known.select("g", "i", "j"), ["g", "i", "j"], "left_anti")
+        front = cut(step.join(known.select("g", "i", "j"), ["g", "i", "j"], "left_anti"))
         known = known.union(front.select("g", "i", "j", F.lit(h).alias("hops")))
     return known
 
@@ -165,11 +167,20 @@ def global_efficiency(edges: DataFrame, nodes: int, max_hops: int = 4) -> DataFr
     return hop_lengths(edges, max_hops).groupBy("g").agg((F.sum(1.0 / F.col("hops")) / (nodes * (nodes - 1))).alias("efficiency"))
 
 
-def components(edges: DataFrame, rounds: int) -> DataFrame:
-    """Smallest node reachable, by ``rounds`` rounds of least labels along the arcs and label jumps."""
-    a = arcs(edges).select("g", "i", "j").distinct()
+def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """Smallest node reachable from each node that has an edge.
+
+    Each round takes the least label among the neighbours, then the label's own label,
+    until nothing changes.
+    """
+    a = cut(arcs(edges).select("g", "i", "j").distinct())
     label = a.select("g", F.col("i").alias("node")).distinct().withColumn("c", F.col("node"))
-    for _ in range(rounds):
+    for _ in range(max_rounds):
         near = a.join(label.select("g", F.col("node").alias("j"), "c"), ["g", "j"]).groupBy("g", F.col("i").alias("node")).agg(F.min("c").alias("m"))
-        label = label.join(near, ["g", "node"], "left").select("g", "node", F.least("c", F.coalesce("m", "c")).alias("c"))
-    return label.withColumnRenamed("c", "component")
+        low = label.join(near, ["g", "node"]).select("g", "node", "c", F.least("c", "m").alias("m"))
+        jump = label.select("g", F.col("node").alias("m"), F.col("c").alias("further"))
+        new = cut(low.join(jump, ["g", "m"], "left").select("g", "node", F.col("c").alias("old"), F.least("m", "further").alias("c")))
+        label = new.select("g", "node", "c")
+        if new.filter("old <> c").isEmpty():
+            return label.withColumnRenamed("c", "component")
+    raise RuntimeError("components did not converge")

@@ -39,13 +39,15 @@ def query(sql: str | None = None, ctes: str = "", name: str = ""):  # noqa: ANN2
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All registered queries."""
-    from cohortweave.plans import kernels  # noqa: F401  registers its own
+    from cohortweave.plans import kernels, more  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """The SQL of those that have one."""
+    from cohortweave.plans import kernels, more  # noqa: F401  register their own
+
     return dict(_SQL)
 
 
@@ -395,7 +397,7 @@ query(
     "SELECT 0 AS g, node, min(c) AS component FROM reach GROUP BY node",
     TRADE + ", strong AS (SELECT i, j FROM trade WHERE n >= (SELECT quantile_cont(n, 0.95) FROM trade)), sa AS (SELECT i, j FROM strong UNION ALL SELECT j, i FROM strong), reach AS (SELECT i AS node, i AS c FROM sa UNION SELECT sa.j, reach.c FROM reach JOIN sa ON sa.i = reach.node)",
     "supra_threshold_components",
-)(lambda spark, d: gr.components(_strong(spark, d), 12))
+)(lambda spark, d: gr.components(_strong(spark, d)))
 
 
 def _strong(spark: SparkSession, d: str) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -34,3 +35,17 @@ def importable(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a reliable checkpoint in the folder that the session names.
+
+    Iterative operators need it: a plan that refers twice to the round before doubles every round.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cohortweave-"))
+    return df.checkpoint()

@@ -83,7 +83,7 @@ def test_p_adjustment(spark):
 
 def test_components_and_identity(spark):
     e = spark.createDataFrame([(0, 1, 2, 1.0), (0, 2, 3, 1.0), (0, 5, 6, 1.0)], "g int, i int, j int, w double")
-    assert {(r["node"], r["component"]) for r in gr.components(e, 3).collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)}
+    assert {(r["node"], r["component"]) for r in gr.components(e).collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)}
     fc = spark.createDataFrame([(s, i, j, float((s * 7 + i * 3 + j) % 5)) for s in range(3) for i in range(4) for j in range(i + 1, 4)], "subject int, i int, j int, w double")
     assert all(r["identified"] for r in mx.fingerprint(fc, fc).collect())
 
