@@ -59,19 +59,24 @@ def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), counts
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2e-3, max_columns: int = 4000) -> list[tuple[np.ndarray, float]]:
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2e-3, max_columns: int = 600) -> list[tuple[np.ndarray, float]]:
     """Patterns and their fractional use: the linear program's optimum, or within ``gap`` of it.
 
     Revised simplex on ``min sum(x)``, ``A x >= demand``; the first basis has one
-    pattern of each size alone.  Ends at Farley's bound, or at ``max_columns`` with
-    the best basis so far, which is feasible as well.
+    pattern of each size alone.  Ends at Farley's bound, after 60 columns
+    without a gain, or at ``max_columns``; the basis is feasible at any time.
     """
     m = len(sizes)
     basis = np.diag(np.maximum(1, capacity // sizes)).astype(float)
     cost = np.ones(m)
     inverse = np.linalg.inv(basis)
     x = inverse @ demand
+    best, since = np.inf, 0
     for step in range(max_columns):
+        now = float(cost @ x)
+        best, since = (now, 0) if now < best - 1e-5 * abs(now) else (best, since + 1)
+        if since > 60:  # degenerate: columns come and go without a gain
+            break
         if step % 64 == 63:
             inverse = np.linalg.inv(basis)
             x = inverse @ demand
