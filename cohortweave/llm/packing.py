@@ -32,6 +32,8 @@ SEQ_LEN = 2048
 STEP = 8
 BUCKETS = 256
 END_ID = 1
+#: Up to so many items the plan is held against plain first-fit.
+FEW = 5000
 _CACHE = 300_000
 
 
@@ -125,6 +127,16 @@ def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[dict[i
             plans.append((pattern, uses))
             for c, k in pattern.items():
                 left[c] -= k * uses
+    plans += first_fit(left, capacity)
+    if sum(histogram.values()) <= FEW:  # rounding costs most where patterns are used few times
+        whole = first_fit(histogram, capacity)
+        if len(whole) < sum(n for _, n in plans):
+            return whole
+    return plans
+
+
+def first_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Bins of ``{size: items}``, largest first, each item in the first bin with room."""
     bins: list[tuple[int, dict[int, int]]] = []
     for c in sorted(left, reverse=True):
         for _ in range(left[c]):
@@ -135,7 +147,7 @@ def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[dict[i
                     break
             else:
                 bins.append((capacity - c, {c: 1}))
-    return plans + [(held, 1) for _, held in bins]
+    return [(held, 1) for _, held in bins]
 
 
 def slots(plans: list[tuple[dict[int, int], int]]) -> tuple[dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], int]:
