@@ -211,10 +211,11 @@ def bit_tables(n: int, bits: int, similarity: float, recall: float = 0.97) -> np
 
     A set similarity s means an angle acos(2 s / (1 + s)) between the 0/1 shingle vectors of
     equally long texts, and so a share of equal bits; the number of tables follows
-    from it and the recall at that similarity.
+    from it and the recall at that similarity.  The positions grow with ``n``, so that
+    at any size a signature meets a sixteenth of an unrelated one in a table on average.
     """
     same = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
-    width = max(20, math.ceil(math.log2(max(n, 2))) + 2)
+    width = math.ceil(math.log2(max(n, 2))) + 4
     tables = math.ceil(math.log(1 - recall) / math.log1p(-(same**width)))
     rng = np.random.default_rng(20240517)
     return np.stack([rng.choice(bits, width, replace=False) for _ in range(tables)])
