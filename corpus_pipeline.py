@@ -14,7 +14,7 @@ the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortweave.llm import packing, pii, quality, simhash, toxicity
@@ -40,15 +40,15 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate class, once (repeated rows too)."""
-    from pyspark.sql import Window
-
-    kept = simhash.near_duplicates(docs).filter("keep")
-    kept = stored(kept.select(F.col("id").alias(f"{_OWN}_id"), F.col("sig").alias(f"{_OWN}_sig")), "kept")
-    own = docs.withColumn(_OWN, simhash.signature(F.col("text").cast("string")))
-    cond = F.col("doc_id").eqNullSafe(F.col(f"{_OWN}_id")) & (F.col(_OWN) == F.col(f"{_OWN}_sig"))
-    found = own.join(kept, cond, "left_semi")
-    once = F.row_number().over(Window.partitionBy("doc_id", _OWN).orderBy(F.lit(0)))
+    """The document with the smallest id of each near-duplicate class, once (repeated rows too).
+
+    A row is known by its id and its text's hash; null ids come after all others.
+    """
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text"))
+    keyed = docs.withColumn(_OWN, own)
+    kept = stored(simhash.near_duplicates(keyed, id_col=_OWN).filter("keep").select(F.col("id").alias(f"{_OWN}_id")), "kept")
+    found = keyed.join(kept, F.col(_OWN) == F.col(f"{_OWN}_id"), "left_semi")
+    once = F.row_number().over(Window.partitionBy(_OWN).orderBy(F.lit(0)))
     return found.withColumn(f"{_OWN}_n", once).filter(F.col(f"{_OWN}_n") == 1).select(_columns(docs))
 
 
