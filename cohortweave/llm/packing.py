@@ -61,6 +61,20 @@ def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), counts
 
 
+def inverted(a: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss-Jordan steps with row pivots; without BLAS, whose threads can wait for ever in a driver that started a JVM."""
+    m = len(a)
+    wide = np.hstack([a, np.eye(m)])
+    for k in range(m):
+        p = k + int(np.abs(wide[k:, k]).argmax())
+        wide[[k, p]] = wide[[p, k]]
+        wide[k] /= wide[k, k]
+        factor = wide[:, k].copy()
+        factor[k] = 0
+        wide -= factor[:, None] * wide[k]
+    return wide[:, m:].copy()
+
+
 def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2e-3, max_columns: int = 600) -> list[tuple[np.ndarray, float]]:
     """Patterns and their fractional use: the linear program's optimum, or within ``gap`` of it.
 
@@ -71,18 +85,18 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
     m = len(sizes)
     basis = np.diag(np.maximum(1, capacity // sizes)).astype(float)
     cost = np.ones(m)
-    inverse = np.linalg.inv(basis)
-    x = inverse @ demand
+    inverse = inverted(basis)
+    x = np.einsum("ij,j", inverse, demand)
     best, since = np.inf, 0
     for step in range(max_columns):
-        now = float(cost @ x)
+        now = float((cost * x).sum())
         best, since = (now, 0) if now < best - 1e-5 * abs(now) else (best, since + 1)
         if since > 60:  # degenerate: columns come and go without a gain
             break
         if step % 64 == 63:
-            inverse = np.linalg.inv(basis)
-            x = inverse @ demand
-        dual = cost @ inverse
+            inverse = inverted(basis)
+            x = np.einsum("ij,j", inverse, demand)
+        dual = np.einsum("i,ij", cost, inverse)
         worst = int(dual.argmin())
         if dual[worst] < -1e-9:
             column, price = np.zeros(m), 0.0
@@ -92,7 +106,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
             if value <= 1 + gap:
                 break
             column, price = counts.astype(float), 1.0
-        u = inverse @ column
+        u = np.einsum("ij,j", inverse, column)
         positive = u > 1e-9
         if not positive.any():
             break
