@@ -17,7 +17,8 @@ shards that can hold a partner:
   shards small and stays exact.
 * wide fingerprints (several hundred bits, for a lower similarity such as 0.8):
   shards are sampled bit positions; their number follows from the similarity and
-  the wanted recall (:func:`bit_tables`).
+  the wanted recall (:func:`bit_tables`).  They give candidates only: a link is
+  one whose shingle sets have that Jaccard similarity exactly (:func:`verified`).
 
 Shards beyond ``shard_cap`` fingerprints are cut into sub-shards, and each pair
 of sub-shards is one tree: whole results, bounded memory, no hot task.
@@ -124,6 +125,7 @@ class BKTree:
         self.children: list[dict[int, int] | None] = []
         self.parent: list[int] = []
         self.uniform: list[int] = []  # a member, if the whole subtree is of one class; else -1
+        self.merged: list[tuple[int, int]] = []  # the pairs within the radius that joined two classes
 
     def find(self, i: int) -> int:
         parent = self.parent
@@ -157,6 +159,7 @@ class BKTree:
                 a, b = self.find(me), self.find(i)
                 if a != b:
                     self.parent[max(a, b)] = min(a, b)
+                    self.merged.append((me, i))
             if kids := children[i]:
                 stack.extend(c for e, c in kids.items() if d - radius <= e <= d + radius)
         values.append(value)
@@ -188,6 +191,29 @@ def star_links(values: list[int], radius: int) -> list[tuple[int, int]]:
     return [(i, r) for i in range(len(values)) if (r := tree.find(i)) != i]
 
 
+def spanning_pairs(values: list[int], radius: int) -> list[tuple[int, int]]:
+    """Pairs of positions within ``radius`` of each other that span the classes among ``values``."""
+    tree = BKTree(radius)
+    for v in values:
+        tree.add(v)
+    return tree.merged
+
+
+def pairs_between(values: np.ndarray, classes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of positions within ``radius`` whose ``classes`` differ; ``values`` is ``(n, lanes)`` of 64 bits.
+
+    The largest class is not compared with itself, so a large group of near copies costs its length times the others.
+    """
+    _, of, n = np.unique(classes, return_inverse=True, return_counts=True)
+    a, b = [], []
+    for i in np.flatnonzero(of != n.argmax()).tolist():
+        near = (np.bitwise_count(values ^ values[i]).sum(1, dtype=np.int64) <= radius) & (of != of[i])
+        near[:i] &= of[:i] == n.argmax()  # other earlier rows have had this pair
+        b.append(np.flatnonzero(near))
+        a.append(np.full(len(b[-1]), i))
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, int), np.empty(0, int))
+
+
 # --------------------------------------------------------------------- shards
 
 
@@ -206,7 +232,7 @@ def block_masks(n: int, radius: int, bits: int = 64, per_shard: int = 64) -> lis
     return [sum(part[b] for b in chosen) for chosen in itertools.combinations(range(blocks), k)]
 
 
-def bit_tables(n: int, bits: int, similarity: float, recall: float = 0.97) -> np.ndarray:
+def bit_tables(n: int, bits: int, similarity: float, recall: float = 0.99) -> np.ndarray:
     """Bit positions of each table of the wide search, ``(tables, positions)``.
 
     A set similarity s means an angle acos(2 s / (1 + s)) between the 0/1 shingle vectors of
@@ -221,10 +247,19 @@ def bit_tables(n: int, bits: int, similarity: float, recall: float = 0.97) -> np
     return np.stack([rng.choice(bits, width, replace=False) for _ in range(tables)])
 
 
-def radius_of(bits: int, similarity: float) -> int:
-    """Differing bits expected at that set similarity, and a standard deviation more: pairs at it are mostly linked."""
+def radius_of(bits: int, similarity: float, deviations: float = 3.0) -> int:
+    """Differing bits expected at that set similarity, and so many standard deviations more."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + math.sqrt(bits * share * (1 - share)))
+    return round(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, given as sorted distinct hashes, have at least that Jaccard similarity."""
+    low, high = sorted((len(a), len(b)))
+    if low < similarity * high - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (low + high - both) - 1e-9
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Table]]:
@@ -319,27 +354,65 @@ def signature(text: Column, words: int = 5, lanes: int = 8) -> Column:
     return sign(text)
 
 
+def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the distinct candidates ``a, b`` whose shingle sets have at least that Jaccard similarity.
+
+    ``reps`` names a node's text (``node, of``), ``texts`` has all of them (``of, text``, repeated
+    ones too); only candidates' texts are read as shingles.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node")
+    one = texts.join(wanted, "of").groupBy("node").agg(F.first("text").alias("text"))
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = pa.array([np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in b.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), sets], ["node", "hashes"])
+
+    sets = stored(one.mapInArrow(shingle, "node long, hashes binary"), "sets")
+    first, second = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"hashes_{c}")) for c in ("a", "b"))
+    both = pairs.join(first, "a").join(second, "b").select("a", "b", "hashes_a", "hashes_b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sides = zip(b.column(2), b.column(3), strict=True)
+            yield b.select([0, 1]).filter(pa.array([alike(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), similarity) for x, y in sides], pa.bool_()))
+
+    out = stored(both.mapInArrow(check, "a long, b long"), "verified")
+    drop_stored(sets)
+    return out
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 8, shard_cap: int = SHARD_CAP) -> DataFrame:
     """``id, sig, keep``: one row per distinct (id, signature), ``keep`` on one of each near-duplicate class.
 
-    Wide signatures of ``64 * lanes`` bits over the set of ``words``-word shingles;
-    texts whose signatures differ in no more bits than :func:`radius_of` gives for
-    ``similarity`` are linked.  The member with the smallest id is kept (null ids last, then by
-    signature).  Null and empty texts are one class.
+    Texts are linked if their sets of ``words``-word shingles have a Jaccard similarity of
+    at least ``similarity``.  Candidates are pairs that share a table of :func:`bit_tables` and
+    whose wide signatures (``64 * lanes`` bits) differ in no more bits than :func:`radius_of`
+    gives; every link is checked on the sets themselves.  Candidates that span the classes at
+    the expected distance are checked first; then all candidates between different classes.
+    The member with the smallest id is kept (null ids last, then by shingle set).  Null and
+    empty texts are one class.
     """
     bits = 64 * lanes
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
+    kind = rows.schema["id"].dataType.simpleString()
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig = pa.array([wide_signature(t.as_py(), words, lanes) for t in b.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), sig], ["id", "sig"])
-
-    signed = rows.mapInArrow(sign, f"id {rows.schema['id'].dataType.simpleString()}, sig binary")
-    signed = stored(signed.select("id", "sig", F.xxhash64("sig").alias("node")), "signed")
-    reps = stored(signed.groupBy("node").agg(F.first("sig").alias("sig"), F.min("id").alias("least")), "reps")
+            sigs, nodes = [], []
+            for t in b.column(1):
+                hashes = np.unique(shingle_hashes(t.as_py(), words))
+                sigs.append(_majority(hashes, lanes).tobytes() if len(hashes) else bytes(8 * lanes))
+                nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sigs, pa.binary()), pa.array(np.array(nodes, np.uint64).view(np.int64))], ["id", "of", "sig", "node"])
+
+    rows = rows.withColumn("of", F.xxhash64("text"))
+    signed = stored(rows.mapInArrow(sign, f"id {kind}, of long, sig binary, node long"), "signed")
+    reps = stored(signed.groupBy("node").agg(F.first("sig").alias("sig"), F.min("id").alias("least"), F.min("of").alias("of")), "reps")
+    texts, named = rows.select("of", "text"), reps.select("node", "of")
     picks = bit_tables(reps.count(), bits, similarity)
-    radius = radius_of(bits, similarity)
+    near, far = radius_of(bits, similarity, 0.0), radius_of(bits, similarity)
     weights = 1 << np.arange(picks.shape[1], dtype=np.int64)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,25 +433,48 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     routed = reps.select("node", "sig").mapInArrow(route, "bucket long, node long")
     shared = stored(_grouped(routed).mapInArrow(several, "bucket long, node long"), "shared")
-    split = _split_hot(shared, shard_cap).join(reps.select("node", "sig"), "node").select("bucket", "node", "sig")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for starts, table in _runs(batches):
-            ends = np.append(starts[1:], table.num_rows)
-            nodes, sigs = table.column(1).to_numpy(), table.column(2)
-            a, b = [], []
-            for s, e in zip(starts, ends, strict=True):
-                if e - s > 1:
-                    values = [int.from_bytes(x, "little") for x in sigs.slice(s, e - s).to_pylist()]
-                    for i, r in star_links(values, radius):
-                        a.append(nodes[s + i])
-                        b.append(nodes[s + r])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    links = stored(_grouped(split).mapInArrow(run, "a long, b long").distinct(), "near")
+    split = stored(_split_hot(shared, shard_cap), "split")
+
+    def span(values: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = spanning_pairs([int.from_bytes(v.tobytes(), "little") for v in values], near)
+        return tuple(np.array(found, int).reshape(-1, 2).T)
+
+    def between(values: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return pairs_between(values, classes, far) if (classes != classes[0]).any() else (np.empty(0, int), np.empty(0, int))
+
+    def candidates(search, radius: int, classes: DataFrame) -> DataFrame:  # noqa: ANN001
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for starts, table in _runs(batches):
+                ends = np.append(starts[1:], table.num_rows)
+                nodes, roots = table.column(1).to_numpy(), table.column(3).to_numpy()
+                sigs = np.frombuffer(b"".join(table.column(2).to_pylist()), "<u8").reshape(len(nodes), -1)
+                several = ends - starts > 1
+                pair = ends - starts == 2
+                s = starts[pair]
+                close = np.bitwise_count(sigs[s] ^ sigs[s + 1]).sum(1, dtype=np.int64) <= radius
+                s = s[close & (roots[s] != roots[s + 1])]
+                a, b = [nodes[s]], [nodes[s + 1]]
+                for s, e in zip(starts[several & ~pair], ends[several & ~pair], strict=True):
+                    i, j = search(sigs[s:e], roots[s:e])
+                    a.append(nodes[s:e][i])
+                    b.append(nodes[s:e][j])
+                a, b = np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+        known = split.join(classes, "node").select("bucket", "node", "sig", "root")
+        return stored(_grouped(known).mapInArrow(run, "a long, b long").distinct(), "candidates")
+
+    def classes_of(links: DataFrame) -> DataFrame:
+        nodes = connected_components(links, "a", "b")
+        return stored(reps.join(nodes, "node", "left").select("node", "sig", "least", F.coalesce("root", "node").alias("root")), "classes")
+
+    alone = reps.select("node", "sig", F.col("node").alias("root"))
+    links = verified(candidates(span, near, alone), named, texts, words, similarity)
+    classed = classes_of(links)
+    more = verified(candidates(between, far, classed.select("node", "sig", "root")), named, texts, words, similarity)
     drop_stored(shared)
-    nodes = connected_components(links, "a", "b")
-    classed = reps.select("node", "least").join(nodes, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    drop_stored(split)
+    classed = classes_of(links.union(more)).select("node", "least", "root")
     first = classed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("f")).select(F.col("f.node").alias("kept_node"), F.col("f.least").alias("kept_id"))
-    rows = signed.groupBy("id", "node").agg(F.first("sig").alias("sig"))
-    return rows.join(first, (F.col("node") == F.col("kept_node")) & F.col("id").eqNullSafe(F.col("kept_id")), "left").select("id", "sig", F.col("kept_node").isNotNull().alias("keep"))
+    signed = signed.groupBy("id", "node").agg(F.first("sig").alias("sig"))
+    return signed.join(first, (F.col("node") == F.col("kept_node")) & F.col("id").eqNullSafe(F.col("kept_id")), "left").select("id", "sig", F.col("kept_node").isNotNull().alias("keep"))

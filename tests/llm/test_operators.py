@@ -185,6 +185,29 @@ def test_near_duplicates_at_similarity(spark):
     assert all(k in kept for k in range(60)) and len([i for i in kept if i >= 1000]) <= 1
 
 
+@pytest.mark.parametrize(("shared", "linked"), [(154, False), (158, False), (160, True), (166, True)])  # Jaccard 0.748, 0.782, 0.8, 0.856
+def test_near_duplicates_are_exact_in_jaccard(spark, shared, linked):
+    rng = random.Random(shared)
+    rows = []
+    for k in range(200):
+        seq = [f"a{rng.getrandbits(40)}" for _ in range(184)]  # 180 shingles
+        rows.append((k, " ".join(seq)))
+        rows.append((1000 + k, " ".join(seq[: shared + 4] + [f"b{rng.getrandbits(40)}" for _ in range(180 - shared)])))
+    kept = {r["id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["keep"]}
+    twice = sum(k in kept and 1000 + k in kept for k in range(200))
+    assert all(k in kept for k in range(200))
+    assert twice <= 8 if linked else twice == 200
+
+
+def test_near_duplicates_of_a_large_group(spark):
+    rng = random.Random(5)
+    base = words(rng, 200, 5000).split()
+    rows = [(k, " ".join(base[: 200 - k % 30])) for k in range(300)]  # 30 texts of which each is near the next
+    rows += [(1000 + k, " ".join(base[100:] + words(rng, 150, 5000).split())) for k in range(5)] + [(2000, None), (2001, "")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shard_cap=8).collect()
+    assert {r["id"] for r in got if r["keep"]} == {0, *range(1000, 1005), 2000} and len(got) == len(rows)
+
+
 # op4 ----------------------------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
