@@ -89,7 +89,7 @@ _AT = re.compile(r"(?:\(|\[|\{)\s*(?:at|AT)\s*(?:\)|\]|\})|\s(?:at|AT)\s")
 _TRIGGER = re.compile(
     r"[A-Za-z0-9][A-Za-z0-9._%+-]*\s*(?:[\(\[\{]\s*(?:at|AT)\s*[\)\]\}]|\s(?:at|AT)\s)\s*[A-Za-z0-9-]+(?:\s*(?:[\(\[\{]\s*(?:dot|DOT)\s*[\)\]\}]|\s(?:dot|DOT)\s|\.)\s*[A-Za-z0-9-]+){1,4}"
     r"|[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,8}"
-    r"|(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{2,}\)?(?:[ ().\-/]{1,3}[0-9]{2,}){1,7}"
+    r"|(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{2,}\)?(?:[ ().\-/]{1,3}[0-9]{2,})+"
 )
 _CUE = {
     "email": frozenset("email mail contact write courriel correo".split()),
@@ -152,14 +152,13 @@ def _segments(text: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], list[
     """Tokens of ``text[lo:hi]`` and, by end token, the candidates ``(first token, kind, features)``."""
     tokens = [m.span() for m in _TOKEN.finditer(text, lo, hi)]
     found: list[list[tuple[int, str, list[str]]]] = [[] for _ in tokens]
-    before, after = text[max(0, lo - 40) : lo], text[hi : hi + 8]
     for i in range(len(tokens)):
         for j in range(i, min(len(tokens), i + MAX_TOKENS)):
             s, e = tokens[i][0], tokens[j][1]
             span = text[s:e]
             if e - s < 4 or not (span[-1].isalnum() or span[-1] == ":") or not (span[0].isalnum() or span[0] in "(:+"):
                 continue
-            left, right = (before + text[lo:s])[-40:], text[e:hi][:8] + after
+            left, right = text[max(0, s - 40) : s], text[e : e + 8]
             digits = sum(c.isdigit() for c in span)
             for kind in KINDS:
                 if kind == "email" and not ("@" in span or re.search(r"\bat\b", span, re.I)):
@@ -283,21 +282,27 @@ def fitted(epochs: int = 12, rate: float = 0.4) -> dict[str, float]:
 def regions(text: str, taken: list[Span]) -> list[tuple[int, int]]:
     """Stretches, apart from each other, outside which no token can belong to an entity; without ``taken`` ones.
 
-    A stretch that overlaps a base span is left out: what the base finds stays as it is.
+    What the base finds stays as it is: its spans are cut out, and the rest of a stretch is left on either side.
     """
     out: list[tuple[int, int]] = []
-    busy = sorted((s, e) for _, s, e in taken)
+    busy: list[list[int]] = []
+    for s, e in sorted((s, e) for _, s, e in taken):
+        if busy and s < busy[-1][1]:
+            busy[-1][1] = max(busy[-1][1], e)
+        else:
+            busy.append([s, e])
     k = 0
     for m in _TRIGGER.finditer(text):
-        s, e = m.span()
-        if e - s < 4:
-            continue
-        while k < len(busy) and busy[k][1] <= s:
+        at, end = m.span()
+        while k < len(busy) and busy[k][1] <= at:
             k += 1
-        if k < len(busy) and busy[k][0] < e:
-            continue
-        out.append((s, e))
-    return out
+        j = k
+        while j < len(busy) and busy[j][0] < end:
+            out.append((at, busy[j][0]))
+            at = busy[j][1]
+            j += 1
+        out.append((at, end))
+    return [(s, e) for s, e in out if e - s >= 4]
 
 
 def find_spans(text: str | None, weights: dict[str, float]) -> tuple[list[Span], list[Span]]:

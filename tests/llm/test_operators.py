@@ -248,6 +248,18 @@ def test_pii_field_adds_spans_on_unseen_sentences():
     assert right >= 0.95 * total and wrong <= 0.05 * total
 
 
+def test_pii_field_decodes_beside_base_spans_and_through_long_lists():
+    weights = pii.fitted()
+    for text in ("Numbers 4111 1111 1111 1111 (212) 555-0100 here", "Host 10.20.30.40 (212) 555-0100 here", "Call (212) 555-0100 10.20.30.40 now"):
+        at = text.index("(212)")
+        base, every = pii.find_spans(text, weights)
+        assert len(base) == 1 and every == [*base, ("phone", at, at + 14)]
+    numbers = [f"212-555-0{k}" for k in range(100, 140)]
+    text = "Phones: " + " ".join(numbers) + "."
+    every = pii.find_spans(text, weights)[1]
+    assert [text[s:e] for kind, s, e in every if kind == "phone"] == numbers
+
+
 def test_pii_query(docs, empty):
     got = {r["id"]: r for r in pii.detect(docs).collect()}
     mail = next(i for i, t, *_ in corpus() if t and t.startswith("Mail"))
