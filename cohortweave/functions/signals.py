@@ -135,7 +135,7 @@ def phase_surrogate(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return np.fft.irfft(np.abs(s) * np.exp(1j * (phase + (np.angle(s[0]) if len(s) else 0) * (np.arange(len(s)) == 0))), len(x))
 
 
-def amplitude_adjusted(x: np.ndarray, rng: np.random.Generator, rounds: int = 20) -> np.ndarray:
+def amplitude_adjusted(x: np.ndarray, rng: np.random.Generator, rounds: int = 50) -> np.ndarray:
     """Iterated amplitude-adjusted surrogate: the values of ``x`` with nearly its spectrum."""
     ordered, target = np.sort(x), np.abs(np.fft.rfft(x))
     y = rng.permutation(x)

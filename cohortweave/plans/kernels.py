@@ -14,6 +14,9 @@ from cohortweave.plans.catalogue import query
 
 HOUR = 3600.0
 BAND = (1 / (48 * HOUR), 1 / (6 * HOUR))
+#: The reference's default replicates, and the steps and delays of its memory capacity.
+SURROGATES, NULLS, PERMUTATIONS, BOOTSTRAPS, RESAMPLES = 99, 100, 10_000, 10_000, 1000
+STEPS, DELAYS = 5000, 50
 
 
 def _series(name: str, names: list[str], kernel) -> None:  # noqa: ANN001
@@ -63,13 +66,13 @@ def _lesions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(name="memory_capacity")
 def _capacity(spark: SparkSession, d: str) -> DataFrame:
-    work = kr.null_graphs(layers(spark, d), 3, ["memory", "rank"], _reservoir)
+    work = kr.null_graphs(layers(spark, d), NULLS, ["memory", "rank"], _reservoir)
     return work.groupBy("g").agg(F.avg("memory").alias("memory"), F.avg("rank").alias("kernel_rank"), F.count(F.lit(1)).alias("replicates"))
 
 
 def _reservoir(w: np.ndarray) -> tuple[float, float]:
     s = nw.reservoir_states(w, np.random.default_rng(7).uniform(-1, 1, (200, 1)), 0.9, 0.5, 2)
-    return float(nw.memory_capacity(w, 0.9, 0.5, 2, 300, 10).sum()), float(nw.kernel_quality(s))
+    return float(nw.memory_capacity(w, 0.9, 0.5, 2, STEPS, DELAYS).sum()), float(nw.kernel_quality(s))
 
 
 @query(name="radius_sweep")
@@ -77,7 +80,7 @@ def _sweep(spark: SparkSession, d: str) -> DataFrame:
     names = ["rho_05", "rho_09", "rho_12"]
 
     def run(w: np.ndarray) -> np.ndarray:
-        return np.tile([nw.memory_capacity(w, r, 0.5, 2, 300, 10).sum() for r in (0.5, 0.9, 1.2)], (len(w), 1))
+        return np.tile([nw.memory_capacity(w, r, 0.5, 2, STEPS, DELAYS).sum() for r in (0.5, 0.9, 1.2)], (len(w), 1))
 
     return kr.per_node(trade_graph(spark, d), names, run).groupBy("g").agg(*[F.max(n).alias(n) for n in names])
 
@@ -106,7 +109,7 @@ def _sdi(spark: SparkSession, d: str) -> DataFrame:
 @query(name="null_topology")
 def _null_topology(spark: SparkSession, d: str) -> DataFrame:
     g = trade_graph(spark, d)
-    null = kr.null_graphs(g, 20, ["value", "efficiency"], lambda w: (float(nw.clustering(w).mean()), nw.efficiency(w)))
+    null = kr.null_graphs(g, NULLS, ["value", "efficiency"], lambda w: (float(nw.clustering(w).mean()), nw.efficiency(w)))
     observed = kr.per_node(g, ["c"], nw.clustering).groupBy("g").agg(F.avg("c").alias("observed"))
     return kr.null_summary(observed, null, "g")
 
@@ -119,7 +122,7 @@ def _small_world(spark: SparkSession, d: str) -> DataFrame:
         x = nw.distances(w)
         return float(nw.clustering(w).mean()), float(x[np.isfinite(x) & (x > 0)].mean())
 
-    null = kr.null_graphs(g, 20, ["c", "l"], both, salt=1).groupBy("g").agg(F.avg("c").alias("c_null"), F.avg("l").alias("l_null"))
+    null = kr.null_graphs(g, NULLS, ["c", "l"], both, salt=1).groupBy("g").agg(F.avg("c").alias("c_null"), F.avg("l").alias("l_null"))
     own = kr.per_node(g, ["c", "l"], lambda w: np.tile(both(w), (len(w), 1))).groupBy("g").agg(F.max("c").alias("c"), F.max("l").alias("l"))
     return own.join(null, "g").select("g", "c", "l", "c_null", "l_null", (F.col("c") / F.col("c_null") / (F.col("l") / F.col("l_null"))).alias("sigma"))
 
@@ -128,7 +131,7 @@ def _small_world(spark: SparkSession, d: str) -> DataFrame:
 def _norm_modularity(spark: SparkSession, d: str) -> DataFrame:
     g = trade_graph(spark, d)
     q = lambda w: nw.modularity(w, nw.louvain(w, np.random.default_rng(0)))
-    null = kr.null_graphs(g, 20, ["value"], lambda w: (q(w),), salt=2)
+    null = kr.null_graphs(g, NULLS, ["value"], lambda w: (q(w),), salt=2)
     observed = kr.per_node(g, ["q"], lambda w: np.full(len(w), q(w))).groupBy("g").agg(F.max("q").alias("observed"))
     return kr.null_summary(observed, null, "g")
 
@@ -138,18 +141,18 @@ def _surrogates(spark: SparkSession, d: str) -> DataFrame:
     ts = series(spark, d)
     kernel = sg.scaling_exponent
     observed = kr.per_series(ts, ["observed"], lambda x: (kernel(x),))
-    return kr.null_summary(observed, kr.surrogate_nulls(ts, 10, kernel, "iaaft"), "subject", "roi")
+    return kr.null_summary(observed, kr.surrogate_nulls(ts, SURROGATES, kernel, "iaaft"), "subject", "roi")
 
 
 @query(name="perm_twosample")
 def _permutation(spark: SparkSession, d: str) -> DataFrame:
     m = metrics(spark, d).withColumn("id", F.col("subject"))
-    return kr.permutation_test(m, "value", "grp", "BUILDING", "MACHINERY", 100, "metric")
+    return kr.permutation_test(m, "value", "grp", "BUILDING", "MACHINERY", PERMUTATIONS, "metric")
 
 
 @query(name="bootstrap_ci")
 def _bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return kr.bootstrap_means(metrics(spark, d).withColumn("id", F.col("subject")), "value", 100, "metric", "grp")
+    return kr.bootstrap_means(metrics(spark, d).withColumn("id", F.col("subject")), "value", BOOTSTRAPS, "metric", "grp")
 
 
 @query(name="tractogram_bootstrap")
@@ -157,7 +160,7 @@ def _tractogram(spark: SparkSession, d: str) -> DataFrame:
     li, o, c, s = (table(spark, d, n) for n in ("lineitem", "orders", "customer", "supplier"))
     x = li.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(s.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     lines = x.select(F.xxhash64("l_orderkey", "l_linenumber").alias("id"), (F.col("s_nationkey") + 1).alias("a"), (F.col("c_nationkey") + 1).alias("b"), F.col("l_quantity").alias("w"))
-    return kr.tractogram_bootstrap(lines, 20)
+    return kr.tractogram_bootstrap(lines, RESAMPLES)
 
 
 @query(name="eigenfeatures")

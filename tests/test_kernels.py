@@ -95,3 +95,13 @@ def test_nulls_do_not_depend_on_partitions(spark):
     one = sorted(tuple(r) for r in kr.surrogate_nulls(ts.repartition(1), 3, lambda x: float(x[0])).collect())
     many = sorted(tuple(r) for r in kr.surrogate_nulls(ts.repartition(7), 3, lambda x: float(x[0])).collect())
     assert one == many
+
+
+def test_monte_carlo_queries_have_the_references_replicates(spark):
+    import __spark_entry__
+
+    run = lambda name: __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    for name, n in (("surrogate_compare", 99), ("null_topology", 100), ("norm_modularity", 100)):
+        assert all(r["p"] * (n + 1) == pytest.approx(round(r["p"] * (n + 1))) for r in run(name))
+    assert {r["replicates"] for r in run("perm_twosample")} == {10_000}
+    assert {r["replicates"] for r in run("memory_capacity")} == {100}
