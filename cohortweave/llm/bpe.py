@@ -1,29 +1,33 @@
 """Byte-level BPE as a lazily determinised finite-state transducer.
 
-A pretoken's bytes are read one by one.  The transducer's state is what may still
-change: the bytes since the last boundary that every continuation keeps, together
-with the token before that boundary.  A token is emitted as soon as no
-continuation can move its boundaries; the lookahead needed is bounded by the
-longest token.  States and transitions are made when first met and kept in a
-table of bounded size, which is emptied when full.
-
-Why boundaries become final: the last token of a prefix's encoding is the one
-suffix token that is *compatible* with the last token of what precedes it (two
-tokens are compatible if merging their joined bytes gives just these two), so
-each prefix has one chain of boundaries.  A later token can only start at a
-boundary from which the remaining bytes are still the beginning of some token;
-boundaries on the chains of all such starts are final.
-
-Decoding is streamed: ids become bytes, and an incremental UTF-8 state machine
-gives out the characters that are complete, holding at most three bytes back.
+A pretoken's bytes are read one by one.  What may still come are tokens that have
+begun and are not complete: *hypotheses*, each a node of the tokens' trie and the token
+that ends where it begins.  A state is a set of hypotheses; reading a byte moves all
+of them at once (the subset construction), and states and their moves are made when
+first met.  At most ``max_states`` are kept, further ones are made anew each time.
+
+A move tells the last token of the encoding of what has been read: the one token that
+ends here and is *compatible* with the token before it (two tokens are compatible if
+merging their joined bytes gives just these two).  So each prefix has one chain of
+boundaries.  A later token can only start where a hypothesis does; boundaries that the
+chains of all hypotheses share are final, and the tokens before them are given out.
+The lookahead that needs is bounded by the longest token.
+
+The trie's nodes are linked to their longest proper suffix in the trie, so the longest
+hypothesis names all of them and a state is that node with the tokens before them.
+
+Decoding is streamed: ids become bytes, and a finite automaton over byte classes tells
+after each byte whether a character is complete; an incomplete one waits.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -32,9 +36,12 @@ from pyspark.sql import functions as F
 
 from cohortweave.llm._chunks import CHUNK, groups
 
-MAX_STATES = 150_000
-MAX_PAIRS = 400_000
-_CACHE = 400_000
+MAX_STATES = 300_000
+MAX_PAIRS = 1_000_000
+#: Bytes of one pretoken after which tokens whose boundaries are final are given out.
+FLUSH = 4096
+#: Bytes of remembered pieces (twice that with the generation before), and the longest piece that is remembered.
+_REMEMBERED, _LONGEST = 80_000_000, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -44,52 +51,37 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """The merges of one rank table, compiled lazily; see the module's text.
-
-    A state is the last final token and the bytes pending after it, with the size and
-    the id of the last token of each prefix of these bytes (at 0 the final token) and
-    the positions at which a token that is not complete yet can have begun, with their
-    nodes in the tokens' trie.
-    """
+    """The merges of one rank table, compiled lazily; see the module's text."""
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES) -> None:
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
+        self.size = {v: len(k) for k, v in ranks.items()}
         self.child: dict[int, int] = {}  # the tokens' trie: node * 256 + byte to node
-        self.ends_token, self.goes_on = [-1], [True]
+        self.ends_token, self.goes_on, self.depth, self.way = [-1], [True], [0], [(0, 0)]
         for t, rank in ranks.items():
             node = 0
             for byte in t:
                 self.goes_on[node] = True
                 key = node << 8 | byte
-                node = self.child.get(key, -1)
-                if node < 0:
-                    node = self.child[key] = len(self.goes_on)
+                to = self.child.get(key, -1)
+                if to < 0:
+                    to = self.child[key] = len(self.goes_on)
                     self.ends_token.append(-1)
                     self.goes_on.append(False)
+                    self.depth.append(self.depth[node] + 1)
+                    self.way.append((node, byte))
+                node = to
             self.ends_token[node] = rank
         self.max_states = max_states
+        self.suffix: dict[int, int] = {0: 0}  # a node's longest proper suffix in the trie
+        self.lists: dict[int, tuple[int, ...]] = {}
+        self.reads: dict[int, tuple[int, tuple, tuple]] = {}
         self.pairs: dict[int, bool] = {}
-        self.single = [bytes((b,)) for b in range(256)]
         self.edges: dict[bytes, tuple[list, list] | None] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.ids: dict[tuple[int, bytes], int] = {}
-        self.states: list[tuple[bytes, tuple[int, ...], tuple[int, ...], tuple[tuple[int, int], ...]]] = []
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.ends: list[tuple[int, ...] | None] = []
-        self._state(b"", (0,), (-1,), ())
-
-    def _state(self, pending: bytes, size: tuple[int, ...], token: tuple[int, ...], open_: tuple[tuple[int, int], ...]) -> int:
-        key = (token[0], pending)
-        got = self.ids.get(key)
-        if got is None:
-            got = self.ids[key] = len(self.states)
-            self.states.append((pending, size, token, open_))
-            self.moves.append({})
-            self.ends.append(None)
-        return got
+        self.ids: dict[tuple, int] = {(0, (-1,)): 0}
+        self.states: list[tuple[int, tuple[int, ...]]] = [(0, (-1,))]
+        self.moves: dict[int, tuple[int, int]] = {}
 
     def merged(self, piece: bytes, below: float = float("inf")) -> list[bytes]:
         """The merges of ranks under ``below``: the lowest rank first, the leftmost of equal ones."""
@@ -143,165 +135,263 @@ class Transducer:
                         return False
         return True
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        pending, size, token, open_ = self.states[state]
-        n = len(pending) + 1
-        child, ends_token, pairs, still, hit = self.child, self.ends_token, self.pairs, [], -1
-        for j, node in (*open_, (n - 1, 0)):
-            node = child.get(node << 8 | byte)  # noqa: PLW2901
-            if node is None:
-                continue
-            if hit < 0 and (t := ends_token[node]) >= 0:
-                key = token[j] << 20 | t
-                fits = pairs.get(key)
-                if fits is None:
-                    if len(pairs) > MAX_PAIRS:
-                        pairs.clear()
-                    fits = pairs[key] = self.compatible(token[j], t)
-                if fits:
-                    hit, at = t, j
-            if self.goes_on[node]:
-                still.append((j, node))
-        size, token = (*size, n - at), (*token, hit)
-        cut = n
-        text = pending + self.single[byte]
-        for j, _ in still:  # the last boundary that all continuations share
-            while cut != j:
-                if cut > j:
-                    cut -= size[cut]
-                else:
-                    j -= size[j]  # noqa: PLW2901
-            if not cut:
-                return self._state(text, size, token, tuple(still)), ()
-        out = self._tokens(size, token, cut)
-        return self._state(text[cut:], (0, *size[cut + 1 :]), token[cut:], tuple([(j - cut, node) for j, node in still])), out
+    def _shorter(self, node: int) -> int:
+        got = self.suffix.get(node)
+        if got is None:
+            parent, byte = self.way[node]
+            got = self.suffix[node] = self._walk(self._shorter(parent), byte) if parent else 0
+        return got
 
-    @staticmethod
-    def _tokens(size: tuple[int, ...], token: tuple[int, ...], to: int) -> tuple[int, ...]:
-        out = []
+    def _walk(self, node: int, byte: int) -> int:
+        """The longest suffix of a node's bytes and ``byte`` that is in the trie."""
+        while True:
+            to = self.child.get(node << 8 | byte)
+            if to is not None:
+                return to
+            if not node:
+                return 0
+            node = self._shorter(node)
+
+    def _hypotheses(self, node: int) -> tuple[int, ...]:
+        """Depths of the hypotheses in the node's state, the longest first; at last 0, that of a token yet to begin."""
+        got = self.lists.get(node)
+        if got is None:
+            depths, at = [], node
+            while at:
+                if self.goes_on[at]:
+                    depths.append(self.depth[at])
+                at = self._shorter(at)
+            got = self.lists[node] = (*depths, 0)
+        return got
+
+    def _read(self, node: int, byte: int) -> tuple[int, tuple, tuple]:
+        """How a byte moves the hypotheses: the next node, the tokens that become complete (longest first, each
+        with the place of its hypothesis), and the place of each hypothesis that goes on.
+        """
+        to, place = self._walk(node, byte), {d: k for k, d in enumerate(self._hypotheses(node))}
+        complete, at = [], to
+        while at:
+            if self.ends_token[at] >= 0:
+                complete.append((place[self.depth[at] - 1], self.ends_token[at]))
+            at = self._shorter(at)
+        got = self.reads[node << 8 | byte] = (to, tuple(complete), tuple(place[d - 1] for d in self._hypotheses(to)[:-1]))
+        return got
+
+    def _move(self, node: int, before: tuple[int, ...], byte: int) -> tuple[int, tuple[int, ...], int]:
+        """The next node, the tokens before its hypotheses, and the last token of what has been read."""
+        to, complete, goes_on = self.reads.get(node << 8 | byte) or self._read(node, byte)
+        pairs = self.pairs
+        for k, token in complete:
+            key = before[k] << 20 | token
+            fits = pairs.get(key)
+            if fits is None:
+                if len(pairs) > MAX_PAIRS:
+                    pairs.clear()
+                fits = pairs[key] = self.compatible(before[k], token)
+            if fits:
+                return to, (*[before[k] for k in goes_on], token), token
+        raise ValueError(f"no token ends with byte {byte}")
+
+    def _chain(self, last: list[int], to: int) -> list[int]:
+        """The tokens up to a boundary, from the last token of each prefix."""
+        out, size = [], self.size
         while to > 0:
-            out.append(token[to])
-            to -= size[to]
-        return tuple(reversed(out))
+            token = last[to]
+            out.append(token)
+            to -= size[token]
+        out.reverse()
+        return out
+
+    def _final(self, last: list[int], node: int) -> int:
+        """The last boundary that the chains of all hypotheses share."""
+        n, size = len(last) - 1, self.size
+        cut = n
+        for d in self._hypotheses(node):
+            at = n - d
+            while cut != at:
+                if cut > at:
+                    cut -= size[last[cut]]
+                else:
+                    at -= size[last[at]]
+        return cut
 
     def encode(self, piece: bytes) -> list[int]:
         """Token ids of one pretoken; a pretoken that is a token itself is that token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > self.max_states:
-            self._reset()
         out: list[int] = []
-        moves, state = self.moves, 0
+        last = [-1]  # the last token of each prefix, from the last final boundary on
+        moves, ids, states = self.moves, self.ids, self.states
+        state, node, before = 0, 0, (-1,)
         for byte in piece:
-            step = moves[state].get(byte)
-            if step is None:
-                step = self._move(state, byte)
-                moves[state][byte] = step
-            state = step[0]
-            if step[1]:
-                out += step[1]
-            if len(self.states) > 4 * self.max_states:  # a single huge pretoken: start the table anew here
-                held = self.states[state]
-                self._reset()
-                moves, state = self.moves, self._state(*held)
-        if self.ends[state] is None:
-            pending, size, token, _ = self.states[state]
-            self.ends[state] = self._tokens(size, token, len(pending))
-        return out + list(self.ends[state])
+            if state >= 0:
+                step = moves.get(state << 8 | byte)
+                if step is not None:
+                    state, token = step
+                    last.append(token)
+                    continue
+                node, before = states[state]
+            node, before, token = self._move(node, before, byte)
+            last.append(token)
+            key = (node, before)
+            to = ids.get(key, -1)
+            if to < 0 and len(states) < self.max_states:
+                to = ids[key] = len(states)
+                states.append(key)
+            if state >= 0 and to >= 0:
+                moves[state << 8 | byte] = (to, token)
+            state = to
+            if len(last) > FLUSH:
+                cut = self._final(last, node)
+                out += self._chain(last, cut)
+                last = last[cut:]
+        return out + self._chain(last, len(last) - 1)
+
+
+class Utf8:
+    """UTF-8 as a finite automaton: ``step[state, byte]`` is the next state, ``held[state]`` the bytes read of an
+    incomplete character.  0: a character is complete; ``BAD``: no character goes on like this.
+    """
+
+    BAD = 11
+    held = np.array([0, 1, 1, 2, 1, 2, 3, 1, 1, 1, 1, 0])
+
+    @staticmethod
+    def table() -> np.ndarray:
+        step = np.full((12, 256), Utf8.BAD, np.uint8)
+        step[0, :0x80] = 0
+        for state, lo, hi in ((1, 0xC2, 0xDF), (2, 0xE1, 0xEF), (4, 0xF1, 0xF3), (7, 0xE0, 0xE0), (8, 0xED, 0xED), (9, 0xF0, 0xF0), (10, 0xF4, 0xF4)):
+            step[0, lo : hi + 1] = state
+        for state, to in ((1, 0), (2, 3), (3, 0), (4, 5), (5, 6), (6, 0)):
+            step[state, 0x80:0xC0] = to
+        step[7, 0xA0:0xC0], step[8, 0x80:0xA0] = 3, 3  # neither overlong forms nor surrogates
+        step[9, 0x90:0xC0], step[10, 0x80:0x90] = 5, 5
+        return step
 
 
 class Utf8Stream:
-    """Bytes in, complete characters out; an incomplete character at the end waits (three bytes at most).
+    """Token ids in, complete characters out; an incomplete character at the end waits (three bytes at most).
 
-    The machine's state is the bytes held back and how many more the lead byte asks for.
-    Bytes that no continuation can make valid come out as U+FFFD.
+    The automaton reads whole tokens: how each token moves each state is computed once
+    (``after``).  Bytes that no continuation can make valid come out as U+FFFD.
     """
 
-    def __init__(self) -> None:
-        self.held = b""
+    def __init__(self, bytes_of: list[bytes], after: np.ndarray) -> None:
+        self.bytes_of, self.after = bytes_of, after
+        self.state, self.rest = 0, b""
 
     @staticmethod
-    def _incomplete(data: bytes) -> int:
-        for back in range(1, min(3, len(data)) + 1):
-            b = data[-back]
-            if b >= 0xC0:
-                need = 2 if b < 0xE0 else 3 if b < 0xF0 else 4
-                return back if back < need else 0
-            if b < 0x80:
-                return 0
-        return 0
-
-    def feed(self, data: bytes) -> str:
-        data = self.held + data
-        cut = len(data) - self._incomplete(data)
-        self.held = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+    def lifted(bytes_of: list[bytes]) -> np.ndarray:
+        """``after[state, token]``: the automaton's state after all bytes of a token."""
+        step, sizes = Utf8.table(), np.array([len(t) for t in bytes_of])
+        state = np.repeat(np.arange(12, dtype=np.uint8)[:, None], len(bytes_of), 1)
+        for k in range(int(sizes.max(initial=0))):
+            some = np.flatnonzero(sizes > k)
+            byte = np.array([bytes_of[t][k] for t in some.tolist()])
+            state[:, some] = step[state[:, some], byte]
+        return state
+
+    def feed(self, ids: np.ndarray) -> str:
+        data = self.rest + b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        unfinished = np.flatnonzero(self.after[0, ids])
+        state, at = self.state, 0
+        if state:
+            unfinished = np.r_[0, unfinished]
+        for k in unfinished.tolist():  # between these tokens the state is 0
+            if k < at:
+                continue
+            at = k
+            while at < len(ids):
+                state = int(self.after[state, ids[at]])
+                at += 1
+                if not state or state == Utf8.BAD:
+                    break
+            if state == Utf8.BAD:
+                return self._replaced(data)
+        self.state = state
+        cut = len(data) - int(Utf8.held[state])
+        self.rest = data[cut:]
+        return data[:cut].decode("utf-8")
+
+    def _replaced(self, data: bytes) -> str:
+        """Byte by byte, where some bytes are not UTF-8."""
+        step, out, state, start = Utf8.table(), [], 0, 0
+        for k, byte in enumerate(data):
+            to = step[state, byte]
+            if to == Utf8.BAD:
+                if state:  # the bytes so far are one bad character; this byte begins anew
+                    out.append("�")
+                    start, to = k, step[0, byte]
+                if to == Utf8.BAD:
+                    out.append("�")
+                    start, state = k + 1, 0
+                    continue
+            state = int(to)
+            if not state:
+                out.append(data[start : k + 1].decode("utf-8"))
+                start = k + 1
+        self.state, self.rest = state, data[start:]
+        return "".join(out)
 
     def close(self) -> str:
-        rest, self.held = self.held, b""
-        return rest.decode("utf-8", "replace")
+        rest, self.rest, self.state = self.rest, b"", 0
+        return "�" if rest else ""
+
+
+class Memory(dict):
+    """Remembered results of short strings, in two generations of at most about ``limit`` bytes each."""
+
+    def __init__(self, compute, limit: int) -> None:  # noqa: ANN001
+        super().__init__()
+        self.compute, self.limit, self.used = compute, limit, 0
+        self.older: dict[str, str] = {}
+
+    def __missing__(self, key: str) -> str:
+        got = self.older.get(key)
+        if got is None:
+            got = self.compute(key)
+        if len(key) <= _LONGEST:
+            if self.used > self.limit:
+                self.older, self.used = dict(self), 0
+                self.clear()
+            self[key] = got
+            self.used += 200 + len(key) + len(got)
+        return got
 
 
 class ByteBPE:
-    """Encoder and streaming decoder of one rank file; pieces between white space are remembered."""
+    """Encoder and streaming decoder of one rank file; short pieces are remembered."""
 
     def __init__(self, path: str, pattern: str | None = None) -> None:
         if pattern is None:
             from public_tokenizers import PATTERN as pattern  # noqa: N811
         self.fst = Transducer(load_ranks(path))
         self.split = regex.compile(pattern)
-        self.known: dict[str, str] = {}
-        self.pretokens: dict[str, str] = {}
-        self.older: dict[str, str] = {}  # the generation before
-        self.bytes_of = {str(k): v for k, v in self.fst.bytes_of.items()}
-
-    def _chunk(self, chunk: str) -> str:
-        parts = []
-        for p in self.split.findall(chunk):
-            ids = self.pretokens.get(p)
-            if ids is None:
-                ids = self.older.get(p)
-                if ids is None:
-                    ids = ",".join(map(str, self.fst.encode(p.encode("utf-8", "surrogatepass"))))
-                if len(p) <= 64:
-                    if len(self.pretokens) > _CACHE:
-                        self.older, self.pretokens = self.pretokens, {}
-                    self.pretokens[p] = ids
-            parts.append(ids)
-        return ",".join(parts)
+        self.pretokens = Memory(lambda p: ",".join(map(str, self.fst.encode(p.encode("utf-8", "surrogatepass")))), _REMEMBERED)
+        self.chunks = Memory(lambda c: ",".join([self.pretokens[p] for p in self.split.findall(c)]), _REMEMBERED)
+        self.bytes_of = [self.fst.bytes_of.get(k, b"") for k in range(max(self.fst.bytes_of) + 1)]
+        self.after = Utf8Stream.lifted(self.bytes_of)
 
     def encode_joined(self, texts: list[str]) -> Iterator[str]:
         """For each text its ids in decimal, joined by commas."""
         for t in texts:
-            chunks = CHUNK.findall(t)
-            known = self.known
-            if len(known) > _CACHE:
-                known.clear()
-            for c in set(chunks):
-                if c not in known:
-                    known[c] = self._chunk(c)
-            yield ",".join(map(self.known.__getitem__, chunks))
+            yield ",".join(map(self.chunks.__getitem__, CHUNK.findall(t)))
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in next(self.encode_joined([text])).split(",") if x]
 
-    def decode_bytes(self, ids: Iterable[int | str]) -> bytes:
-        return b"".join([self.bytes_of[i] for i in map(str, ids)])
-
-    def decode_stream(self, ids: Iterable[int | str], step: int = 1024) -> Iterator[str]:
+    def decode_stream(self, ids: Iterable[int] | np.ndarray, step: int = 1024) -> Iterator[str]:
         """Text as it becomes complete, ``step`` tokens at a time."""
-        machine, held = Utf8Stream(), []
-        for i in ids:
-            held.append(i)
-            if len(held) == step:
-                yield machine.feed(self.decode_bytes(held))
-                held = []
-        yield machine.feed(self.decode_bytes(held))
+        ids, machine = np.asarray(ids, np.int64), Utf8Stream(self.bytes_of, self.after)
+        for at in range(0, len(ids), step):
+            yield machine.feed(ids[at : at + step])
         yield machine.close()
 
 
-_LOADED: dict[str, ByteBPE] = {}
+@functools.cache
+def _loaded(ranks_path: str) -> ByteBPE:
+    return ByteBPE(ranks_path)
 
 
 def round_trip(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,13 +403,12 @@ def round_trip(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col:
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _LOADED.get(ranks_path) or ByteBPE(ranks_path)
-        _LOADED[ranks_path] = bpe
+        bpe = _loaded(ranks_path)
         for b in batches:
             n, ids_hash, text_hash = [], [], []
             for texts in groups(t.as_py() for t in b.column(1)):
                 for joined in bpe.encode_joined(texts):
-                    ids = joined.split(",") if joined else []
+                    ids = np.fromstring(joined, np.int64, sep=",") if joined else np.empty(0, np.int64)  # read anew, as from a file of ids
                     n.append(len(ids))
                     ids_hash.append(hashlib.sha256(joined.encode()).hexdigest())
                     digest = hashlib.sha256()
@@ -337,8 +426,7 @@ def encoded(df: DataFrame, ranks_path: str, text_col: str = "text", out_col: str
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = _LOADED.get(ranks_path) or ByteBPE(ranks_path)
-        _LOADED[ranks_path] = bpe
+        bpe = _loaded(ranks_path)
         for s in batches:
             yield pd.Series([bpe.encode(t or "") for t in s])
 

@@ -418,11 +418,11 @@ def test_bpe_equals_the_public_library(docs, empty):
     real = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=mine.fst.ranks, special_tokens={})
     rng = random.Random(1)
     alphabet = "abcdefghij thereing  \n\t 0123456789.,!?'s éüß漢字かな😀　\x85\x1c\x1d'll  "
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80))) for _ in range(1500)] + ["a" * 5000, "ab" * 3000, " " * 500 + "x", "\n \n", "0" * 3000]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80))) for _ in range(1500)] + ["a" * 5000, "ab" * 3000, "".join(rng.choice("abcdefgh") for _ in range(20_000)), " " * 500 + "x", "\n \n", "0" * 3000]
     tokens = list(mine.fst.ranks)
     texts += ["".join(rng.choice(tokens).decode("utf8", "ignore") for _ in range(8)) for _ in range(1500)]
     small = bpe.ByteBPE(path)
-    small.fst.max_states = 50  # the table is emptied again and again
+    small.fst.max_states = 50  # further states are made each time
     for t in texts:
         ids = mine.encode(t)
         assert ids == real.encode_ordinary(t), ascii(t)
@@ -433,6 +433,22 @@ def test_bpe_equals_the_public_library(docs, empty):
         ids = real.encode_ordinary(r["text"] or "")
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest())
     assert bpe.round_trip(empty, path).count() == 0
+    for r in bpe.encoded(docs, path).select("text", "token_ids").collect():
+        assert r["token_ids"] == real.encode_ordinary(r["text"] or "")
+
+
+def test_utf8_automaton_equals_the_codec():
+    import codecs
+
+    rng = random.Random(12)
+    alphabet = [bytes([b]) for b in range(256)] + ["é".encode(), "漢".encode(), "😀".encode(), b"\xed\xa0\x80", b"\xf4\x90\x80\x80", b"\xc0\x80", b"\xe0\x80\x80"]
+    after = bpe.Utf8Stream.lifted(alphabet)
+    for n in range(3000):
+        ids = np.array([rng.choice((rng.randrange(256), rng.randrange(256, len(alphabet)), 97) if n % 2 else (97, 256, 257, 258)) for _ in range(rng.randint(0, 20))], np.int64)
+        machine, codec = bpe.Utf8Stream(alphabet, after), codecs.getincrementaldecoder("utf-8")("replace")
+        step = rng.randint(1, 6)
+        mine = "".join(machine.feed(ids[k : k + step]) for k in range(0, len(ids), step)) + machine.close()
+        assert mine == codec.decode(b"".join(alphabet[i] for i in ids), final=True), ids
 
 
 # op10 ---------------------------------------------------------------------------
