@@ -16,12 +16,8 @@ from cohortweave.llm._store import drop_stored, stored
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h"),
-        F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 40))).alias("g"),
-    ).first()
-    return tuple(row)
+    """Count and exclusive-or of two hashes of the distinct edges: of any number of them without overflow."""
+    return tuple(edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h"), F.bit_xor(F.xxhash64("v", "u")).alias("g")).first())
 
 
 def connected_components(links: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
