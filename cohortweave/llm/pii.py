@@ -84,13 +84,16 @@ def joined(spans: list[Span]) -> str:
 
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 MAX_TOKENS = 40
-_AT = re.compile(r"(?:\(|\[|\{)\s*(?:at|AT)\s*(?:\)|\]|\})|\s(?:at|AT)\s")
-#: Where a segment can be an entity at all: digits, colons of addresses, and spelled-out addresses.
+MAX_DIGITS, MAX_COLONS = 24, 8
+#: Where a segment can be an entity at all: digits, and colons of addresses.  Digit runs are possessive and begin at their first digit, so a long one is read once.
 _TRIGGER = re.compile(
-    r"[A-Za-z0-9][A-Za-z0-9._%+-]*\s*(?:[\(\[\{]\s*(?:at|AT)\s*[\)\]\}]|\s(?:at|AT)\s)\s*[A-Za-z0-9-]+(?:\s*(?:[\(\[\{]\s*(?:dot|DOT)\s*[\)\]\}]|\s(?:dot|DOT)\s|\.)\s*[A-Za-z0-9-]+){1,4}"
-    r"|[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,8}"
-    r"|(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{2,}\)?(?:[ ().\-/]{1,3}[0-9]{2,})+"
+    r"[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,8}"
+    r"|(?:\+[0-9]{1,3}[ .-]?)?\(?(?<![0-9])[0-9]{2,}+\)?(?:[ ().\-/]{1,3}[0-9]{2,}+)++"
+    r"|\+[0-9]{3,}+\)?(?:[ ().\-/]{1,3}[0-9]{2,}+)++"
 )
+#: Spelled-out addresses are found by their ``at``; the name before it is looked up backwards.
+_AT = re.compile(r"[\(\[\{]\s{0,8}(?:at|AT)\s{0,8}[\)\]\}]|\s(?:at|AT)(?=\s)")
+_SPELLED = re.compile(r"\s{0,8}[A-Za-z0-9-]++(?:\s{0,8}(?:[\(\[\{]\s{0,8}(?:dot|DOT)\s{0,8}[\)\]\}]|\s(?:dot|DOT)\s|\.)\s{0,8}[A-Za-z0-9-]++){1,4}")
 _CUE = {
     "email": frozenset("email mail contact write courriel correo".split()),
     "ip": frozenset("ip address host server addr client".split()),
@@ -149,25 +152,36 @@ def segment_features(kind: str, span: str, before: str, after: str) -> list[str]
 
 
 def _segments(text: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], list[list[tuple[int, str, list[str]]]]]:
-    """Tokens of ``text[lo:hi]`` and, by end token, the candidates ``(first token, kind, features)``."""
+    """Tokens of ``text[lo:hi]`` and, by end token, the candidates ``(first token, kind, features)``.
+
+    Candidates have at most ``MAX_TOKENS`` tokens, cards and phones at most ``MAX_DIGITS``
+    digits, IP addresses at most ``MAX_COLONS`` colons.
+    """
     tokens = [m.span() for m in _TOKEN.finditer(text, lo, hi)]
+    words = [text[s:e] for s, e in tokens]
+    digits_of = [len(w) if w[0] in "0123456789" else 0 for w in words]
+    last_colon = max((k for k, w in enumerate(words) if w == ":"), default=-1)
+    last_at = max((k for k, w in enumerate(words) if w == "@" or w in ("at", "AT", "At")), default=-1)
     found: list[list[tuple[int, str, list[str]]]] = [[] for _ in tokens]
     for i in range(len(tokens)):
+        s = tokens[i][0]
+        if not (text[s].isalnum() or text[s] in "(:+"):
+            continue
+        digits = colons = 0
+        at, left = False, text[max(0, s - 40) : s]
         for j in range(i, min(len(tokens), i + MAX_TOKENS)):
-            s, e = tokens[i][0], tokens[j][1]
-            span = text[s:e]
-            if e - s < 4 or not (span[-1].isalnum() or span[-1] == ":") or not (span[0].isalnum() or span[0] in "(:+"):
+            e = tokens[j][1]
+            digits += digits_of[j]
+            colons += words[j] == ":"
+            at = at or words[j] in ("@", "at", "AT", "At")
+            if not at and last_at < j and (colons > MAX_COLONS or digits > MAX_DIGITS and last_colon < j and colons < 2):
+                break
+            if e - s < 4 or not (words[j][-1].isalnum() or words[j] == ":"):
                 continue
-            left, right = text[max(0, s - 40) : s], text[e : e + 8]
-            digits = sum(c.isdigit() for c in span)
-            for kind in KINDS:
-                if kind == "email" and not ("@" in span or re.search(r"\bat\b", span, re.I)):
-                    continue
-                if kind == "ip" and span.count(":") < 2:
-                    continue
-                if kind in ("card", "phone") and digits < 7:
-                    continue
-                found[j].append((i, kind, segment_features(kind, span, left, right)))
+            kinds = [k for k, on in zip(KINDS, (at, 2 <= colons <= MAX_COLONS, 7 <= digits <= MAX_DIGITS, 7 <= digits <= MAX_DIGITS), strict=True) if on]
+            if kinds:
+                span, right = text[s:e], text[e : e + 8]
+                found[j] += [(i, kind, segment_features(kind, span, left, right)) for kind in kinds]
     return tokens, found
 
 
@@ -279,12 +293,46 @@ def fitted(epochs: int = 12, rate: float = 0.4) -> dict[str, float]:
     return weights
 
 
+def _spelled(text: str) -> list[tuple[int, int]]:
+    """Stretches around each ``at`` that has a name before and a domain after it."""
+    out: list[tuple[int, int]] = []
+    end = 0
+    for m in _AT.finditer(text):
+        after = _SPELLED.match(text, m.end())
+        if not after:
+            continue
+        start = m.start()
+        while start > end and m.start() - start < 8 and text[start - 1].isspace():
+            start -= 1
+        name = start
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        while start < name and not (text[start].isascii() and text[start].isalnum()):
+            start += 1
+        if start < name:
+            out.append((start, after.end()))
+            end = m.end()
+    return out
+
+
+def _united(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretches in order, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(stretches):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def regions(text: str, taken: list[Span]) -> list[tuple[int, int]]:
     """Stretches, apart from each other, outside which no token can belong to an entity; without ``taken`` ones.
 
     What the base finds stays as it is: its spans are cut out, and the rest of a stretch is left on either side.
     """
     out: list[tuple[int, int]] = []
+    stretches = _spelled(text) + [m.span() for m in _TRIGGER.finditer(text)]
     busy: list[list[int]] = []
     for s, e in sorted((s, e) for _, s, e in taken):
         if busy and s < busy[-1][1]:
@@ -292,8 +340,7 @@ def regions(text: str, taken: list[Span]) -> list[tuple[int, int]]:
         else:
             busy.append([s, e])
     k = 0
-    for m in _TRIGGER.finditer(text):
-        at, end = m.span()
+    for at, end in _united(stretches):
         while k < len(busy) and busy[k][1] <= at:
             k += 1
         j = k
