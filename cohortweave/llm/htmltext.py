@@ -37,6 +37,8 @@ INSIDE = frozenset("article main".split())
 MARKS = frozenset(
     "ad ads advert advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar aside widget footer masthead toolbar share sharing social related recommended recommendations comment comments disqus respond replies reply discussion search login skip hidden".split()
 )
+# Those of them that an article's own parts may be named by (search results, a discussion, notices): inside an article they count as a whole name only.
+WEAK = frozenset("search discussion menu notice notices banner widget social skip login reply replies respond hidden overlay modal share sharing signup related navigation pager toolbar".split())
 # Frequent function words of English, German, French and Spanish.
 STOP = frozenset(
     "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which you were her all she there would their we him been has when who will no more if out so "
@@ -71,7 +73,7 @@ def _outside(name: str, attrs: str, in_article: bool) -> bool:
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
             return True
         if key in ("class", "id", "role", "data-role") and name not in ("html", "body", "article", "main"):
-            if not MARKS.isdisjoint(re.split(r"[^a-z]+", value)):
+            if not (MARKS - WEAK if in_article else MARKS).isdisjoint(re.split(r"[^a-z]+", value)) or not WEAK.isdisjoint(value.split()):
                 return True
             if value in ("complementary", "contentinfo", "search", "alert", "alertdialog"):
                 return True
@@ -84,6 +86,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, int]] = []  # open elements that matter, and the region they make
     region, link, parts, linked, heading = 0, 0, [], 0, False
     at, n = 0, len(page)
+    unclosed: set[str] = set()  # names that no end tag follows any more
 
     def text(piece: str) -> None:
         nonlocal linked
@@ -119,7 +122,9 @@ def blocks(page: str) -> list[Block]:
             if closing:
                 continue
             if name in LITERAL or name not in ("head",):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                end = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                if end is None:
+                    unclosed.add(name)
                 flush() if name not in ("svg", "math") else None
                 at = end.end() if end else (n if name in LITERAL else at)
             continue

@@ -68,6 +68,12 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_components_checksum_of_many_links(spark):
+    n = 20_000_000  # sums of 40 bits would overflow a long
+    u, v = (F.col("id") + n).alias("u"), F.col("id").alias("v")
+    assert components._fingerprint(spark.range(n).select(u, v))[0] == n
+
+
 # op1 ----------------------------------------------------------------------------
 
 
@@ -260,6 +266,34 @@ def test_pii_field_decodes_beside_base_spans_and_through_long_lists():
     assert [text[s:e] for kind, s, e in every if kind == "phone"] == numbers
 
 
+def test_pii_is_linear_in_long_words_and_lists():
+    import time
+
+    weights = pii.fitted()
+    began = time.monotonic()
+    for text in ("a" * 1_000_000, "1" * 1_000_000, "a." * 300_000, "a at " * 60_000, "ab:" * 20_000, "12 " * 2000, "(" * 200_000 + " " * 200_000 + "at" + " " * 200_000):
+        pii.find_spans(text, weights)
+    assert time.monotonic() - began < 60
+
+
+def test_pii_field_on_sentences_of_another_kind():
+    """Written by hand, unlike the training generator's: names with dots, quoted text, several languages."""
+    weights = pii.fitted()
+    cases = {
+        "Bitte schreiben Sie an anna.schmidt (at) beispiel (dot) de, danke.": ("email", "anna.schmidt (at) beispiel (dot) de"),
+        "Reach the desk: (415) 555-0132 before noon.": ("phone", "(415) 555-0132"),
+        "Llame al 415-555-0132 por la tarde": ("phone", "415-555-0132"),
+        "Serveur 2001:0db8:85a3:0000:0000:8a2e:0370:7334 en panne": ("ip", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"),
+        "Paid with card 4111.1111.1111.1111 yesterday": ("card", "4111.1111.1111.1111"),
+        "You may mail info [at] example [dot] org any time": ("email", "info [at] example [dot] org"),
+    }
+    for text, (kind, span) in cases.items():
+        at = text.index(span)
+        assert pii.find_spans(text, weights)[1] == [(kind, at, at + len(span))], text
+    for text in ("The meeting is at 10:30:00 on 2024-05-17.", "Version 10.20.300 of the tool", "He stood at the door. It was late.", "Pages 12-14 and 100-102", "a ratio of 3:2:1", "ISBN 978-3-16-148410-0"):
+        assert pii.find_spans(text, weights)[1] == [], text
+
+
 def test_pii_query(docs, empty):
     got = {r["id"]: r for r in pii.detect(docs).collect()}
     mail = next(i for i, t, *_ in corpus() if t and t.startswith("Mail"))
@@ -338,6 +372,8 @@ def test_main_text(spark):
     assert htmltext.main_text(page) == "Head & tail First line of text. Short. cell"
     story = "This is the story of a man that was in the house, and he had all of it with him, as they would have said of any that came from the town to the sea and back. " * 2
     assert htmltext.main_text(f"<div><a href=a>One</a> <a href=b>Two</a></div><p>{story}</p><p>Yes.</p><p>{story}</p>") == f"{story.strip()} Yes. {story.strip()}"
+    assert htmltext.main_text("<article><div class='search-results'><p>Found here.</p></div><div class='share'>Share it</div></article>") == "Found here."
+    assert htmltext.main_text("<article><p>kept</p>" + "<object>" * 100_000 + "</article>").startswith("kept")  # unclosed tags are searched once
     assert [htmltext.main_text(x) for x in (None, "", "<p>", "<<<>>")][:3] == ["", "", ""]
     got = htmltext.extract(spark.createDataFrame([(1, None, page, "x"), (None, "u", None, "x")], "page_id long, url string, html string, text string")).collect()
     assert {(r["id"], r["n_chars"]) for r in got} == {(1, len(htmltext.main_text(page))), (None, 0)}
