@@ -3,11 +3,17 @@
 Each text gives four counts.  Two fixed rules reject on them.  Beyond these, the
 counts become a vector of shares, pulled towards the usual value for short texts and
 transformed; for each language and source the minimum covariance determinant's
-location and scatter are estimated by concentration steps: from the mean and
-covariance of the ``KEEP`` share of rows nearest to the last estimate, all as
-aggregates.  The distance that bounds the nearest share is read off a histogram
-of distances, so no group is ever sorted or gathered in one task.  Rows with a
-squared Mahalanobis distance beyond ``CUTOFF`` in a direction worse than usual
+location and scatter are estimated: from several deterministic starts (medians
+with quartile scales; the plain mean and covariance; the correlation of values
+squeezed by tanh) concentration steps take the mean and covariance of the
+``KEEP`` share of rows nearest to the last estimate.  After ``FIRST_STEPS`` the start
+of least determinant goes on until its determinant falls no more.  All are
+aggregates: the distance that bounds the nearest share is read off a histogram of
+distances, so no group is ever sorted or gathered in one task.
+
+The scatter is multiplied by the factor that makes it consistent for normal vectors
+and regularised by least variances on the diagonal, as most clean documents have no
+symbol or repeat at all.  Rows with a squared Mahalanobis distance beyond ``CUTOFF``
 are rejected.
 
 Groups of under ``MIN_ROWS`` rows use their language's estimate, and small
@@ -16,25 +22,30 @@ languages that of all rows.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortweave.llm._store import stored
+from cohortweave.llm._store import drop_stored, stored
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_ROWS = 200
-STEPS = 3
+FIRST_STEPS = 2
+#: Steps end when no determinant falls by this share any more; a group needs about ten, and MOST_STEPS raises.
+SETTLED, MOST_STEPS = 1e-3, 60
 KEEP = 0.75
-#: Variances are at least this; statistics that hardly vary in clean text (no symbol, no repeat) need a scale.
-FLOOR = (0.05**2, 0.08**2, 0.15**2, 0.15**2)
-#: Squared distance: far beyond the 0.9999 quantile of chi-square with 4 degrees (23.5), since texts' tails are heavier.
-CUTOFF = 40.0
+#: KEEP over the chance of a chi-square with 6 degrees under the KEEP quantile of one with 4 (5.385): for normal vectors the scatter of the nearest share, so often, is that of all.
+CONSISTENCY = 0.75 / (1 - math.exp(-5.385 / 2) * (1 + 5.385 / 2 + (5.385 / 2) ** 2 / 2))
+#: Least variances; statistics that hardly vary in clean text (no symbol, no repeat) need a scale.
+FLOOR = (0.05**2, 0.08**2, 0.1**2, 0.1**2)
+#: Squared distance: the quantile 1 - 1e-5 of chi-square with 4 degrees, since texts' tails are heavier than normal ones.
+CUTOFF = 28.5
 FEATURES = ("f_length", "f_symbols", "f_lines", "f_repeats")
-#: Groups whose estimates may be broadcast (about 150 bytes each); more are joined by salted keys.
+#: Groups whose estimates may be broadcast (about 500 bytes each); more are joined by salted keys.
 BROADCAST_GROUPS = 20_000
 SALTS = 64
 
@@ -124,65 +135,101 @@ def _with_inverse(params: DataFrame, d: int) -> DataFrame:
     return params
 
 
-def _distance(d: int) -> Column:
-    """Squared Mahalanobis distance of the row's vector, by forward substitution."""
+def _square(diffs: list[Column], factor: dict[tuple[int, int], Column]) -> Column:
+    """Squared Mahalanobis distance of the differences, by forward substitution with the Cholesky factor."""
+    d = len(diffs)
 
-    def square(diffs: list[Column]) -> Column:
-        def solve(i: int, z: list[Column]) -> Column:
-            if i == d:
-                return reduce(lambda a, b: a + b, [x * x for x in z])
-            rest = diffs[i]
-            for k in range(i):
-                rest = rest - F.col(f"l{i}_{k}") * z[k]
-            return _let(rest / F.col(f"l{i}_{i}"), lambda x: solve(i + 1, [*z, x]))
+    def solve(i: int, z: list[Column]) -> Column:
+        if i == d:
+            return reduce(lambda a, b: a + b, [x * x for x in z])
+        rest = diffs[i]
+        for k in range(i):
+            rest = rest - factor[i, k] * z[k]
+        return _let(rest / factor[i, i], lambda x: solve(i + 1, [*z, x]))
 
-        return solve(0, [])
+    return solve(0, [])
 
-    return square([F.col(f) - F.col(f"m{i}") for i, f in enumerate(FEATURES)])
 
+D = len(FEATURES)
+_CELLS = [(i, j) for i in range(D) for j in range(i + 1)]
+_NAMES = [*[f"m{i}" for i in range(D)], *[f"s{i}_{j}" for i, j in _CELLS], *[f"l{i}_{j}" for i, j in _CELLS]]
 
-def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
-    d = len(FEATURES)
+
+def _distance() -> Column:
+    """Squared Mahalanobis distance of a row that has its group's estimate."""
+    return _square([F.col(f) - F.col(f"m{i}") for i, f in enumerate(FEATURES)], {c: F.col(f"l{c[0]}_{c[1]}") for c in _CELLS})
+
+
+def _with_determinant(params: DataFrame) -> DataFrame:
+    return params.withColumn("logdet", reduce(lambda a, b: a + b, [2 * F.log(f"l{i}_{i}") for i in range(D)]))
+
+
+def _moments(rows: DataFrame, keys: list[str], factor: float = 1.0) -> DataFrame:
+    """Means and covariances times ``factor`` with the least variances added to the diagonal: the scatter stays invertible where a statistic is constant."""
     means = [F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)]
-    cross = [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i + 1)]
+    cross = [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}_{j}") for i, j in _CELLS]
     got = rows.groupBy(*keys).agg(*means, *cross)
-    return _floored(got, keys)
+    cells = [(F.coalesce(F.col(f"c{i}_{j}"), F.lit(0.0)) * factor + (FLOOR[i] if i == j else 0.0)).alias(f"s{i}_{j}") for i, j in _CELLS]
+    return _with_inverse(got.select(*keys, *[f"m{i}" for i in range(D)], *cells), D)
 
 
-def _floored(got: DataFrame, keys: list[str]) -> DataFrame:
-    """Add the least variances to the diagonal: the scatter stays invertible where a statistic is constant."""
-    d = len(FEATURES)
-    cells = [(F.coalesce(F.col(f"c{i}_{j}"), F.lit(0.0)) + (FLOOR[i] if i == j else 0.0)).alias(f"s{i}_{j}") for i in range(d) for j in range(i + 1)]
-    return _with_inverse(got.select(*keys, *[f"m{i}" for i in range(d)], *cells), d)
+def _attached(rows: DataFrame, table: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """``rows`` with their keys' columns of a small table: broadcast, or where it has too many keys by a join on salted keys, so that a key with most rows is many tasks."""
+    if few:
+        return rows.join(F.broadcast(table), keys)
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(*FEATURES), F.lit(SALTS)).cast("int")
+    return rows.withColumn("salt", salt).join(salted, [*keys, "salt"]).drop("salt")
 
 
-def robust_estimates(rows: DataFrame, steps: int = STEPS, keep: float = KEEP) -> DataFrame:
-    """Location ``m*``, scatter ``s*`` and its factor ``l*`` of each ``level, key`` of ``rows`` (with the statistics as columns).
-
-    Starts at the medians with the least variances, read off a histogram too.
-    """
-    d = len(FEATURES)
+def _starts(rows: DataFrame, few: bool) -> DataFrame:
+    """``level, key, start`` and an estimate: three first ones for each group."""
     keys = ["level", "key"]
-    bins = stored(
-        rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.round(F.col(c) * 200).cast("int").alias("b")) for i, c in enumerate(FEATURES)])).alias("x"))
-        .groupBy(*keys, "x.f", "x.b").agg(F.count(F.lit(1)).alias("n")),
-        "bins",
-    )
-    middle = _at_share(bins, [*keys, "f"], 0.5)
-    params = middle.groupBy(*keys).agg(*[F.max(F.when(F.col("f") == i, F.col("b") / 200)).alias(f"m{i}") for i in range(d)])
-    params = _with_inverse(params.select("*", *[F.lit((4 * FLOOR[i]) if i == j else 0.0).alias(f"s{i}_{j}") for i in range(d) for j in range(i + 1)]), d)
-    for _ in range(steps):
-        params = stored(params, "estimates")
-        near = rows.join(F.broadcast(params) if _few(params) else params, keys).withColumn("d2", _distance(d))
-        near = stored(near.select(*keys, *FEATURES, F.least(F.log1p("d2") * 100, F.lit(3000)).cast("int").alias("b")), "near")
-        limit = _at_share(near.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("n")), keys, keep).withColumnRenamed("b", "top")
-        chosen = near.join(F.broadcast(limit) if _few(params) else limit, keys).filter("b <= top")
-        params = _moments(chosen, keys)
-    return stored(params, "estimates")
-
-
-def _few(params: DataFrame) -> bool:
-    return params.count() <= BROADCAST_GROUPS
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.round(F.col(c) * 200).cast("int").alias("b")) for i, c in enumerate(FEATURES)]))
+    bins = stored(rows.select(*keys, cells.alias("x")).groupBy(*keys, "x.f", "x.b").agg(F.count(F.lit(1)).alias("n")), "bins")
+    shares = [_at_share(bins, [*keys, "f"], q).select(*keys, "f", (F.col("b") / 200).alias("v"), F.lit(q).alias("q")) for q in (0.25, 0.5, 0.75)]
+    at = lambda i, q: F.max(F.when((F.col("f") == i) & (F.col("q") == q), F.col("v")))
+    scale = lambda i: F.greatest((at(i, 0.75) - at(i, 0.25)) / 1.349, F.lit(math.sqrt(FLOOR[i])))
+    middle = reduce(DataFrame.unionByName, shares).groupBy(*keys).agg(*[at(i, 0.5).alias(f"m{i}") for i in range(D)], *[scale(i).alias(f"q{i}") for i in range(D)])
+    middle = stored(middle, "middle")
+    drop_stored(bins)
+    means = [f"m{i}" for i in range(D)]
+    diagonal = middle.select(*keys, *means, *[(F.col(f"q{i}") * F.col(f"q{i}") if i == j else F.lit(0.0)).alias(f"s{i}_{j}") for i, j in _CELLS])
+    squeezed = [F.tanh((F.col(f) - F.col(f"m{i}")) / F.col(f"q{i}")).alias(f"z{i}") for i, f in enumerate(FEATURES)]
+    related = _attached(rows, middle, keys, few).select(*keys, *squeezed).groupBy(*keys).agg(*[(F.covar_pop(f"z{i}", f"z{j}") / (F.stddev_pop(f"z{i}") * F.stddev_pop(f"z{j}") + 1e-9)).alias(f"c{i}_{j}") for i, j in _CELLS if i != j])
+    tanh = middle.join(related, keys).select(*keys, *means, *[(F.col(f"q{i}") * F.col(f"q{j}") * (1.0 if i == j else F.col(f"c{i}_{j}"))).alias(f"s{i}_{j}") for i, j in _CELLS])
+    plain = _moments(rows, keys).select(*diagonal.columns)
+    return reduce(DataFrame.unionByName, [_with_inverse(x, D).withColumn("start", F.lit(k)) for k, x in enumerate((diagonal, plain, tanh))])
+
+
+def robust_estimates(rows: DataFrame, keep: float = KEEP) -> DataFrame:
+    """Location ``m*``, scatter ``s*``, its factor ``l*`` and ``logdet`` of each ``level, key`` of ``rows`` (with the statistics as columns).
+
+    The least determinant over three starts and all concentration steps; steps go on
+    until no group's determinant falls by ``SETTLED`` of itself.
+    """
+    keys, each = ["level", "key"], ["level", "key", "start"]
+    few = rows.select(*keys).distinct().count() <= BROADCAST_GROUPS
+
+    def step(params: DataFrame) -> DataFrame:
+        near = _attached(rows, params, keys, few).select(*each, *FEATURES, F.least(F.log1p(_distance()) * 100, F.lit(3000)).cast("int").alias("b"))
+        limit = _at_share(near.groupBy(*each, "b").agg(F.count(F.lit(1)).alias("n")), each, keep).withColumnRenamed("b", "top")
+        chosen = _attached(near, limit, each, few).filter("b <= top")
+        return stored(_with_determinant(_moments(chosen, each, CONSISTENCY)), "estimates")
+
+    now = stored(_starts(rows, few), "starts")
+    for _ in range(FIRST_STEPS):
+        now = step(now)
+    least = F.min_by(F.struct("start", *_NAMES, "logdet"), F.struct("logdet", "start")).alias("e")
+    best = stored(now.groupBy(*keys).agg(least).select(*keys, "e.*"), "best")
+    for _ in range(MOST_STEPS):
+        after = step(best)
+        old = best.select(*keys, F.col("logdet").alias("before"))
+        gain = after.join(old, keys).agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+        best = stored(best.unionByName(after).groupBy(*keys).agg(least).select(*keys, "e.*"), "best")
+        if gain is None or gain < SETTLED:
+            return best
+    raise RuntimeError("concentration steps did not settle")
 
 
 def _at_share(hist: DataFrame, keys: list[str], share: float) -> DataFrame:
@@ -204,60 +251,40 @@ def judged(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source
     lang, source = F.coalesce(F.col(lang_col).cast("string"), F.lit("\0")), F.coalesce(F.col(source_col).cast("string"), F.lit("\0"))
     mine = "__quality_row"
     row = F.struct(base_counts(F.col(text_col).cast("string")).alias("c"), F.concat_ws("\x01", lang, source).alias("group"), lang.alias("lang"))
-    if carry is not None:  # nothing of the texts is needed again: count once
-        whole = stored(df.select(*[F.col(f"`{c}`") for c in carry], row.alias(mine)), "counts")
-        narrow = whole.select(F.col(mine).alias("r"))
-    else:
-        whole = df.select(*[F.col(f"`{c}`") for c in df.columns], row.alias(mine))
-        narrow = df.select(row.alias("r"))
-    narrow = narrow.select("r.c", "r.group", "r.lang")
-    narrow = stored(narrow.select("group", "lang", base_failed(F.col("c")).alias("bad"), *statistics(F.col("c"))), "statistics")
-    return _verdict(whole, narrow, mine, out)
+    # texts are counted once: what is carried lies beside its counts
+    whole = stored(df.select(*[F.col(f"`{c}`") for c in (df.columns if carry is None else carry)], row.alias(mine)), "counts")
+    narrow = whole.select(F.col(mine).alias("r")).select("r.c", "r.group", "r.lang")
+    return _verdict(whole, narrow.select("group", "lang", base_failed(F.col("c")).alias("bad"), *statistics(F.col("c"))), mine, out)
 
 
 def _verdict(whole: DataFrame, narrow: DataFrame, mine: str, out: str) -> DataFrame:
     good = narrow.filter(~F.col("bad"))
     levels = F.array(F.struct(F.lit(0).alias("level"), F.col("group").alias("key")), F.struct(F.lit(1).alias("level"), F.col("lang").alias("key")), F.struct(F.lit(2).alias("level"), F.lit("").alias("key")))
-    counts = stored(good.groupBy("group", "lang").agg(F.count(F.lit(1)).alias("n")), "groups")
-    size = counts.select("n", F.explode(levels).alias("x")).groupBy("x.level", "x.key").agg(F.sum("n").alias("n"))
-    usable = stored(size.filter((F.col("n") >= MIN_ROWS) | (F.col("level") == 2)).select("level", "key"), "usable")
+    groups = stored(narrow.groupBy("group", "lang").agg(F.count_if(~F.col("bad")).alias("n")), "groups")
+    own = groups.select("group", "n", F.explode(levels).alias("x")).select("group", "n", "x.level", "x.key")
+    size = own.groupBy("level", "key").agg(F.sum("n").alias("n"))
+    usable = size.filter((F.col("n") >= MIN_ROWS) | (F.col("level") == 2)).select("level", "key")
+    # each group's estimate is that of its first usable level: only those are made
+    used = stored(own.join(usable, ["level", "key"]).groupBy("group").agg(F.min_by(F.struct("level", "key"), "level").alias("x")).select("group", "x.level", "x.key"), "used")
+    wanted = stored(used.select("level", "key").distinct(), "wanted")
+    few = wanted.count() <= BROADCAST_GROUPS
     rows = good.select(*FEATURES, F.explode(levels).alias("x")).select("x.level", "x.key", *FEATURES)
-    rows = stored(rows.join(F.broadcast(usable) if usable.count() <= BROADCAST_GROUPS else usable, ["level", "key"], "left_semi"), "levels")
+    rows = stored(_attached(rows, wanted, ["level", "key"], few).select("level", "key", *FEATURES), "levels")
     params = robust_estimates(rows)
-    d = len(FEATURES)
-    names = [*[f"m{i}" for i in range(d)], *[f"s{i}_{j}" for i in range(d) for j in range(i + 1)], *[f"l{i}_{j}" for i in range(d) for j in range(i + 1)]]
-    best = F.min_by(F.struct(*names), "level").alias("e")
-    all_groups = narrow.select("group", "lang").distinct()
-    own = all_groups.select("group", F.explode(levels).alias("x")).select("group", "x.level", "x.key")
-    per_group = stored(own.join(params, ["level", "key"]).groupBy("group").agg(best).select("group", "e.*"), "per-group")
-    prefixed = per_group.select(F.col("group").alias("__quality_group"), F.struct(*names).alias("__quality_estimate"))
+    prefixed = used.join(params, ["level", "key"]).select(F.col("group").alias("__quality_group"), F.struct(*_NAMES).alias("__quality_estimate"))
+    prefixed = stored(prefixed, "per-group")
+    drop_stored(rows)
     cond = F.col(f"{mine}.group") == F.col("__quality_group")
-    if _few(per_group):
+    if prefixed.count() <= BROADCAST_GROUPS:
         joined = whole.join(F.broadcast(prefixed), cond, "left")
     else:
         salted = prefixed.withColumn("__quality_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salt = F.pmod(F.xxhash64(*[F.col(f"{mine}.c.{k}") for k in ("n_words", "word_chars", "n_symbols")]), F.lit(SALTS)).cast("int")
         joined = whole.join(salted, cond & (salt == F.col("__quality_salt")), "left")
     columns = [c for c in whole.columns if c != mine]
-    c = F.col(f"{mine}.c")
-    stats = F.struct(*statistics(c)).alias("f")
-    e = F.col("__quality_estimate")
-    gaps = lambda f: [f[k] - e[f"m{i}"] for i, k in enumerate(FEATURES)]
-
-    def d2(f: Column) -> Column:
-        def solve(i: int, z: list[Column], diffs: list[Column]) -> Column:
-            if i == d:
-                return reduce(lambda a, b: a + b, [x * x for x in z])
-            rest = diffs[i]
-            for k in range(i):
-                rest = rest - e[f"l{i}_{k}"] * z[k]
-            return _let(rest / e[f"l{i}_{i}"], lambda x: solve(i + 1, [*z, x], diffs))
-
-        g = gaps(f)
-        # better than usual is no fault: gaps below the centre count as none, but for word length
-        return solve(0, [], [g[0], *(F.greatest(x, F.lit(0.0)) for x in g[1:])])
-
-    distance = F.coalesce(_let(stats, d2), F.lit(0.0))
-    failed = base_failed(c)
+    c, e = F.col(f"{mine}.c"), F.col("__quality_estimate")
+    factor = {(i, j): e[f"l{i}_{j}"] for i, j in _CELLS}
+    d2 = _let(F.struct(*statistics(c)), lambda f: _square([f[k] - e[f"m{i}"] for i, k in enumerate(FEATURES)], factor))
+    failed, distance = base_failed(c), F.coalesce(d2, F.lit(0.0))
     result = F.struct(*[c[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], failed.alias("base_failed"), distance.alias("d2"), (~failed & (distance <= CUTOFF)).alias("kept"))
     return joined.select(*[F.col(f"`{k}`") for k in columns], result.alias(out))

@@ -443,6 +443,43 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert all(got[k] for k in range(400)) and not any(got[1000 + k] for k in range(30))
 
 
+def test_quality_estimate_is_the_least_determinant_of_many_starts(spark):
+    rng = np.random.default_rng(4)
+    n, d = 600, 4
+    x = rng.normal(size=(n, d)) @ np.array([[0.3, 0.1, 0, 0], [0, 0.2, 0.05, 0], [0, 0, 0.3, 0], [0, 0, 0.1, 0.2]]) + [1.7, 0.4, 0.3, 0.5]
+    x[:110] = rng.normal(size=(110, d)) * 0.05 + [3.0, 1.5, 1.4, 1.6]  # a tight cluster of outliers
+    rows = spark.createDataFrame([(0, "a", *map(float, r)) for r in x], ["level", "key", *quality.FEATURES])
+    got = quality.robust_estimates(rows).collect()[0]
+    floor, best = np.diag(quality.FLOOR), (np.inf, None, None)
+    for start in range(200):
+        chosen = rng.choice(n, 8, replace=False) if start else np.arange(n)
+        for _ in range(40):
+            m, s = x[chosen].mean(0), np.cov(x[chosen].T, bias=True) * quality.CONSISTENCY + floor
+            d2 = np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(s), x - m)
+            chosen = np.argsort(d2)[: int(n * quality.KEEP)]
+        det = np.linalg.slogdet(s)[1]
+        if det < best[0]:
+            best = (det, m, s)
+    assert abs(got["logdet"] - best[0]) < 0.05
+    assert np.allclose([got[f"m{i}"] for i in range(d)], best[1], atol=0.02)
+    s = np.array([[got[f"s{max(i, j)}_{min(i, j)}"] for j in range(d)] for i in range(d)])
+    assert np.allclose(s, best[2], rtol=0.15, atol=0.01)
+    d2 = np.einsum("ni,ij,nj->n", x - best[1], np.linalg.inv(best[2]), x - best[1])
+    assert (d2[:110] > quality.CUTOFF).all() and (d2[110:] <= quality.CUTOFF).all()
+
+
+def test_quality_with_many_groups_joins_by_salted_keys(spark, monkeypatch):
+    rng = random.Random(15)
+    rows = [(k, " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(30, 90))), "en" if k % 3 else "de", f"s{k % 2}") for k in range(900)]
+    rows += [(1000 + k, " ".join(w + "***" for w in t.split()), "en", "s0") for k, t, *_ in rows[:10]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    verdicts = []
+    for limit in (20_000, 0):
+        monkeypatch.setattr(quality, "BROADCAST_GROUPS", limit)
+        verdicts.append({r["doc_id"]: (r["kept"], round(r["d2"], 6)) for r in quality.judged(df, carry=["doc_id"]).select("doc_id", "quality.kept", "quality.d2").collect()})
+    assert verdicts[0] == verdicts[1] and not any(verdicts[0][1000 + k][0] for k in range(10))
+
+
 # op9 ----------------------------------------------------------------------------
 
 
