@@ -34,14 +34,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortweave.llm._chunks import CHUNK, groups
+from cohortweave.llm._chunks import CHUNK, Memory, groups
 
 MAX_STATES = 300_000
 MAX_PAIRS = 1_000_000
 #: Bytes of one pretoken after which tokens whose boundaries are final are given out.
 FLUSH = 4096
-#: Bytes of remembered pieces (twice that with the generation before), and the longest piece that is remembered.
-_REMEMBERED, _LONGEST = 80_000_000, 64
+_REMEMBERED = 80_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -339,27 +338,6 @@ class Utf8Stream:
         return "�" if rest else ""
 
 
-class Memory(dict):
-    """Remembered results of short strings, in two generations of at most about ``limit`` bytes each."""
-
-    def __init__(self, compute, limit: int) -> None:  # noqa: ANN001
-        super().__init__()
-        self.compute, self.limit, self.used = compute, limit, 0
-        self.older: dict[str, str] = {}
-
-    def __missing__(self, key: str) -> str:
-        got = self.older.get(key)
-        if got is None:
-            got = self.compute(key)
-        if len(key) <= _LONGEST:
-            if self.used > self.limit:
-                self.older, self.used = dict(self), 0
-                self.clear()
-            self[key] = got
-            self.used += 200 + len(key) + len(got)
-        return got
-
-
 class ByteBPE:
     """Encoder and streaming decoder of one rank file; short pieces are remembered."""
 

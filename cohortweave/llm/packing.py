@@ -4,8 +4,8 @@ Documents are cut at multiples of the sequence length; full pieces are
 sequences of their own.  The remainders are the items of a cutting-stock
 problem: their lengths, in classes of ``step`` tokens, form a histogram of
 bounded size (``seq_len / step`` classes), over whose patterns a linear program
-is solved by column generation - a knapsack dynamic program prices new columns.
-The rounded patterns are then assigned to the documents by their rank within
+is solved by column generation - a knapsack dynamic program prices new columns -
+to within ``GAP`` of a proven bound.  The rounded patterns are then assigned to the documents by their rank within
 their class, which is a distributed computation: ranks are counted in hash
 buckets, so that a class with a third of all rows is spread over many tasks.
 
@@ -14,6 +14,7 @@ Only the histogram comes to the driver.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import zlib
@@ -25,16 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortweave.llm._chunks import CHUNK, groups
+from cohortweave.llm._chunks import CHUNK, Memory, groups
 from cohortweave.llm._store import stored
 
 SEQ_LEN = 2048
 STEP = 8
 BUCKETS = 256
 END_ID = 1
-#: Up to so many items the plan is held against plain first-fit.
-FEW = 5000
-_CACHE = 300_000
+#: Full pieces, each a sequence of its own, are ranked in this many buckets: they may be most rows.
+FULL_BUCKETS = 1 << 16
+#: The linear program ends within this share of its lower bound.
+GAP = 2e-3
+_REMEMBERED = 80_000_000
 
 
 # -------------------------------------------------------------- linear program
@@ -75,42 +78,49 @@ def inverted(a: np.ndarray) -> np.ndarray:
     return wide[:, m:].copy()
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2e-3, max_columns: int = 600) -> list[tuple[np.ndarray, float]]:
-    """Patterns and their fractional use: the linear program's optimum, or within ``gap`` of it.
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """Patterns with their fractional use, and a lower bound on the number of bins that they are within ``gap`` of.
 
     Revised simplex on ``min sum(x)``, ``A x >= demand``; the first basis has one
-    pattern of each size alone.  Ends at Farley's bound, after 60 columns
-    without a gain, or at ``max_columns``; the basis is feasible at any time.
+    pattern of each size alone.  The demand is raised by tiny amounts that differ from
+    row to row, so that no step is without a gain.  Columns are priced by duals smoothed
+    towards those of the best bound; every pricing gives a bound by Farley:
+    the duals' value over the best pattern's price.  Ends only when the bound is met.
     """
     m = len(sizes)
+    demand = demand * (1 + 1e-7 * np.random.default_rng(7).random(m)) + 1e-6 * np.random.default_rng(8).random(m)
     basis = np.diag(np.maximum(1, capacity // sizes)).astype(float)
     cost = np.ones(m)
     inverse = inverted(basis)
     x = np.einsum("ij,j", inverse, demand)
-    best, since = np.inf, 0
-    for step in range(max_columns):
-        now = float((cost * x).sum())
-        best, since = (now, 0) if now < best - 1e-5 * abs(now) else (best, since + 1)
-        if since > 60:  # degenerate: columns come and go without a gain
-            break
-        if step % 64 == 63:
+    bound, anchor, step = 0.0, np.zeros(m), 0
+    while True:
+        step += 1
+        if step % 64 == 0:
             inverse = inverted(basis)
             x = np.einsum("ij,j", inverse, demand)
+        now = float((cost * x).sum())
         dual = np.einsum("i,ij", cost, inverse)
         worst = int(dual.argmin())
-        if dual[worst] < -1e-9:
+        if dual[worst] < -1e-9:  # more of this size than demanded is free
             column, price = np.zeros(m), 0.0
             column[worst] = -1
         else:
-            value, counts = knapsack(dual, sizes, capacity)
-            if value <= 1 + gap:
-                break
+            for smooth in (0.6, 0.0):
+                prices = np.maximum(smooth * anchor + (1 - smooth) * dual, 0)
+                value, counts = knapsack(prices, sizes, capacity)
+                at = float((prices * demand).sum()) / max(1.0, value)
+                if at > bound:
+                    bound, anchor = at, prices / max(1.0, value)
+                if float((counts * dual).sum()) > 1 + 1e-7:
+                    break
+            else:  # no pattern is worth more than it costs: the optimum
+                bound = max(bound, now)
+            if now <= bound * (1 + gap):
+                return [(basis[:, k].astype(int), float(x[k])) for k in range(m) if cost[k] > 0 and x[k] > 1e-9], bound
             column, price = counts.astype(float), 1.0
         u = np.einsum("ij,j", inverse, column)
-        positive = u > 1e-9
-        if not positive.any():
-            break
-        ratio = np.where(positive, np.maximum(x, 0) / np.where(positive, u, 1), np.inf)
+        ratio = np.where(u > 1e-9, np.maximum(x, 0) / np.where(u > 1e-9, u, 1), np.inf)
         r = int(ratio.argmin())
         basis[:, r], cost[r] = column, price
         theta = ratio[r]
@@ -119,51 +129,71 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
         row = inverse[r] / u[r]
         inverse = inverse - np.outer(u, row)
         inverse[r] = row
-    return [(basis[:, k].astype(int), float(x[k])) for k in range(m) if cost[k] > 0 and x[k] > 1e-9]
+
+
+def fullest(left: dict[int, int], capacity: int) -> dict[int, int]:
+    """The fullest pattern of what is left that holds its largest size, large sizes first.
+
+    Which sums are reachable with the sizes up to each one, and so many of each, are bits of integers.
+    """
+    order = sorted(left)
+    top = order[-1]
+    mask = (1 << (capacity - top + 1)) - 1
+    reach = [1]
+    for c in order:
+        n, bits, k = min(left[c] - (c == top), (capacity - top) // c), reach[-1], 1
+        while n > 0:
+            k = min(k, n)
+            bits |= bits << (c * k) & mask
+            n -= k
+            k *= 2
+        reach.append(bits)
+    total = reach[-1].bit_length() - 1
+    pattern = {top: 1}
+    for k in range(len(order) - 1, -1, -1):
+        c = order[k]
+        n = min(left[c] - (c == top), total // c)
+        while not reach[k] >> (total - n * c) & 1:
+            n -= 1
+        if n:
+            pattern[c] = pattern.get(c, 0) + n
+        total -= n * c
+    return pattern
 
 
 def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """Whole patterns ``({size: count}, uses)`` that hold every item of ``{size: items}``.
 
-    The linear program's uses are rounded down; what they leave over (fewer items
-    than the patterns have places) goes first-fit, largest first.
+    The linear program's uses are rounded to the nearest whole number, the largest
+    fractions first, as far as items are left; the few left over (at most about one
+    pattern's items for each size) fill bins one by one, each as full as can be.
     """
     left = {c: n for c, n in histogram.items() if n > 0}
     if not left:
         return []
     sizes = np.array(sorted(left))
+    found, _ = column_generation(sizes, np.array([left[c] for c in sizes], float), capacity)
     plans: list[tuple[dict[int, int], int]] = []
-    for counts, x in column_generation(sizes, np.array([left[c] for c in sizes], float), capacity):
-        uses = int(x + 1e-7)
-        pattern = {int(c): int(k) for c, k in zip(sizes, counts, strict=True) if k}
-        uses = min([uses, *(left[c] // k for c, k in pattern.items())])
-        if uses > 0:
-            plans.append((pattern, uses))
+
+    def use(pattern: dict[int, int], times: int) -> None:
+        times = min([times, *(left.get(c, 0) // k for c, k in pattern.items())])
+        if times > 0:
+            plans.append((pattern, times))
             for c, k in pattern.items():
-                left[c] -= k * uses
-    plans += first_fit(left, capacity)
-    if sum(histogram.values()) <= FEW:  # rounding costs most where patterns are used few times
-        whole = first_fit(histogram, capacity)
-        if len(whole) < sum(n for _, n in plans):
-            return whole
+                left[c] -= k * times
+                if not left[c]:
+                    del left[c]
+
+    patterns = [({int(c): int(k) for c, k in zip(sizes, counts, strict=True) if k}, x) for counts, x in found]
+    for pattern, x in patterns:
+        use(pattern, int(x))
+    for pattern, x in sorted(patterns, key=lambda p: int(p[1]) - p[1]):
+        use(pattern, int(x % 1 >= 0.5))
+    while left:
+        use(fullest(left, capacity), 1)
     return plans
 
 
-def first_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Bins of ``{size: items}``, largest first, each item in the first bin with room."""
-    bins: list[tuple[int, dict[int, int]]] = []
-    for c in sorted(left, reverse=True):
-        for _ in range(left[c]):
-            for k, (room, held) in enumerate(bins):
-                if room >= c:
-                    held[c] = held.get(c, 0) + 1
-                    bins[k] = (room - c, held)
-                    break
-            else:
-                bins.append((capacity - c, {c: 1}))
-    return [(held, 1) for _, held in bins]
-
-
 def slots(plans: list[tuple[dict[int, int], int]]) -> tuple[dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], int]:
     """For each class: first rank, places a bin and first bin of each pattern that has it; the number of bins."""
     rows: dict[int, list[tuple[int, int, int]]] = {}
@@ -180,11 +210,12 @@ def slots(plans: list[tuple[dict[int, int], int]]) -> tuple[dict[int, tuple[np.n
 # -------------------------------------------------------------------- tokens
 
 
-def _rank_encoder(path: str):  # noqa: ANN202
+def _rank_encoder(path: str, tokenizer):  # noqa: ANN202
     """The same vocabulary as a rank encoder, which is several times faster, or None where it would differ.
 
     It is the same where the file is a plain byte-level BPE whose merges are in the
-    order of their ids and that splits by the standard pattern.
+    order of their ids, that splits by the standard pattern, and that encodes each of its
+    tokens that is a text as the rank encoder does (a token that its merges do not make differs).
     """
     import tiktoken
     from public_tokenizers import PATTERN
@@ -203,14 +234,17 @@ def _rank_encoder(path: str):  # noqa: ANN202
     if order != sorted(order) or sorted(vocab[c] for c in as_byte) != list(range(256)):
         return None
     ranks = {bytes(as_byte[c] for c in t): vocab[t] for t in [*as_byte, *map("".join, merges)]}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [t for t in (t.decode("utf-8", "ignore") for t in ranks) if t]
+    same = all(e.ids == encoding.encode_ordinary(t) for t, e in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True))
+    return encoding if same else None
 
 
 class ChunkEncoder:
     """Token ids of whole texts as little-endian 32-bit bytes, by a tokenizers file.
 
-    Pieces between white space are encoded once and remembered (at most ``_CACHE``
-    of them); a text that holds one of the file's special tokens is encoded whole.
+    Pieces between white space are encoded once and remembered; a text that holds one
+    of the file's special tokens is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -219,29 +253,21 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ranks = _rank_encoder(path)
-        self.known: dict[str, bytes] = {}
+        self.ranks = _rank_encoder(path, self.tokenizer)
+        one = self.ranks._core_bpe.encode_ordinary if self.ranks else None
+        self.known = Memory((lambda c: array("I", one(c)).tobytes()) if one else (lambda c: self.whole([c])[0]), _REMEMBERED)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _new(self, chunks: list[str]) -> list[bytes]:
-        if self.ranks is None:
-            return self.whole(chunks)
-        one = self.ranks._core_bpe.encode_ordinary
-        return [array("I", one(c)).tobytes() for c in chunks]
-
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [None if any(s in t for s in self.special) else CHUNK.findall(t) for t in texts]
-        if len(self.known) > _CACHE:
-            self.known = {}
-        new = [c for c in set().union(*filter(None, cut)) if c not in self.known]
-        self.known.update(zip(new, self._new(new), strict=True))
-        for t, chunks in zip(texts, cut, strict=True):
-            yield self.whole([t])[0] if chunks is None else b"".join(map(self.known.__getitem__, chunks))
+        for t in texts:
+            yield self.whole([t])[0] if any(s in t for s in self.special) else b"".join(map(self.known.__getitem__, CHUNK.findall(t)))
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+@functools.cache
+def _encoder(path: str) -> ChunkEncoder:
+    return ChunkEncoder(path)
 
 
 def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, seq_len: int = SEQ_LEN, with_ids: bool = False) -> DataFrame:
@@ -249,8 +275,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, seq_len: i
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.setdefault(tokenizer, None) or ChunkEncoder(tokenizer)
-        _ENCODERS[tokenizer] = encoder
+        encoder = _encoder(tokenizer)
         tail = array("I", [END_ID]).tobytes()
         for b in batches:
             at, out = 0, ([], [], [], [], [], [])
@@ -282,7 +307,8 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     """
     cut = stored(pieces(df, id_col, text_col, tokenizer, seq_len, with_ids), "pieces")
     size = F.when(F.col("length") == seq_len, 0).otherwise(F.ceil(F.col("length") / step)).cast("int")
-    marked = cut.withColumn("cls", size).withColumn("bucket", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
+    spread = F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.when(F.col("cls") == 0, FULL_BUCKETS).otherwise(BUCKETS)).cast("int")
+    marked = cut.withColumn("cls", size).withColumn("bucket", spread)
     counts = stored(marked.groupBy("cls", "bucket").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = {r["cls"]: r["n"] for r in counts.groupBy("cls").agg(F.sum("n").alias("n")).collect()}
     full = histogram.pop(0, 0)
@@ -290,7 +316,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     if full:
         table[0] = (np.array([0]), np.array([1]), np.array([bins]))
     before = F.sum("n").over(Window.partitionBy("cls").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    # at most (seq_len / step + 1) * BUCKETS rows of 16 bytes
+    # at most seq_len / step * BUCKETS + FULL_BUCKETS rows of 16 bytes; a class's window has as many rows as it has buckets
     first = F.broadcast(counts.select(F.col("cls").alias("c"), F.col("bucket").alias("b"), F.coalesce(before, F.lit(0)).alias("first")))
     rank = F.row_number().over(Window.partitionBy("cls", "bucket").orderBy("id", "start", "ids_crc32"))
     ranked = marked.withColumn("rank", rank - 1).join(first, (F.col("cls") == F.col("c")) & (F.col("bucket") == F.col("b")))

@@ -349,6 +349,17 @@ def test_packing_special_tokens_and_patterns():
         for c, k in pattern.items():
             held[c] += k * uses
     assert dict(held) == hist
+    for n_items in (30, 1000, 100_000):
+        items = np.minimum(rng.choices(range(1, 257), k=n_items), 256)
+        many = dict(zip(*(v.tolist() for v in np.unique(items, return_counts=True)), strict=True))
+        plan = packing.plan_patterns(many, 256)
+        sizes, counts = np.array(sorted(many)), np.array([many[c] for c in sorted(many)], float)
+        columns, bound = packing.column_generation(sizes, counts, 256)
+        assert sum(x for _, x in columns) <= bound * 1.003  # the linear program's value
+        bins = sum(u for _, u in plan)
+        assert bound - 1e-3 * n_items <= bins <= np.ceil(bound) * 1.003 + 2
+        for c in many:
+            assert sum(p.get(c, 0) * u for p, u in plan) == many[c]
     room = []  # first fit, largest first
     for c in sorted(hist, reverse=True):
         for _ in range(hist[c]):
