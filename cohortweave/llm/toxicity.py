@@ -6,7 +6,9 @@ terms of a text: its lower-cased words and their prefixes of 4 and 5 letters
 no sum of single weights expresses.
 
 Training uses a bounded sample: at most about ``SAMPLE`` labelled rows, chosen by
-a hash of their id; everything else (scoring) covers whole texts of all rows.
+a hash of their id; everything else (scoring) covers whole texts of all rows.  Terms
+are counted by Spark; all those that tell about the label take part, however many,
+and only they come to the driver.
 """
 
 from __future__ import annotations
@@ -22,10 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortweave.llm._store import drop_stored, stored
+
 #: Labelled rows that the model is fitted on, about; a documented bound.
 SAMPLE = 16_000
 SPACE = 1 << 20
-SELECTED = 2048
+#: Terms take part whose share of the label lies so many standard errors from the rest's; seen in 3 sample rows at least.
+STANDARD_ERRORS = 4.0
 FACTORS = 8
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
@@ -91,30 +96,21 @@ def _raw(n: int, rows: np.ndarray, cols: np.ndarray, w0: float, w: np.ndarray, v
     return w0 + _sum_rows(n, rows, w[cols]) + 0.5 * (s**2 - q).sum(1), s
 
 
-def fit(ids: list[np.ndarray], y: np.ndarray, epochs: int = 80, rate: float = 0.05, l2: float = 2e-4, seed: int = 5) -> FactorizationMachine:
-    """Full-batch Adam on the logistic loss over the ``SELECTED`` terms that tell most about the label.
+def fit(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, epochs: int = 80, rate: float = 0.05, l2: float = 2e-4, seed: int = 5) -> FactorizationMachine:
+    """Full-batch Adam on the logistic loss; ``rows`` hold hashed terms out of the distinct ``terms``.
 
     Without rows of both labels the model is the constant base rate.
     """
-    n = len(ids)
+    n = len(rows)
     pos = float(y.sum()) if n else 0.0
     slot = np.full(SPACE, -1, np.int32)
     base = np.log((pos + 0.5) / (n - pos + 0.5)) if n else -3.0
-    if not n or pos in (0, n):
+    if not n or pos in (0, n) or not len(terms):
         return FactorizationMachine(slot, float(base), np.zeros(1), np.zeros((1, FACTORS)))
-    sizes = np.array([len(x) for x in ids])
-    flat, rows = np.concatenate(ids).astype(np.int64), np.repeat(np.arange(n), sizes)
-    df = np.bincount(flat, minlength=SPACE).astype(float)
-    tx = np.bincount(flat, weights=y[rows].astype(float), minlength=SPACE)
-    rate0 = pos / n
-    z = np.where(df >= 3, np.abs(tx - df * rate0) / np.sqrt(np.maximum(df * rate0 * (1 - rate0), 1e-9) + 1), 0)
-    chosen = np.sort(np.argsort(-z, kind="stable")[:SELECTED])
-    chosen = chosen[z[chosen] > 4]
-    slot[chosen] = np.arange(len(chosen))
-    cols = slot[flat]
-    rows, cols = rows[cols >= 0], cols[cols >= 0]
+    m = len(terms)
+    slot[np.sort(terms)] = np.arange(m)
+    cols, rows = slot[np.concatenate(rows).astype(np.int64)], np.repeat(np.arange(n), [len(x) for x in rows])
     rng = np.random.default_rng(seed)
-    m = max(1, len(chosen))
     order = np.argsort(cols, kind="stable")
     p = [np.array(base), np.zeros(m), rng.normal(0, 0.01, (m, FACTORS))]
     mom, sq = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
@@ -142,7 +138,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         known = known.filter(F.crc32(F.col("id").cast("string").cast("binary")) % 4 != fold)
     n = known.count()
     share = min(1.0, sample / max(n, 1))
-    known = known.filter(F.pmod(F.xxhash64(F.col("id"), F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    known = known.filter(F.xxhash64(F.col("id"), F.lit(3)).bitwiseAND(F.lit((1 << 62) - 1)) <= int(share * ((1 << 62) - 1)))
     # at most about `sample` rows of 12 bytes
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").join(F.broadcast(known), "id")
 
@@ -152,8 +148,23 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             ids = [np.fromiter(sorted(term_ids(t.as_py(), cache)), np.int32) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("y"), pa.array(ids, pa.list_(pa.int32()))], ["id", "y", "ids"])
 
-    got = rows.mapInArrow(run, "id string, y int, ids array<int>").toArrow().sort_by("id")
-    return fit([np.asarray(x.values) if x.values is not None else np.empty(0, np.int32) for x in got.column("ids").combine_chunks()] if got.num_rows else [], got.column("y").to_numpy().astype(float))
+    read = stored(rows.mapInArrow(run, "id string, y int, ids array<int>"), "terms")
+    found, toxic = read.agg(F.count(F.lit(1)), F.sum("y")).first()
+    rate = (toxic or 0) / max(found, 1)
+    spread = F.greatest(F.col("df") * rate * (1 - rate), F.lit(1e-9)) + 1
+    seen = read.select("y", F.explode("ids").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("toxic"))
+    telling = seen.filter((F.col("df") >= 3) & (F.abs(F.col("toxic") - F.col("df") * rate) > STANDARD_ERRORS * F.sqrt(spread))).select("term")
+    terms = telling.toArrow().column("term").to_numpy()  # at most SPACE numbers
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.intersect1d(x.values.to_numpy(), terms) if x.values is not None else np.empty(0, np.int32) for x in b.column("ids")]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(own, pa.list_(pa.int32()))], ["id", "y", "ids"])
+
+    got = read.mapInArrow(keep, "id string, y int, ids array<int>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
+    drop_stored(read)
+    rows = [np.asarray(x.values) if x.values is not None else np.empty(0, np.int32) for x in got.column("ids").combine_chunks()] if got.num_rows else []
+    return fit(rows, got.column("y").to_numpy().astype(float), terms)
 
 
 def scorer(model: FactorizationMachine):  # noqa: ANN201
