@@ -15,6 +15,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -33,7 +34,9 @@ def shared_root(spark: SparkSession) -> str:
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A path below the shared root that no other call gets."""
-    return f"{shared_root(spark)}/cohortweave/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/cohortweave/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -44,13 +47,41 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):  # noqa: ANN202
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there."""
+    files, where = _hadoop(spark, path)
+    return files.exists(where)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Remove the files of a table made by :func:`stored` once nothing reads them any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files, where = _hadoop(df.sparkSession, parent)
+        files.delete(where, True)
+
+
+def mark() -> int:
+    """A point in time for :func:`release`."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
+    """Remove all that was made below the shared root since a :func:`mark`, but for the table ``keep``.
+
+    For a step whose result is stored: nothing reads its intermediate tables any more.
+    """
+    kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for f in keep.inputFiles()} if keep is not None else set()
+    stay = [p for p in _MADE[since:] if p.rsplit("/", 1)[1] in kept]
+    for path in _MADE[since:]:
+        if path not in stay:
+            files, where = _hadoop(spark, path)
+            files.delete(where, True)
+    _MADE[since:] = stay
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
