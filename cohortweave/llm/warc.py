@@ -8,8 +8,9 @@ members together with its index in the same order:
 * level one: a sparse directory, the first key of each block.
 
 A lookup binary-searches the archives' first keys, then one directory, then one
-block, and reads just the record's range.  Reading all back goes through the
-directory too: each block is one range of the index and one of the archive.
+block, and reads just the record's range.  Reading all back is a lookup of all keys:
+sorted keys are searched in the directories by ranges, and what they ask of a block is
+then one range of the index and one of the archive.
 
 Records whose payload an earlier page has are revisits.  Which they are is
 decided on digests alone; markers travel with the pages through one and the same
@@ -163,7 +164,19 @@ def write_archives(df: DataFrame, root: str, id_col: str = "page_id", url_col: s
         if directory:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*directory, strict=True)], ["part", "first_key", "at", "size", "lines", "from", "to"])
 
-    return stored(rows.mapInArrow(write, "part string, first_key string, at long, size long, lines long, `from` long, `to` long"), "directory")
+    directory = stored(rows.mapInArrow(write, "part string, first_key string, at long, size long, lines long, `from` long, `to` long"), "directory")
+    firsts = directory.groupBy("part").agg(F.min("first_key").alias("key")).orderBy("key", "part").coalesce(1)
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = filesystem(root)
+        lines = [f"{key}\t{part}" for b in batches for part, key in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        if lines:  # one line an archive
+            with files.open_output_stream(f"{base}/parts") as f:  # every attempt writes the same
+                f.write("\n".join(lines).encode("utf-8", "surrogatepass"))
+        yield pa.RecordBatch.from_arrays([pa.array([len(lines)], pa.int64())], ["n"])
+
+    firsts.mapInArrow(top, "n long").collect()
+    return directory
 
 
 def _block(files, base: str, part: str, at: int, size: int) -> list[list[str]]:  # noqa: ANN001
@@ -171,59 +184,93 @@ def _block(files, base: str, part: str, at: int, size: int) -> list[list[str]]:
     return [x.rsplit("\t", 3) for x in zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n")]
 
 
-def read_archives(directory: DataFrame, root: str, id_type: str = "long") -> DataFrame:
-    """Every record, read through the index: ``page_id, payload_bytes, payload_digest, record_type, refers_to``."""
-    spark = directory.sparkSession
-    spread = directory.repartition(partitions(spark), "part", "at")
+class CaptureIndex:
+    """The archives' index below ``root``: first keys of all archives (one line each), directories when needed."""
+
+    def __init__(self, root: str) -> None:
+        self.files, self.base = filesystem(root)
+        self.parts: list[list[str]] = []
+        if self.files.get_file_info(f"{self.base}/parts").type.name == "File":
+            with self.files.open_input_file(f"{self.base}/parts") as f:
+                self.parts = [x.rsplit("\t", 1) for x in f.read().decode("utf-8", "surrogatepass").split("\n") if x]
+        self.firsts = [x[0] for x in self.parts]
+        self.open: dict[str, tuple[list[str], list[list[str]]]] = {}
+
+    def _directory(self, part: str) -> tuple[list[str], list[list[str]]]:
+        if part not in self.open:
+            if len(self.open) >= 4:  # sorted keys come to a directory once
+                self.open.pop(next(iter(self.open)))
+            with self.files.open_input_file(f"{self.base}/directory/{part}.dir") as f:
+                rows = [x.rsplit("\t", 5) for x in f.read().decode("utf-8", "surrogatepass").split("\n")]
+            self.open[part] = [r[0] for r in rows], rows
+        return self.open[part]
+
+    def blocks(self, key: str) -> Iterator[tuple[str, int, int, int, int]]:
+        """``part, at, size, from, to`` of the index blocks that can hold a key, by two binary searches."""
+        k = max(0, bisect.bisect_left(self.firsts, key) - 1)
+        while k < len(self.parts) and self.firsts[k] <= key:
+            firsts, rows = self._directory(self.parts[k][1])
+            for r in rows[max(0, bisect.bisect_left(firsts, key) - 1) : bisect.bisect_right(firsts, key)]:
+                yield self.parts[k][1], int(r[1]), int(r[2]), int(r[4]), int(r[5])
+            k += 1
+
+    def within(self, part: str, at: int, size: int, keys: list[str]) -> list[tuple[int, int]]:
+        """Places and sizes of the block's records of these keys, by binary search."""
+        lines = _block(self.files, self.base, part, at, size)
+        names = [x[0] for x in lines]
+        out = []
+        for key in keys:
+            out += [(int(x[2]), int(x[3])) for x in lines[bisect.bisect_left(names, key) : bisect.bisect_right(names, key)]]
+        return out
+
+    def lookup(self, key: str) -> list[Capture]:
+        """All captures of a key (see :func:`url_key`), in order."""
+        out: list[Capture] = []
+        for part, at, size, _, _ in self.blocks(key):
+            for start, length in self.within(part, at, size, [key]):
+                out.append(parse(read_range(self.files, f"{self.base}/archive/{part}.warc.gz", start, length)))
+        return out
+
+
+def read_archives(keys: DataFrame, root: str, id_type: str = "long") -> DataFrame:
+    """Every record of the URL keys in ``key`` (repeated ones count once), read through the index: ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
+
+    A key that many records share is many blocks, and each block is read by itself.
+    """
+    n = partitions(keys.sparkSession)
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    place = ["part", "at", "size", "from", "to"]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = CaptureIndex(root)
+        for b in batches:
+            found = [(*where, key) for key in b.column(0).to_pylist() for where in index.blocks(key)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], [*place, "key"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = filesystem(root)
+        index = CaptureIndex(root)
         for b in batches:
             for d in b.to_pylist():
-                lines = _block(files, base, d["part"], d["at"], d["size"])
-                raw = read_range(files, f"{base}/archive/{d['part']}.warc.gz", d["from"], d["to"] - d["from"])
-                got = [parse(raw[int(at) - d["from"] : int(at) - d["from"] + int(size)]) for _, _, at, size in lines]
+                asked = index.within(d["part"], d["at"], d["size"], d["keys"])
+                if not asked:
+                    continue
+                raw = read_range(index.files, f"{index.base}/archive/{d['part']}.warc.gz", d["from"], d["to"] - d["from"])
+                got = [parse(raw[at - d["from"] : at - d["from"] + size]) for at, size in asked]
                 cols = [[c.page_id or None for c in got], [c.payload_bytes for c in got], [c.payload_digest for c in got], [c.record_type for c in got], [c.refers_to for c in got]]
                 kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    out = spread.mapInArrow(read, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    sorted_keys = keys.select("key").distinct().repartitionByRange(n, "key").sortWithinPartitions("key")
+    where = sorted_keys.mapInArrow(search, "part string, at long, size long, `from` long, `to` long, key string")
+    asked = where.groupBy(*place).agg(F.collect_set("key").alias("keys"))  # at most BLOCK_LINES keys a block
+    out = asked.mapInArrow(read, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
     return out.select(F.col("page_id").cast(id_type), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type))
 
 
-class CaptureIndex:
-    """Lookups by URL.  Holds the first key of each archive; directories and blocks are read when needed."""
-
-    def __init__(self, directory: DataFrame, root: str) -> None:
-        parts = directory.groupBy("part").agg(F.min("first_key").alias("k")).collect()  # one row an archive
-        self.parts = sorted((r["k"], r["part"]) for r in parts)
-        self.files, self.base = filesystem(root)
-
-    def lookup(self, key: str) -> list[Capture]:
-        """All captures of a key (see :func:`url_key`), in order."""
-        out: list[Capture] = []
-        k = max(0, bisect.bisect_left(self.parts, (key, "")) - 1)
-        while k < len(self.parts) and self.parts[k][0] <= key:
-            out += self._within(self.parts[k][1], key)
-            k += 1
-        return out
-
-    def _within(self, part: str, key: str) -> list[Capture]:
-        with self.files.open_input_file(f"{self.base}/directory/{part}.dir") as f:
-            rows = [x.rsplit("\t", 5) for x in f.read().decode("utf-8", "surrogatepass").split("\n")]
-        firsts = [r[0] for r in rows]
-        out: list[Capture] = []
-        for r in rows[max(0, bisect.bisect_left(firsts, key) - 1) : bisect.bisect_right(firsts, key)]:
-            lines = _block(self.files, self.base, part, int(r[1]), int(r[2]))
-            names = [x[0] for x in lines]
-            for x in lines[bisect.bisect_left(names, key) : bisect.bisect_right(names, key)]:
-                out.append(parse(read_range(self.files, f"{self.base}/archive/{part}.warc.gz", int(x[2]), int(x[3]))))
-        return out
-
-
 def round_trip(spark: SparkSession, df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", root: str | None = None) -> DataFrame:
-    """Write archives of ``df`` below ``root`` (default: the shared folder) and read them all back."""
+    """Write archives of ``df`` below ``root`` (default: the shared folder) and look all its keys up."""
     root = root or fresh_dir(spark, "warc")
     kind = df.select(F.col(id_col)).schema[0].dataType.simpleString()
-    return read_archives(write_archives(df, root, id_col, url_col, html_col), root, kind)
+    write_archives(df, root, id_col, url_col, html_col)
+    return read_archives(df.select(url_key(F.col(url_col)).alias("key")), root, kind)

@@ -95,11 +95,23 @@ def test_sharding(docs, empty):
     assert sharding.assign_shards(empty, 4).count() == 0
 
 
-def test_slot_map_is_versioned(spark, docs, tmp_path):
-    sharding.assign_shards(docs, 4, map_path=str(tmp_path / "map")).count()
-    table = spark.read.parquet(str(tmp_path / "map"))
-    assert {r["version"] for r in table.select("version").distinct().collect()} == {1, 2}
+def test_slot_map_is_edited(spark, docs, tmp_path):
+    path = str(tmp_path / "map")
+    sharding.assign_shards(docs, 4, map_path=path).count()
+    sharding.assign_shards(docs, 5, map_path=path).count()  # one more shard
+    table = spark.read.parquet(path)
+    assert table.groupBy("version").count().collect() and {(r["version"], r["count"]) for r in table.groupBy("version").count().collect()} == {(1, 4096), (2, 4096), (3, 4096)}
     assert table.groupBy("version", "slot").count().filter("count > 1").count() == 0
+    per_slot = spark.createDataFrame([(k, 50 + random.Random(k).randrange(20)) for k in range(4096)], "slot int, bytes long")
+    path = str(tmp_path / "even")
+    second = {r["slot"]: (r["shard"], r["bytes"]) for r in sharding.next_map(per_slot, 16, path).collect()}
+    moved = sum(shard != slot % 16 for slot, (shard, _) in second.items())
+    loads = [sum(b for shard, b in second.values() if shard == s) for s in range(16)]
+    assert moved < 0.06 * 4096 and max(loads) - min(loads) <= 70
+    third = {r["slot"]: (r["shard"], r["bytes"]) for r in sharding.next_map(per_slot, 17, path).collect()}
+    moves = [(second[k][0], third[k][0]) for k in third if second[k][0] != third[k][0]]
+    loads = [sum(b for shard, b in third.values() if shard == s) for s in range(17)]
+    assert len(moves) < 0.12 * 4096 and max(loads) - min(loads) <= 70
 
 
 # op2 ----------------------------------------------------------------------------
@@ -111,14 +123,18 @@ def test_warc(spark, tmp_path):
     df = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, key string")
     root = str(tmp_path / "warc")
     directory = warc.write_archives(df, root)
-    got = sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_archives(directory, root).collect())
+    assert {r["part"] for r in directory.collect()} == {x[1] for x in warc.CaptureIndex(root).parts}
+    keys = df.select(warc.url_key(F.col("url")).alias("key"))
+    got = sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_archives(keys, root).collect())
     want = []
     for i, _, h in rows:
         raw = (h or "").encode()
         again = h == long_page and i != 1
         want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", 1 if again else None))
     assert got == sorted(want)
-    index = warc.CaptureIndex(directory, root)
+    some = warc.read_archives(keys.filter("key like 'com,example,a)%'"), root).collect()
+    assert sorted(r["page_id"] for r in some) == [3, 4, 7]
+    index = warc.CaptureIndex(root)
     found = index.lookup("com,example,a)/x")
     assert sorted(c.page_id for c in found) == ["3", "4"]
     assert [c.payload for c in found if c.page_id == "4"] == [b"short"]
