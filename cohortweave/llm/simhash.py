@@ -293,6 +293,23 @@ def _split_hot(rows: DataFrame, cap: int) -> DataFrame:
     return marked.filter("s is null").select("bucket", "node").union(cut)
 
 
+def _split_tables(rows: DataFrame, cap: int) -> DataFrame:
+    """The same for buckets of the wide search (the table's number in the bits from 44 on): ``bucket, node, tbl, own, cross``.
+
+    ``own`` is the row's sub-shard, ``cross`` whether the bucket joins two of them.
+    """
+    named = rows.withColumn("tbl", F.shiftright("bucket", 44).cast("int"))
+    hot = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cap), "hot")
+    whole = lambda df: df.select("bucket", "node", "tbl", F.lit(0).alias("own"), F.lit(False).alias("cross"))
+    if hot.isEmpty():
+        return whole(named)
+    hot = hot.select(F.col("bucket").alias("b"), F.ceil(F.col("n") / cap).cast("int").alias("s"))
+    marked = named.join(hot, F.col("bucket") == F.col("b"), "left").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("s")).cast("int"))
+    other = marked.filter("s is not null").select("bucket", "node", "tbl", "own", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("o"))
+    cut = other.select(F.xxhash64("bucket", F.least("own", "o"), F.greatest("own", "o")).alias("bucket"), "node", "tbl", "own", (F.col("own") != F.col("o")).alias("cross"))
+    return whole(marked.filter("s is null")).union(cut)
+
+
 def _grouped(rows: DataFrame) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "node")
 
@@ -415,14 +432,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near, far = radius_of(bits, similarity, 0.0), radius_of(bits, similarity)
     weights = 1 << np.arange(picks.shape[1], dtype=np.int64)
 
+    def keys_of(sigs: np.ndarray) -> np.ndarray:
+        """The bucket of each signature (row of bytes) in each table."""
+        up = np.unpackbits(sigs, axis=1, bitorder="little")
+        return np.stack([up[:, p].astype(np.int64) @ weights for p in picks], 1)
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.arange(len(picks), dtype=np.int64) << 44
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 c = b.slice(at, 2048)
-                raw = np.frombuffer(b"".join(c.column(1).to_pylist()), np.uint8).reshape(c.num_rows, -1)
-                up = np.unpackbits(raw, axis=1, bitorder="little")
-                keys = np.stack([up[:, p].astype(np.int64) @ weights for p in picks], 1) + salt
+                keys = keys_of(np.frombuffer(b"".join(c.column(1).to_pylist()), np.uint8).reshape(c.num_rows, -1)) + salt
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(c.column(0).to_numpy(), len(picks)))], ["bucket", "node"])
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,7 +453,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     routed = reps.select("node", "sig").mapInArrow(route, "bucket long, node long")
     shared = stored(_grouped(routed).mapInArrow(several, "bucket long, node long"), "shared")
-    split = stored(_split_hot(shared, shard_cap), "split")
+    split = stored(_split_tables(shared, shard_cap), "split")
 
     def span(values: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = spanning_pairs([int.from_bytes(v.tobytes(), "little") for v in values], near)
@@ -442,11 +462,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def between(values: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return pairs_between(values, classes, far) if (classes != classes[0]).any() else (np.empty(0, int), np.empty(0, int))
 
-    def candidates(search, radius: int, classes: DataFrame) -> DataFrame:  # noqa: ANN001
+    def first_met(sigs: np.ndarray, i: np.ndarray, j: np.ndarray, table: int) -> np.ndarray:
+        """Which pairs share no earlier table's bucket: each pair of signatures is given out by one table."""
+        rows, flat = np.unique(np.r_[i, j], return_inverse=True)
+        keys = keys_of(sigs[rows].view(np.uint8).reshape(len(rows), -1))[:, :table]
+        return np.concatenate([~(keys[flat[s : min(s + 8192, len(i))]] == keys[flat[len(i) + s : len(i) + min(s + 8192, len(i))]]).any(1) for s in range(0, len(i), 8192)])
+
+    def candidates(search, radius: int, classes: DataFrame, once: bool) -> DataFrame:  # noqa: ANN001
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for starts, table in _runs(batches):
                 ends = np.append(starts[1:], table.num_rows)
                 nodes, roots = table.column(1).to_numpy(), table.column(3).to_numpy()
+                tables, own, cross = (table.column(k).to_numpy() for k in (4, 5, 6))
                 sigs = np.frombuffer(b"".join(table.column(2).to_pylist()), "<u8").reshape(len(nodes), -1)
                 several = ends - starts > 1
                 pair = ends - starts == 2
@@ -456,12 +483,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 a, b = [nodes[s]], [nodes[s + 1]]
                 for s, e in zip(starts[several & ~pair], ends[several & ~pair], strict=True):
                     i, j = search(sigs[s:e], roots[s:e])
+                    if once and len(i):
+                        if cross[s]:  # two parts of a hot bucket: pairs within either are met in its own bucket
+                            apart = own[s:e][i] != own[s:e][j]
+                            i, j = i[apart], j[apart]
+                        if len(i):
+                            new = first_met(sigs[s:e], i, j, int(tables[s]))
+                            i, j = i[new], j[new]
                     a.append(nodes[s:e][i])
                     b.append(nodes[s:e][j])
                 a, b = np.concatenate(a), np.concatenate(b)
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
-        known = split.join(classes, "node").select("bucket", "node", "sig", "root")
+        known = split.join(classes, "node").select("bucket", "node", "sig", "root", "tbl", "own", "cross")
         return stored(_grouped(known).mapInArrow(run, "a long, b long").distinct(), "candidates")
 
     def classes_of(links: DataFrame) -> DataFrame:
@@ -469,9 +503,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return stored(reps.join(nodes, "node", "left").select("node", "sig", "least", F.coalesce("root", "node").alias("root")), "classes")
 
     alone = reps.select("node", "sig", F.col("node").alias("root"))
-    links = verified(candidates(span, near, alone), named, texts, words, similarity)
+    links = verified(candidates(span, near, alone, False), named, texts, words, similarity)
     classed = classes_of(links)
-    more = verified(candidates(between, far, classed.select("node", "sig", "root")), named, texts, words, similarity)
+    more = verified(candidates(between, far, classed.select("node", "sig", "root"), True), named, texts, words, similarity)
     drop_stored(shared)
     drop_stored(split)
     classed = classes_of(links.union(more)).select("node", "least", "root")
