@@ -257,18 +257,17 @@ def ridge(x: np.ndarray, y: np.ndarray, alpha: float = 1e-5) -> np.ndarray:
     return np.linalg.solve(x.T @ x + alpha * np.eye(x.shape[1]), x.T @ y)
 
 
-def memory_capacity(w: np.ndarray, rho: float, leak: float, seed: int, steps: int = 600, lags: int = 20) -> np.ndarray:
-    """Squared correlation of the best linear recall of the input ``lag`` steps ago, for each lag."""
-    u = np.random.default_rng(seed + 1).uniform(-1, 1, (steps, 1))
-    s = reservoir_states(w, u, rho, leak, seed)
-    half, out = (steps + lags) // 2, []
-    for k in range(1, lags + 1):
-        x, y = s[lags:], u[lags - k : steps - k, 0]
-        cut = half - lags
-        b = ridge(x[:cut], y[:cut])
-        p = np.column_stack([x[cut:], np.ones(len(x) - cut)]) @ b
-        out.append(np.corrcoef(p, y[cut:])[0, 1] ** 2 if p.std() > 0 else 0.0)
-    return np.array(out)
+def memory_capacity(w: np.ndarray, rho: float, leak: float, seed: int, steps: int = 5000, lags: int = 50, skip: int = 500, alpha: float = 1e-6) -> np.ndarray:
+    """R squared, 0 at least, of the ridge recall (with intercept) of the input ``lag`` steps ago, for each lag; the first ``skip`` steps are left out."""
+    u = np.random.default_rng(seed + 1).uniform(-0.5, 0.5, (steps, 1))
+    s, heard = reservoir_states(w, u, rho, leak, seed)[skip:], u[skip:, 0]
+    out = np.zeros(lags)
+    for k in range(1, min(lags, len(s) - 1) + 1):
+        x, y = s[k:], heard[:-k]
+        xc, yc = x - x.mean(0), y - y.mean()
+        rest = yc - xc @ np.linalg.solve(xc.T @ xc + alpha * np.eye(x.shape[1]), xc.T @ yc)
+        out[k - 1] = max(0.0, 1 - (rest @ rest) / (yc @ yc)) if yc.any() else 0.0
+    return out
 
 
 def kernel_quality(states: np.ndarray, tol: float = 1e-6) -> int:
@@ -278,11 +277,11 @@ def kernel_quality(states: np.ndarray, tol: float = 1e-6) -> int:
 
 
 def surface_features(xyz: np.ndarray, radius: float, least: int = 6) -> np.ndarray:
-    """Per vertex: eigenvalues of the neighbourhood's covariance, and linearity, planarity, sphericity, entropy.
+    """Per vertex: eigenvalues of the neighbourhood's covariance, and linearity, planarity, sphericity, entropy, omnivariance, anisotropy, surface variation.
 
     Neighbours within the radius, itself included; NaN for under ``least`` of them or no extent.
     """
-    out = np.full((len(xyz), 7), math.nan)
+    out = np.full((len(xyz), 10), math.nan)
     for v in range(len(xyz)):
         near = xyz[((xyz - xyz[v]) ** 2).sum(1) <= radius * radius]
         if len(near) < least:
@@ -293,5 +292,168 @@ def surface_features(xyz: np.ndarray, radius: float, least: int = 6) -> np.ndarr
             continue
         p = val / val.sum()
         p = p[p > 1e-12]
-        out[v] = [*val, (val[0] - val[1]) / val[0], (val[1] - val[2]) / val[0], val[2] / val[0], -(p * np.log(p)).sum()]
+        out[v] = [*val, (val[0] - val[1]) / val[0], (val[1] - val[2]) / val[0], val[2] / val[0], -(p * np.log(p)).sum(), val.prod() ** (1 / 3), (val[0] - val[2]) / val[0], val[2] / val.sum()]
     return out
+
+
+def largest_part(w: np.ndarray) -> int:
+    """Edges of the connected part that has most of them."""
+    n, label = len(w), np.full(len(w), -1)
+    most = 0
+    for s in range(n):
+        if label[s] >= 0:
+            continue
+        label[s], queue = s, [s]
+        for v in queue:
+            for u in np.flatnonzero((w[v] != 0) & (label < 0)):
+                label[u] = s
+                queue.append(int(u))
+        inside = label == s
+        most = max(most, int((w[np.ix_(inside, inside)] != 0).sum()) // 2)
+    return most
+
+
+def kendall_tau_b(x: np.ndarray, y: np.ndarray) -> float:
+    """Kendall's tau-b: discordant pairs are inversions, counted by merging; NaN where a series is constant."""
+    n = len(x)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    tied = lambda *v: sum(int(c) * (int(c) - 1) // 2 for c in np.unique(np.column_stack(v), axis=0, return_counts=True)[1])
+    pairs, in_x, in_y, in_both = n * (n - 1) // 2, tied(x), tied(y), tied(x, y)
+    ranks = np.unique(y, return_inverse=True)[1]
+    swaps, width = 0, 1
+    while width < n:
+        for lo in range(0, n - width, 2 * width):
+            left, right = ranks[lo : lo + width], ranks[lo + width : lo + 2 * width]
+            swaps += int((len(left) - np.searchsorted(left, right, "right")).sum())
+            ranks[lo : lo + 2 * width] = np.sort(ranks[lo : lo + 2 * width], kind="stable")
+        width *= 2
+    under = math.sqrt((pairs - in_x) * (pairs - in_y))
+    return (pairs - in_x - in_y + in_both - 2 * swaps) / under if under else math.nan
+
+
+def betweenness_weighted(w: np.ndarray, cost: np.ndarray | None = None) -> np.ndarray:
+    """Share of shortest paths of steps 1 / weight through each node, over the pairs of others; ties share."""
+    d = distances(w, weighted=True)
+    n, near = len(w), w > 0
+    step = np.where(near, 1 / np.where(near, w, 1), np.inf)
+    same = lambda a, b: np.abs(a - b) <= 1e-9 * np.maximum(1e-300, np.abs(b))
+    out = np.zeros(n)
+    for s in range(n):
+        order = [int(v) for v in np.argsort(d[s], kind="stable") if np.isfinite(d[s, v])]
+        paths, part = np.zeros(n), np.zeros(n)
+        paths[s] = 1
+        before = {v: np.flatnonzero(near[:, v] & same(d[s] + step[:, v], d[s, v])) for v in order if v != s}
+        for v in order:
+            if v != s:
+                paths[v] = paths[before[v]].sum()
+        for v in reversed(order):
+            if v == s:
+                continue
+            part[before[v]] += paths[before[v]] / paths[v] * (1 + part[v])
+            out[v] += part[v]
+    return out / ((n - 1) * (n - 2)) if n > 2 else out
+
+
+def rich_club(w: np.ndarray) -> list[tuple[int, float]]:
+    """``(k, phi)``: density among the nodes of degree over k, for each k under the largest degree."""
+    b = w > 0
+    k = b.sum(1)
+    out = []
+    for limit in range(int(k.max(initial=0))):
+        rich = k > limit
+        n = int(rich.sum())
+        out.append((limit, float(b[np.ix_(rich, rich)].sum() / (n * (n - 1))) if n > 1 else 0.0))
+    return out
+
+
+def erdos_renyi(w: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A random graph of as many nodes, edges and weights."""
+    i, j = np.triu_indices(len(w), 1)
+    held = w[i, j][w[i, j] > 0]
+    at = rng.choice(len(i), len(held), replace=False)
+    a = np.zeros_like(w, dtype=float)
+    a[i[at], j[at]] = rng.permutation(held)
+    return a + a.T
+
+
+def configuration(w: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Stubs of the degrees joined at random; loops and double edges fall away, so some degrees are lost."""
+    k = (w > 0).sum(1)
+    stubs = rng.permutation(np.repeat(np.arange(len(w)), k))
+    a = np.zeros_like(w, dtype=float)
+    half = len(stubs) // 2
+    one, two = stubs[:half], stubs[half : 2 * half]
+    ok = one != two
+    a[one[ok], two[ok]] = 1
+    return np.maximum(a, a.T)
+
+
+def weights_shuffled(w: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Degrees kept by edge swaps, and the weights dealt anew over the edges."""
+    a = rewired(w, rng)
+    i, j = np.nonzero(np.triu(a, 1))
+    out = np.zeros_like(a)
+    out[i, j] = rng.permutation(a[i, j])
+    return out + out.T
+
+
+def geometry_rewired(w: np.ndarray, place: np.ndarray, rng: np.random.Generator, bins: int = 10) -> np.ndarray:
+    """Edges dealt anew among the pairs of about the same distance: their number in each distance bin stays."""
+    i, j = np.triu_indices(len(w), 1)
+    far = np.linalg.norm(place[i] - place[j], axis=1)
+    cuts = np.quantile(far, np.linspace(0, 1, bins + 1)[1:-1])
+    which, v = np.searchsorted(cuts, far, "right"), w[i, j]
+    a = np.zeros_like(w, dtype=float)
+    for b in range(bins):
+        inside = np.flatnonzero(which == b)
+        a[i[inside], j[inside]] = v[rng.permutation(inside)]
+    return a + a.T
+
+
+def state_entropy(states: np.ndarray, bins: int = 30) -> float:
+    """Mean over nodes of the entropy of their states in equal bins, over its largest value."""
+    out = []
+    for x in states.T:
+        p = np.histogram(x, bins)[0] / len(x)
+        p = p[p > 0]
+        out.append(-(p * np.log2(p)).sum() / math.log2(bins))
+    return float(np.mean(out))
+
+
+def echo_index(w: np.ndarray, rho: float, leak: float, seed: int, trials: int = 10, steps: int = 1000) -> float:
+    """1 less the mean distance of states that began apart and had the same input, over the largest distance."""
+    rng, n = np.random.default_rng(seed), len(w)
+    a, win = scaled(w, rho), rng.uniform(-1, 1, n)
+    x = rng.uniform(-1, 1, (trials, n))
+    for u in rng.uniform(-1, 1, steps):
+        x = (1 - leak) * x + leak * np.tanh(win * u + x @ a)
+    i, j = np.triu_indices(trials, 1)
+    return float(1 - np.linalg.norm(x[i] - x[j], axis=1).mean() / (2 * math.sqrt(n)))
+
+
+def lyapunov(w: np.ndarray, rho: float, leak: float, seed: int, steps: int = 5000, skip: int = 500) -> float:
+    """Mean logarithmic growth of a tangent vector along a driven trajectory."""
+    rng, n = np.random.default_rng(seed), len(w)
+    a, win = scaled(w, rho), rng.uniform(-1, 1, n)
+    x, v, total = np.zeros(n), rng.normal(size=n), 0.0
+    v /= np.linalg.norm(v)
+    for t, u in enumerate(rng.uniform(-1, 1, steps)):
+        y = np.tanh(win * u + a @ x)
+        x = (1 - leak) * x + leak * y
+        v = (1 - leak) * v + leak * (1 - y * y) * (a @ v)
+        size = np.linalg.norm(v)
+        if size < 1e-300:
+            return -math.inf
+        v /= size
+        if t >= skip:
+            total += math.log(size)
+    return total / max(steps - skip, 1)
+
+
+def scaled(w: np.ndarray, rho: float) -> np.ndarray:
+    """The symmetrised matrix without its diagonal, at spectral radius ``rho``."""
+    a = (w + w.T) / 2
+    np.fill_diagonal(a, 0)
+    radius = np.abs(np.linalg.eigvalsh(a)).max()
+    return a / radius * rho if radius > 0 else a

@@ -38,11 +38,44 @@ def welch(x: np.ndarray, dt: float, width: int) -> tuple[np.ndarray, np.ndarray]
     return np.fft.rfftfreq(width, dt), p
 
 
-def bandpass(x: np.ndarray, dt: float, low: float, high: float) -> np.ndarray:
-    """Zero-phase ideal band-pass by the Fourier transform."""
-    s, f = np.fft.rfft(x), np.fft.rfftfreq(len(x), dt)
-    s[(f < low) | (f > high)] = 0
-    return np.fft.irfft(s, len(x))
+def butterworth(order: int, low: float, high: float, rate: float) -> np.ndarray:
+    """Second-order sections ``(order, 6)`` of the digital Butterworth band-pass, by the bilinear transform of the analogue poles."""
+    warped = 2 * rate * np.tan(np.pi * np.array([low, high]) / rate)
+    width, centre = warped[1] - warped[0], math.sqrt(warped[0] * warped[1])
+    unit = np.exp(1j * np.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order))  # left half plane
+    half = unit * width / 2
+    poles = np.concatenate([half + np.sqrt(half**2 - centre**2), half - np.sqrt(half**2 - centre**2)])
+    z = (2 * rate + poles) / (2 * rate - poles)
+    real = np.sort(z[np.abs(z.imag) < 1e-12].real)  # a wide band's middle pole is two real ones
+    ends = [(2 * p.real, abs(p) ** 2) for p in z[z.imag >= 1e-12]] + [(p + q, p * q) for p, q in real.reshape(-1, 2)]
+    sections = np.array([[1.0, 0.0, -1.0, 1.0, -total, product] for total, product in ends])
+    at = np.exp(2j * math.atan(centre / (2 * rate)))  # where the gain is 1
+    gain = abs(np.prod([(s[0] + s[1] / at + s[2] / at**2) / (s[3] + s[4] / at + s[5] / at**2) for s in sections]))
+    sections[0, :3] /= gain
+    return sections
+
+
+def _filtered(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The sections one after another, begun in the steady state of the first value."""
+    for b0, b1, b2, _, a1, a2 in sections:
+        whole = (b0 + b1 + b2) / (1 + a1 + a2)
+        z1, z2 = (whole - b0) * x[0], (b2 - a2 * whole) * x[0]
+        y = np.empty(len(x))
+        for t, v in enumerate(x.tolist()):
+            out = b0 * v + z1
+            z1, z2 = b1 * v - a1 * out + z2, b2 * v - a2 * out
+            y[t] = out
+        x = y
+    return x
+
+
+def bandpass(x: np.ndarray, dt: float, low: float, high: float, order: int = 5) -> np.ndarray:
+    """Butterworth band-pass run forwards and back: no phase shift.  The ends are continued by turning the series about them."""
+    sections = butterworth(order, low, high, 1 / dt)
+    pad = min(6 * order + 3, len(x) - 1)
+    long = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+    there = _filtered(sections, long)
+    return _filtered(sections, there[::-1])[::-1][pad : pad + len(x)]
 
 
 def analytic(x: np.ndarray) -> np.ndarray:
@@ -103,16 +136,21 @@ def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float:
 
 
 def lempel_ziv(x: np.ndarray) -> float:
-    """Normalised LZ76 complexity of the series binarised at its median: phrases * log2(n) / n."""
-    s = "".join("1" if v > np.median(x) else "0" for v in x)
-    n, at, phrases = len(s), 0, 0
+    """Normalised LZ76 complexity of the series binarised at its median: (1 + whole phrases) * log2(n) / n.
+
+    An unfinished phrase at the end does not count; the count begins with 1.
+    """
+    s = "".join(np.where(x > np.median(x), "1", "0")) if len(x) else ""
+    n, at, phrases = len(s), 0, 1
     while at < n:
         size = 1
         while at + size <= n and s.find(s[at : at + size], 0, at + size - 1) >= 0:
             size += 1
+        if at + size > n:
+            break
         phrases += 1
         at += size
-    return phrases * math.log2(n) / n if n > 1 else math.nan
+    return phrases * math.log2(n) / n if n > 1 else float(phrases)
 
 
 def spectral_entropy(x: np.ndarray) -> float:

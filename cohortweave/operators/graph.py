@@ -150,23 +150,6 @@ def decoupling_index(first: DataFrame, second: DataFrame) -> DataFrame:
     return x.select("g", "node", (F.abs(F.col("f") - F.col("s")) / (F.abs("f") + F.abs("s") + 1e-10)).alias("decoupling"))
 
 
-def hop_lengths(edges: DataFrame, max_hops: int) -> DataFrame:
-    """Shortest hop counts of ordered pairs, to ``max_hops``: each round joins the newest pairs with the arcs."""
-    a = cut(arcs(edges).select("g", "i", "j").distinct())
-    known = a.withColumn("hops", F.lit(1))
-    front = a
-    for h in range(2, max_hops + 1):
-        step = front.join(a.select("g", F.col("i").alias("j"), F.col("j").alias("k")), ["g", "j"]).select("g", "i", F.col("k").alias("j")).filter("i <> j").distinct()
-        front = cut(step.join(known.select("g", "i", "j"), ["g", "i", "j"], "left_anti"))
-        known = known.union(front.select("g", "i", "j", F.lit(h).alias("hops")))
-    return known
-
-
-def global_efficiency(edges: DataFrame, nodes: int, max_hops: int = 4) -> DataFrame:
-    """Mean of 1 / hops over ordered pairs; unreachable ones count 0."""
-    return hop_lengths(edges, max_hops).groupBy("g").agg((F.sum(1.0 / F.col("hops")) / (nodes * (nodes - 1))).alias("efficiency"))
-
-
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Smallest node reachable from each node that has an edge.
 

@@ -170,3 +170,49 @@ def virtual_lesions(edges: DataFrame) -> DataFrame:
         return np.column_stack([left, [whole - x for x in left]])
 
     return per_node(edges, ["efficiency", "loss"], run)
+
+
+def graph_rows(edges: DataFrame, schema: str, kernel: Callable[[np.ndarray], list[tuple]]) -> DataFrame:
+    """``g`` and the rows that the kernel gives for each graph."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for g, e in zip(b["g"], b["edges"], strict=True):
+                _, w = _arrays([tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in e])
+                rows += [(g, *r) for r in kernel(w)]
+            yield pd.DataFrame(rows, columns=["g", *names])
+
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
+    return packed_graphs(edges).mapInPandas(run, f"g {kinds['g']}, {schema}")
+
+
+def null_rows(edges: DataFrame, n: int, schema: str, kernel: Callable[[np.ndarray], list[tuple]], model: Callable[[np.ndarray, np.random.Generator], np.ndarray] = nw.rewired, salt: int = 0) -> DataFrame:
+    """``g, replicate`` and the kernel's rows for ``n`` random graphs of each graph, made by ``model``."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for g, e, r, seed in zip(b["g"], b["edges"], b["replicate"], b["seed"], strict=True):
+                _, w = _arrays([tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in e])
+                rows += [(g, r, *x) for x in kernel(model(w, np.random.default_rng(seed)))]
+            yield pd.DataFrame(rows, columns=["g", "replicate", *names])
+
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
+    work = replicates(packed_graphs(edges), n, "g", salt=salt).repartition("g", "replicate")
+    return work.mapInPandas(run, f"g {kinds['g']}, replicate int, {schema}")
+
+
+def pair_kernel(pairs: DataFrame, packed: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], float]) -> DataFrame:
+    """``subject, i, j, value``: the kernel on the two packed series of each pair."""
+    a, b = (packed.select("subject", F.col("roi").alias(k), F.col("values").alias(f"v{k}")) for k in "ij")
+    rows = pairs.join(a, ["subject", "i"]).join(b, ["subject", "j"]).select("subject", "i", "j", "vi", "vj")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield x[["subject", "i", "j"]].assign(value=[float(kernel(np.asarray(p, float), np.asarray(q, float))) for p, q in zip(x["vi"], x["vj"], strict=True)])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.mapInPandas(run, f"subject {kinds['subject']}, i {kinds['i']}, j {kinds['j']}, value double")

@@ -39,14 +39,14 @@ def query(sql: str | None = None, ctes: str = "", name: str = ""):  # noqa: ANN2
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All registered queries."""
-    from cohortweave.plans import kernels, more  # noqa: F401  register their own
+    from cohortweave.plans import extended, kernels, more  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """The SQL of those that have one."""
-    from cohortweave.plans import kernels, more  # noqa: F401  register their own
+    from cohortweave.plans import extended, kernels, more  # noqa: F401  register their own
 
     return dict(_SQL)
 
@@ -390,9 +390,6 @@ query(
     "SELECT 0 AS g, node, round(abs(f - s) / (abs(f) + abs(s) + 1e-10), 6) + 0.0 AS decoupling FROM (SELECT x.node, x.strength / max(x.strength) OVER () AS s, y.strength / max(y.strength) OVER () AS f FROM ldeg x JOIN ldeg y ON x.node = y.node AND x.g = 0 AND y.g = 1)",
     TRADE, "decoupling_index",
 )(lambda spark, d: rounded(gr.decoupling_index(*_modes(spark, d)), "decoupling"))
-_HOPS = TRADE + ", paths AS (SELECT i, j, 1 AS h FROM arcs UNION SELECT p.i, a.j, h + 1 FROM paths p JOIN arcs a ON a.i = p.j WHERE h < 4), hop AS (SELECT i, j, min(h) AS hops FROM paths WHERE i <> j GROUP BY ALL)"
-query("SELECT 0 AS g, i, j, hops FROM hop", _HOPS, "hop_path_length")(lambda spark, d: gr.hop_lengths(_g(spark, d), 4))
-query("SELECT 0 AS g, round(sum(1.0 / hops) / 600, 6) + 0.0 AS efficiency FROM hop", _HOPS, "global_efficiency")(lambda spark, d: rounded(gr.global_efficiency(_g(spark, d), NATIONS), "efficiency"))
 query(
     "SELECT 0 AS g, node, min(c) AS component FROM reach GROUP BY node",
     TRADE + ", strong AS (SELECT i, j FROM trade WHERE n >= (SELECT quantile_cont(n, 0.95) FROM trade)), sa AS (SELECT i, j FROM strong UNION ALL SELECT j, i FROM strong), reach AS (SELECT i AS node, i AS c FROM sa UNION SELECT sa.j, reach.c FROM reach JOIN sa ON sa.i = reach.node)",

@@ -16,7 +16,7 @@ HOUR = 3600.0
 BAND = (1 / (48 * HOUR), 1 / (6 * HOUR))
 #: The reference's default replicates, and the steps and delays of its memory capacity.
 SURROGATES, NULLS, PERMUTATIONS, BOOTSTRAPS, RESAMPLES = 99, 100, 10_000, 10_000, 1000
-STEPS, DELAYS = 5000, 50
+STEPS, SWEEP_STEPS, DELAYS = 5000, 3000, 50
 
 
 def _series(name: str, names: list[str], kernel) -> None:  # noqa: ANN001
@@ -46,9 +46,7 @@ _series("sample_entropy", ["entropy"], lambda x: (sg.sample_entropy(x),))
 _series("multiscale_entropy", ["scale_1", "scale_2", "scale_4"], _multiscale)
 _series("lempel_ziv", ["complexity"], lambda x: (sg.lempel_ziv(x),))
 _series("spectral_entropy", ["entropy"], lambda x: (sg.spectral_entropy(x),))
-_nodes("betweenness", ["betweenness"], nw.betweenness)
-_nodes("closeness", ["closeness"], nw.closeness)
-_nodes("pagerank", ["pagerank"], nw.pagerank)
+_nodes("local_efficiency_weighted", ["local_efficiency"], lambda w: np.array([nw.efficiency(w[np.ix_(k, k)], True) for k in (np.flatnonzero(r > 0) for r in w)]))
 _nodes("local_efficiency", ["local_efficiency"], nw.local_efficiency)
 _nodes("louvain", ["community"], lambda w: nw.louvain(w, np.random.default_rng(0)))
 _nodes("consensus", ["community"], lambda w: nw.consensus(w, 0))
@@ -77,12 +75,21 @@ def _reservoir(w: np.ndarray) -> tuple[float, float]:
 
 @query(name="radius_sweep")
 def _sweep(spark: SparkSession, d: str) -> DataFrame:
-    names = ["rho_05", "rho_09", "rho_12"]
+    """Memory at each spectral radius: one row a graph and radius, so the sweep is what is distributed."""
+    radii = F.explode(F.array(*[F.lit(k / 10) for k in range(1, 15)]))
+    spread = kr.packed_graphs(trade_graph(spark, d)).withColumn("rho", radii).repartition("g", "rho")
 
-    def run(w: np.ndarray) -> np.ndarray:
-        return np.tile([nw.memory_capacity(w, r, 0.5, 2, STEPS, DELAYS).sum() for r in (0.5, 0.9, 1.2)], (len(w), 1))
+    def run(batches):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for g, e, rho in zip(b["g"], b["edges"], b["rho"], strict=True):
+                _, w = kr._arrays([tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in e])
+                rows.append((g, rho, nw.memory_capacity(w, rho, 0.5, 2, SWEEP_STEPS, DELAYS).sum()))
+            yield pd.DataFrame(rows, columns=["g", "rho", "memory"])
 
-    return kr.per_node(trade_graph(spark, d), names, run).groupBy("g").agg(*[F.max(n).alias(n) for n in names])
+    return spread.mapInPandas(run, "g int, rho double, memory double")
 
 
 @query(name="sdi")
@@ -166,7 +173,7 @@ def _tractogram(spark: SparkSession, d: str) -> DataFrame:
 @query(name="eigenfeatures")
 def _eigen(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("label", "vec_id", *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")])
-    names = ["l1", "l2", "l3", "linearity", "planarity", "sphericity", "entropy"]
+    names = ["l1", "l2", "l3", "linearity", "planarity", "sphericity", "entropy", "omnivariance", "anisotropy", "surface_variation"]
 
     def run(pdf):  # noqa: ANN001, ANN202
         import pandas as pd

@@ -161,7 +161,7 @@ def _residuals(spark: SparkSession, d: str) -> DataFrame:
     return residuals(m, "balance", "orders", "site").select("subject", "residual")
 
 
-query("SELECT subject, round(balance - a - b * orders, 4) + 0.0 AS residual FROM x JOIN (SELECT site AS s, regr_slope(balance, orders) AS b, regr_intercept(balance, orders) AS a FROM x GROUP BY 1) ON s = site", METRICS, "residualize")(lambda spark, d: rounded(_residuals(spark, d), "residual", digits=4))
+query("SELECT subject, round(balance - a - b * orders, 2) + 0.0 AS residual FROM x JOIN (SELECT site AS s, regr_slope(balance, orders) AS b, regr_intercept(balance, orders) AS a FROM x GROUP BY 1) ON s = site", METRICS, "residualize")(lambda spark, d: rounded(_residuals(spark, d), "residual", digits=2))
 query("SELECT metric, grp, count(*) AS n, round(avg(value), 6) + 0.0 AS mean_v, round(stddev_samp(value), 6) + 0.0 AS sd_v, min(value) AS min_v, max(value) AS max_v, round(median(value), 6) + 0.0 AS median_v FROM m GROUP BY ALL", METRICS, "summary_table")(
     lambda spark, d: rounded(metrics(spark, d).groupBy("metric", "grp").agg(F.count("value").alias("n"), F.avg("value").alias("mean_v"), F.stddev_samp("value").alias("sd_v"), F.min("value").alias("min_v"), F.max("value").alias("max_v"), F.median("value").alias("median_v")), "mean_v", "sd_v", "median_v")
 )
@@ -213,21 +213,6 @@ def _anova(spark: SparkSession, d: str) -> DataFrame:
     return f.select("eta_squared", "f_ratio", sp.column(sp.f_upper)(F.col("f_ratio"), (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k")).cast("double")).alias("p"))
 
 
-@query(name="reho")
-def _reho(spark: SparkSession, d: str) -> DataFrame:
-    packed = kr.packed_series(series(spark, d)).groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("roi", "values"))).alias("rows"))
-
-    def run(batches):  # noqa: ANN001, ANN202
-        import numpy as np
-        import pandas as pd
-
-        for b in batches:
-            w = [sg.kendall_w(np.array([list(list(r.values())[1] if isinstance(r, dict) else r[1]) for r in rows], float)) for rows in b["rows"]]
-            yield pd.DataFrame({"subject": b["subject"], "kendall_w": w})
-
-    return packed.mapInPandas(run, "subject long, kendall_w double")
-
-
 @query(name="kmeans_subgroups")
 def _kmeans(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.clustering import KMeans
