@@ -108,15 +108,48 @@ def null_summary(observed: DataFrame, null: DataFrame, *keys: str) -> DataFrame:
     return x.join(hits, list(keys)).select(*keys, "observed", "null_mean", "null_sd", z.alias("z"), ((F.col("hits") + 1) / (F.col("n") + 1)).alias("p"))
 
 
+#: Groups of up to so many values are permuted as one packed row (8 MB); larger ones by windows over rows.
+PACKED_VALUES = 1_000_000
+
+
 def permutation_test(df: DataFrame, value: str, group: str, a: str, b: str, n: int, *by: str) -> DataFrame:
-    """Two-sided permutation p of the difference of group means within ``by``.
+    """Two-sided permutation p of the difference of group means within ``by``: ``observed, p, replicates``.
 
-    A replicate deals the labels anew by ranking rows on a hash of their key and the
-    replicate: windows and aggregates only, no group is gathered.
+    Replicates are spread in chunks over tasks, each with the group's packed values.  Where a group
+    has more than ``PACKED_VALUES``, a replicate deals the labels anew by ranking rows on a hash of
+    their key and the replicate, and no group is gathered.
     """
+    rows = df.filter(F.col(group).isin(a, b)).select(*by, F.col(value).cast("double").alias("v"), (F.col(group) == a).alias("first"), "id").filter("v is not null")
+    largest = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if largest > PACKED_VALUES:
+        return _permuted_rows(rows, n, *by)
+    ordered = F.array_sort(F.collect_list(F.struct(~F.col("first"), F.col("id"), F.col("v"))))
+    packed = rows.groupBy(*by).agg(F.transform(ordered, lambda x: x["v"]).alias("x"), F.count_if("first").cast("int").alias("n1"))
+    size = max(1, -(-n // 200))
+    chunks = F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(size))).alias("replicate")
+    work = packed.select(*by, "x", "n1", chunks).withColumn("seed", F.pmod(F.xxhash64(*by, "replicate"), F.lit(1 << 31))).repartition(*by, "replicate")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            out = []
+            for x, n1, at, seed in zip(t["x"], t["n1"], t["replicate"], t["seed"], strict=True):
+                x, rng, far = np.asarray(x, float), np.random.default_rng(seed), 0  # noqa: PLW2901
+                whole, rest, count = x.sum(), len(x) - n1, min(size, n - at)
+                observed = x[:n1].mean() - x[n1:].mean() if n1 and rest else np.nan
+                for _ in range(count):
+                    one = rng.permutation(x)[:n1].sum()
+                    far += abs(one / n1 - (whole - one) / rest) >= abs(observed) - 1e-12 if n1 and rest else 0
+                out.append((observed, int(far), count))
+            yield pd.concat([t[list(by)].reset_index(drop=True), pd.DataFrame(out, columns=["observed", "far", "k"])], axis=1)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    done = work.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", observed double, far long, k long")
+    return done.groupBy(*by).agg(F.max("observed").alias("observed"), ((F.sum("far") + 1) / (F.sum("k") + 1)).alias("p"), F.sum("k").alias("replicates"))
+
+
+def _permuted_rows(rows: DataFrame, n: int, *by: str) -> DataFrame:
     from pyspark.sql import Window
 
-    rows = df.filter(F.col(group).isin(a, b)).select(*by, F.col(value).alias("v"), (F.col(group) == a).alias("first"), "id")
     obs = rows.groupBy(*by).agg((F.avg(F.when(F.col("first"), F.col("v"))) - F.avg(F.when(~F.col("first"), F.col("v")))).alias("observed"), F.sum(F.col("first").cast("int")).alias("n1"))
     work = rows.drop("first").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n))))
     place = F.row_number().over(Window.partitionBy(*by, "replicate").orderBy(F.xxhash64("id", "replicate"), "id"))
@@ -125,20 +158,72 @@ def permutation_test(df: DataFrame, value: str, group: str, a: str, b: str, n: i
     return null.groupBy(*by, "observed").agg(((F.sum((F.abs("d") >= F.abs("observed")).cast("int")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"), F.count(F.lit(1)).alias("replicates"))
 
 
-def bootstrap_means(df: DataFrame, value: str, n: int, *by: str, level: float = 0.95) -> DataFrame:
-    """Poisson-bootstrap interval of the mean within ``by``: each row counts a Poisson(1) number of times in a replicate.
+_POISSON = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, k + 1))) for k in range(12)])
+
+
+def poisson_counts(ids: np.ndarray, n: int, salt: int) -> np.ndarray:
+    """Poisson(1) counts ``(rows, n)``: a function of a row's id and the replicate alone (a mixed counter)."""
+    with np.errstate(over="ignore"):
+        x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(1, n + 1, dtype=np.uint64) + np.uint64(salt << 32)) * np.uint64(0xD1B54A32D192ED03)
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return np.searchsorted(_POISSON, (x >> np.uint64(11)) / float(1 << 53), "right").astype(np.uint8)
+
 
-    The counts come from a hash of row and replicate, so replicates are aggregates over one scan.
+def poisson_sums(rows: DataFrame, keys: list[str], n: int, salt: int) -> DataFrame:
+    """``keys, sums, counts``: for each key arrays of ``n`` resampled sums of ``v`` and row counts, partly added up by the tasks.
+
+    ``rows`` has the keys, ``id`` (long) and ``v``: each is read once and never copied.
     """
-    steps = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, k + 1))) for k in range(8)])
-    u = F.pmod(F.xxhash64("id", "replicate", F.lit(9)), F.lit(1 << 40)) / float(1 << 40)
-    count = F.lit(0)
-    for s in steps:
-        count = count + (u >= float(s)).cast("int")
-    rows = df.select(*by, "id", F.col(value).alias("v")).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("k", count)
-    means = rows.groupBy(*by, "replicate").agg((F.sum(F.col("k") * F.col("v")) / F.nullif(F.sum("k"), F.lit(0))).alias("m"))
-    a = (1 - level) / 2
-    return means.groupBy(*by).agg(F.avg("m").alias("mean_m"), F.percentile("m", a).alias("low"), F.percentile("m", 1 - a).alias("high"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list[np.ndarray]] = {}
+
+        def out() -> pd.DataFrame:
+            done = pd.DataFrame([(*k, *v) for k, v in held.items()], columns=[*keys, "sums", "counts"])
+            held.clear()
+            return done
+
+        for b in batches:
+            for k, part in b.groupby(keys, dropna=False):
+                sums, counts = held.setdefault(k, [np.zeros(n), np.zeros(n)])
+                for s in range(0, len(part), 256):
+                    c = poisson_counts(part["id"].to_numpy()[s : s + 256], n, salt)
+                    sums += part["v"].to_numpy(float)[s : s + 256] @ c
+                    counts += c.sum(0)
+            if len(held) > 4096:
+                yield out()
+        if held:
+            yield out()
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.select(*keys, "id", "v").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", sums array<double>, counts array<double>")
+
+
+def _added(parts: DataFrame, keys: list[str], schema: str, summary: Callable[[np.ndarray, np.ndarray], tuple]) -> DataFrame:
+    """The summary of each key's added arrays; a key has one part a task at most."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = summary(np.sum(pdf["sums"].to_list(), axis=0), np.sum(pdf["counts"].to_list(), axis=0))
+        return pd.DataFrame([(*pdf[keys].iloc[0], *row)], columns=[*keys, *(x.split()[0] for x in schema.split(", "))])
+
+    kinds = {f.name: f.dataType.simpleString() for f in parts.schema.fields}
+    return parts.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {schema}")
+
+
+def bootstrap_means(df: DataFrame, value: str, n: int, *by: str, level: float = 0.95) -> DataFrame:
+    """Poisson-bootstrap interval of the mean within ``by``: each row counts a Poisson(1) number of times in a replicate."""
+    tail = (1 - level) / 2
+
+    def summary(sums: np.ndarray, counts: np.ndarray) -> tuple:
+        m = sums[counts > 0] / counts[counts > 0]
+        return float(m.mean()), float(np.quantile(m, tail)), float(np.quantile(m, 1 - tail)), len(sums)
+
+    rows = df.select(*by, F.xxhash64("id").alias("id"), F.col(value).cast("double").alias("v")).filter("v is not null")
+    return _added(poisson_sums(rows, list(by), n, 9), list(by), "mean_m double, low double, high double, replicates long", summary)
 
 
 def tractogram_bootstrap(lines: DataFrame, n: int) -> DataFrame:
@@ -146,19 +231,15 @@ def tractogram_bootstrap(lines: DataFrame, n: int) -> DataFrame:
 
     Classes, later ones win: spurious (0 < P < .05), fragile (P < .5), present, robust (P >= .95 and CV < .5).
     """
-    steps = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, k + 1))) for k in range(8)])
-    u = F.pmod(F.xxhash64("id", "replicate", F.lit(13)), F.lit(1 << 40)) / float(1 << 40)
-    count = F.lit(0)
-    for s in steps:
-        count = count + (u >= float(s)).cast("int")
-    x = lines.filter("a > 0 and b > 0 and a <> b").select("id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w")
-    rep = x.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("k", count)
-    sums = rep.groupBy("a", "b", "replicate").agg(F.sum(F.col("k") * F.col("w")).alias("s"))
-    e = sums.groupBy("a", "b").agg(F.avg((F.col("s") > 0).cast("double")).alias("presence"), F.avg("s").alias("mean_w"), F.stddev_pop("s").alias("sd_w"), F.percentile("s", 0.025).alias("low"), F.percentile("s", 0.975).alias("high"))
-    e = e.withColumn("cv", F.col("sd_w") / F.nullif("mean_w", F.lit(0.0)))
-    p = F.col("presence")
-    kind = F.when((p >= 0.95) & (F.col("cv") < 0.5), "robust").when(p >= 0.5, "present").when(p >= 0.05, "fragile").when(p > 0, "spurious").otherwise("absent")
-    return e.withColumn("edge_class", kind)
+
+    def summary(s: np.ndarray, _: np.ndarray) -> tuple:
+        p, mean, sd = float((s > 0).mean()), float(s.mean()), float(s.std())
+        cv = sd / mean if mean else float("nan")
+        kind = "robust" if p >= 0.95 and cv < 0.5 else "present" if p >= 0.5 else "fragile" if p >= 0.05 else "spurious" if p > 0 else "absent"
+        return p, mean, sd, float(np.quantile(s, 0.025)), float(np.quantile(s, 0.975)), cv, kind
+
+    x = lines.filter("a > 0 and b > 0 and a <> b").select("id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("w").cast("double").alias("v"))
+    return _added(poisson_sums(x, ["a", "b"], n, 13), ["a", "b"], "presence double, mean_w double, sd_w double, low double, high double, cv double, edge_class string", summary)
 
 
 def virtual_lesions(edges: DataFrame) -> DataFrame:
