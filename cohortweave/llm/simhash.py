@@ -42,10 +42,9 @@ from cohortweave.llm.components import connected_components
 
 SEED = 42
 SHARD_CAP = 1024
-_CHUNK = 255 * 64
+_CHUNK = 255 * 32
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_ALL = (1 << 64) - 1
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -73,19 +72,17 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def _majority(hashes: np.ndarray, lanes: int) -> np.ndarray:
-    votes = np.zeros(64 * lanes, np.int64)
+    votes, steps = np.zeros(64 * lanes, np.int64), np.arange(lanes, dtype=np.uint64) * _GOLD
     for at in range(0, len(hashes), _CHUNK):
         h = hashes[at : at + _CHUNK]
-        wide = np.zeros((-(-len(h) // 255) * 255, lanes), "<u8")
-        wide[: len(h), 0] = h
-        for lane in range(1, lanes):
-            x = (h + np.uint64(int(_GOLD) * lane & _ALL)) * _MIX
-            x ^= x >> np.uint64(31)
-            x *= _GOLD
-            x ^= x >> np.uint64(29)
-            wide[: len(h), lane] = x
-        bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").reshape(-1, 255, 64 * lanes)
-        votes += bits.sum(1, dtype=np.uint8).sum(0, dtype=np.int64)  # 255 ones fit a byte
+        x = (h[:, None] + steps) * _MIX
+        x ^= x >> np.uint64(31)
+        x *= _GOLD
+        x ^= x >> np.uint64(29)
+        x[:, 0] = h  # the first lane is the hash itself
+        bits = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
+        for s in range(0, len(h), 255):
+            votes += bits[s : s + 255].sum(0, dtype=np.uint8)  # 255 ones fit a byte
     return np.packbits(votes * 2 > len(hashes), bitorder="little")
 
 
@@ -360,7 +357,7 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def signature(text: Column, words: int = 5, lanes: int = 8) -> Column:
+def signature(text: Column, words: int = 5, lanes: int = 16) -> Column:
     """A text column's wide signature (see :func:`wide_signature`), as binary."""
 
     @F.pandas_udf("binary")
@@ -399,7 +396,7 @@ def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, si
     return out
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 8, shard_cap: int = SHARD_CAP) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 16, shard_cap: int = SHARD_CAP) -> DataFrame:
     """``id, sig, keep``: one row per distinct (id, signature), ``keep`` on one of each near-duplicate class.
 
     Texts are linked if their sets of ``words``-word shingles have a Jaccard similarity of
