@@ -65,6 +65,15 @@ def drop_stored(df: DataFrame) -> None:
         files.delete(where, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs now.
+
+    They go when the driver's collector meets the job's plan, which in a job of many
+    steps may be long after its result is stored.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def mark() -> int:
     """A point in time for :func:`release`."""
     return len(_MADE)

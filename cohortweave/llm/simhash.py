@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortweave.llm._store import drop_stored, partitions, stored
+from cohortweave.llm._store import drop_stored, free_shuffles, partitions, stored
 from cohortweave.llm.components import connected_components
 
 SEED = 42
@@ -393,6 +393,7 @@ def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, si
 
     out = stored(both.mapInArrow(check, "a long, b long"), "verified")
     drop_stored(sets)
+    free_shuffles(out.sparkSession)
     return out
 
 
@@ -450,7 +451,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     routed = reps.select("node", "sig").mapInArrow(route, "bucket long, node long")
     shared = stored(_grouped(routed).mapInArrow(several, "bucket long, node long"), "shared")
+    free_shuffles(df.sparkSession)
     split = stored(_split_tables(shared, shard_cap), "split")
+    drop_stored(shared)
 
     def span(values: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = spanning_pairs([int.from_bytes(v.tobytes(), "little") for v in values], near)
@@ -493,7 +496,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
         known = split.join(classes, "node").select("bucket", "node", "sig", "root", "tbl", "own", "cross")
-        return stored(_grouped(known).mapInArrow(run, "a long, b long").distinct(), "candidates")
+        out = stored(_grouped(known).mapInArrow(run, "a long, b long").distinct(), "candidates")
+        free_shuffles(df.sparkSession)
+        return out
 
     def classes_of(links: DataFrame) -> DataFrame:
         nodes = connected_components(links, "a", "b")
@@ -503,7 +508,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = verified(candidates(span, near, alone), named, texts, words, similarity)
     classed = classes_of(links)
     more = verified(candidates(between, far, classed.select("node", "sig", "root")), named, texts, words, similarity)
-    drop_stored(shared)
     drop_stored(split)
     classed = classes_of(links.union(more)).select("node", "least", "root")
     first = classed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("f")).select(F.col("f.node").alias("kept_node"), F.col("f.least").alias("kept_id"))
