@@ -5,9 +5,12 @@ one task and written to the shared folder.  Every vector then queries every
 shard, in blocks.  Searches run for a block of queries at once: their beams are
 matrices, and each step expands the best unexpanded nodes of all of them.
 
-A block's recall is audited: some of its queries are compared with brute force
-over the shard, and the beam is widened until the audit passes.  A query whose
-beam is full of links is searched again with a wider beam, at last by brute
+A block's recall is audited, and the beam is widened until the audit passes, at
+last to brute force.  An audit has planted queries, vectors turned away from
+stored ones to just above the threshold, which must find those again: evidence
+that every block has, however rare its links.  Some of the block's own queries are
+compared with brute force as well, their matches with themselves left out.  A query
+whose beam is full of links is searched again with a wider beam, at last by brute
 force, so that dense groups lose nothing.  Links are verified by cosine in
 double precision.
 
@@ -35,7 +38,8 @@ LINKS = 16
 BEAM = 32
 BUILD_BEAM = 48
 BLOCK = 1024
-AUDIT = 32
+AUDIT = 32  # planted queries of a block
+PROBES = 8  # a block's own queries that are compared with brute force
 AUDIT_RECALL = 0.98
 EXPAND = 4
 
@@ -205,49 +209,78 @@ class HNSW:
         return g
 
 
-def links_within(g: HNSW, x: np.ndarray, q: np.ndarray, threshold: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, int]:
-    """Pairs ``(query, node)`` with cosine >= ``threshold`` in double precision, and the beam that passed the audit.
+def planted(x: np.ndarray, threshold: float, count: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """``count`` stored nodes, and for each a unit vector whose cosine with it is just above ``threshold``."""
+    rng = np.random.default_rng((seed, len(x)))
+    at = rng.integers(0, len(x), count)
+    away = rng.normal(size=(count, x.shape[1]))
+    away -= np.einsum("nd,nd->n", away, x[at])[:, None] * x[at]
+    size = np.linalg.norm(away, axis=1, keepdims=True)
+    away = np.where(size > 1e-9, away / np.maximum(size, 1e-9), 0.0)  # no way to turn in one dimension: the node itself
+    cos = threshold + (1 - threshold) * 0.01
+    q = cos * x[at] + np.sqrt(1 - cos * cos) * away
+    return at, q / np.linalg.norm(q, axis=1, keepdims=True)
 
-    ``x`` and ``q`` are unit vectors in double precision.
+
+def links_within(g: HNSW, x: np.ndarray, q: np.ndarray, threshold: float, beam: int = BEAM, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int, tuple[int, int]]:
+    """Pairs ``(query, node)`` with cosine >= ``threshold`` in double precision, the beam that passed the audit, and the audit.
+
+    ``x`` and ``q`` are unit vectors in double precision; ``own`` is each query's node
+    where the queries are nodes of ``g``.  The audit is how many links it knew of and how many of them were found.
     """
     n = len(x)
+    none = np.empty(0, int)
     if not n or not len(q):
-        return np.empty(0, int), np.empty(0, int), beam
+        return none, none, beam, (0, 0)
     edge = threshold - 1e-5  # single precision may fall short of it
-    probe = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)
+    probe = np.linspace(0, len(q) - 1, min(PROBES, len(q))).astype(int)
     truth = q[probe] @ x.T >= threshold
+    if own is not None:
+        truth[np.arange(len(probe)), own[probe]] = False
+    at, turned = planted(x, threshold, AUDIT, len(q))
+    real = int(truth.sum())
     while True:
-        ids, sims = g.search(q, beam)
-        a, k = np.nonzero((ids >= 0) & (sims >= edge))
-        b = ids[a, k]
-        full = np.flatnonzero((sims[:, -1] >= edge) & (ids.shape[1] < n))
-        wide = beam
-        while len(full):  # beams that end within the links: wider, at last all nodes
-            wide *= 4
-            a, b = a[~np.isin(a, full)], b[~np.isin(a, full)]
-            if wide >= max(512, n // 8):
-                for s in range(0, len(full), 256):
-                    r, c = np.nonzero(q[full[s : s + 256]] @ x.T >= edge)
-                    a, b = np.r_[a, full[s + r]], np.r_[b, c]
-                break
-            i, v = g.search(q[full], wide)
-            r, c = np.nonzero((i >= 0) & (v >= edge))
-            a, b = np.r_[a, full[r]], np.r_[b, i[r, c]]
-            full = full[v[:, -1] >= edge]
+        a, b = _search(g, x, q, edge, beam)
         cos = np.einsum("ad,ad->a", q[a], x[b])
         a, b = a[cos >= threshold], b[cos >= threshold]
         seen = np.zeros(truth.shape, bool)
-        where = {int(p): r for r, p in enumerate(probe)}
         inside = np.isin(a, probe)
-        seen[[where[int(v)] for v in a[inside]], b[inside]] = True
-        if truth.sum() == 0 or (seen & truth).sum() >= AUDIT_RECALL * truth.sum():
-            return a, b, beam
+        seen[np.searchsorted(probe, a[inside]), b[inside]] = True
+        met = int((seen & truth).sum())
+        c, d = _search(g, x, turned, edge, beam)
+        again = len(np.unique(c[d == at[c]]))
+        if again >= AUDIT_RECALL * AUDIT and met >= AUDIT_RECALL * real:
+            return a, b, beam, (AUDIT + real, again + met)
         if beam >= max(512, n // 8):
-            r, c = np.nonzero(q @ x.T >= threshold)
-            return r, c, n
+            parts = [np.nonzero(q[s : s + 256] @ x.T >= threshold) for s in range(0, len(q), 256)]
+            a = np.concatenate([r + 256 * k for k, (r, _) in enumerate(parts)])
+            return a, np.concatenate([c for _, c in parts]), n, (AUDIT + real, AUDIT + real)
         beam *= 2
 
 
+def _search(g: HNSW, x: np.ndarray, q: np.ndarray, edge: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs found with similarity >= ``edge``; beams that end within the links are widened, at last to all nodes."""
+    n = len(x)
+    ids, sims = g.search(q, beam)
+    a, k = np.nonzero((ids >= 0) & (sims >= edge))
+    b = ids[a, k]
+    full = np.flatnonzero((sims[:, -1] >= edge) & (ids.shape[1] < n))
+    wide = beam
+    while len(full):
+        wide *= 4
+        a, b = a[~np.isin(a, full)], b[~np.isin(a, full)]
+        if wide >= max(512, n // 8):
+            for s in range(0, len(full), 256):
+                r, c = np.nonzero(q[full[s : s + 256]] @ x.T >= edge)
+                a, b = np.r_[a, full[s + r]], np.r_[b, c]
+            break
+        i, v = g.search(q[full], wide)
+        r, c = np.nonzero((i >= 0) & (v >= edge))
+        a, b = np.r_[a, full[r]], np.r_[b, i[r, c]]
+        full = full[v[:, -1] >= edge]
+    return a, b
+
+
 def _load(root: str, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, HNSW]:
     files, base = filesystem(root)
     info = files.get_file_info(f"{base}/{path}")
@@ -258,7 +291,10 @@ def _load(root: str, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, HNS
 
 
 def embedding_components(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, min_shards: int = MIN_SHARDS) -> DataFrame:
-    """One row per input row: ``id, n_links, component_id, kept``.
+    """One row per input row: ``id, n_links, component_id, kept, audit_recall``.
+
+    ``audit_recall`` is the same in all rows: the share of the links known to the audits that
+    the searches found (null where no vector could be searched).
 
     Vectors that are null, empty or zero, or hold a null or non-finite component, link
     with nothing (``component_id`` their own id).  Vectors of different lengths never
@@ -314,10 +350,21 @@ def embedding_components(df: DataFrame, id_col: str = "vec_id", vector_col: str
 
     built = stored(dealt.mapInArrow(build, "shard long, path string, n long"), "shards")
     listed = sorted((r["shard"], r["path"], r["n"]) for r in built.collect())  # one row a shard
-    jobs = [(a, b) for a in listed for b in listed if a[0] >> 24 == b[0] >> 24]
-    blocks = [-(-b[2] // BLOCK) for _, b in jobs]
-    upto = np.cumsum([0, *blocks])
-    total = int(upto[-1])
+    lengths = np.array([k >> 24 for k, _, _ in listed], np.int64)
+    first = np.flatnonzero(np.r_[True, lengths[1:] != lengths[:-1]]) if listed else lengths  # shards of one vector length ask each other
+    last = np.r_[first[1:], len(listed)].astype(int)
+    block = np.cumsum([0, *(-(-n // BLOCK) for _, _, n in listed)])  # the shards' first blocks
+    tasks = np.cumsum([0, *((e - s) * int(block[e] - block[s]) for s, e in zip(first, last, strict=False))])
+    total = int(tasks[-1])
+
+    def job(task: int) -> tuple[int, int, int]:
+        """The shard whose graph a task searches, the shard whose vectors ask, and the block's first vector there."""
+        k = int(np.searchsorted(tasks, task, "right")) - 1
+        s, e = int(first[k]), int(last[k])
+        index, at = divmod(task - int(tasks[k]), int(block[e] - block[s]))
+        at += int(block[s])
+        asked = int(np.searchsorted(block, at, "right")) - 1
+        return s + index, asked, (at - int(block[asked])) * BLOCK
 
     def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded: dict[str, tuple] = {}
@@ -330,14 +377,13 @@ def embedding_components(df: DataFrame, id_col: str = "vec_id", vector_col: str
             return loaded[path]
 
         for batch in batches:
-            for task in batch.column(0).to_numpy():
-                j = int(np.searchsorted(upto, task, "right")) - 1
-                (_, index, _), (_, asked, _) = jobs[j]
-                lo = int(task - upto[j]) * BLOCK
-                nodes, weights, x, g = get(index)
-                mine, _, q, _ = get(asked)
+            for task in batch.column(0).to_pylist():
+                index, asked, lo = job(task)
+                nodes, weights, x, g = get(listed[index][1])
+                mine, _, q, _ = get(listed[asked][1])
                 mine, q = mine[lo : lo + BLOCK], q[lo : lo + BLOCK]
-                a, b, _ = links_within(g, x, q, threshold)
+                a, b, _, (knew, met) = links_within(g, x, q, threshold, own=lo + np.arange(len(q)) if index == asked else None)
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([met], pa.int64()), pa.array([knew], pa.int64())], ["node", "links", "peer"])
                 other = mine[a] != nodes[b]
                 a, b = a[other], b[other]
                 if not len(a):
@@ -359,7 +405,9 @@ def embedding_components(df: DataFrame, id_col: str = "vec_id", vector_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(weight, pa.int64()), pa.array(names[label])], ["node", "links", "peer"])
 
     work = spark.range(0, total, 1, max(1, min(total, 4 * n_parts)))
-    found = stored(work.mapInArrow(query, "node long, links long, peer long"), "links")
+    answers = stored(work.mapInArrow(query, "node long, links long, peer long"), "links")
+    audit = answers.filter("node is null").agg(F.sum("links").alias("met"), F.sum("peer").alias("knew")).first()  # one row
+    found = answers.filter("node is not null")
     roots = connected_components(found.select("node", "peer"), "node", "peer")
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
     least = ids.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"))
@@ -368,4 +416,5 @@ def embedding_components(df: DataFrame, id_col: str = "vec_id", vector_col: str
     of = known.join(smallest, "root").select(F.col("node").alias("k"), "n_links", "component_id")
     out = ids.join(of, F.col("node") == F.col("k"), "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    recall = F.lit(audit["met"] / audit["knew"] if audit["knew"] else None).cast("double").alias("audit_recall")
+    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"), recall)

@@ -423,6 +423,7 @@ def test_embeddings(spark):
     for k in (900, 901, 902, 903, 904):
         assert (got[k]["n_links"], got[k]["component_id"], got[k]["kept"]) == (0, k, True)
     assert got[180]["component_id"] == 0 and not got[180]["kept"]
+    assert {r["audit_recall"] for r in got.values()} == {got[0]["audit_recall"]} and got[0]["audit_recall"] >= 0.98
     assert hnsw.embedding_components(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
@@ -432,9 +433,34 @@ def test_graph_recall_and_dense_groups():
     x[:300] = x[0] + rng.normal(size=(300, 24)) * 0.02
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     g = hnsw.HNSW.build(x)
-    a, b, _ = hnsw.links_within(g, x, x[:400], 0.95)
+    a, b, _, (knew, met) = hnsw.links_within(g, x, x[:400], 0.95)
     want = (x[:400] @ x.T >= 0.95).sum()
     assert len(set(zip(a.tolist(), b.tolist(), strict=True))) == len(a) >= 0.95 * want and len(a) <= want
+    assert knew >= hnsw.AUDIT and met >= 0.98 * knew
+
+
+def test_audit_has_evidence_without_links_and_mends_a_bad_graph():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    at, q = hnsw.planted(x, 0.95, 50)
+    assert np.allclose(np.einsum("nd,nd->n", q, x[at]), 0.95 + 0.05 * 0.01) and np.allclose(np.linalg.norm(q, axis=1), 1)
+    one = np.ones((4, 1))  # in one dimension there is no way to turn
+    assert np.allclose(hnsw.planted(one, 0.95, 3)[1], 1)
+    q = x[:200] + rng.normal(size=(200, 24)) * 0.04
+    q[:192:2] = rng.normal(size=(96, 24))  # half without any link
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    want = set(zip(*(v.tolist() for v in np.nonzero(q @ x.T >= 0.95)), strict=True))
+    g = hnsw.HNSW.build(x)
+    a, b, _, (knew, met) = hnsw.links_within(g, x, q, 0.95)
+    got = set(zip(a.tolist(), b.tolist(), strict=True))
+    assert got <= want and len(got) >= 0.95 * len(want) and knew >= hnsw.AUDIT and met >= 0.98 * knew
+    g.near[0][:] = -1  # a graph without links on the lowest layer finds next to nothing
+    a, b, beam, _ = hnsw.links_within(g, x, q, 0.95)
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == want and beam == len(x)
+    far = rng.normal(size=(8, 24))
+    a, _, beam, (knew, _) = hnsw.links_within(g, x, far / np.linalg.norm(far, axis=1, keepdims=True), 0.95)
+    assert not len(a) and beam == len(x) and knew >= hnsw.AUDIT  # no link among the queries, and still the audit failed
 
 
 # op8 ----------------------------------------------------------------------------
