@@ -9,8 +9,8 @@ hashes of those found frequent.  Both bitmaps have at most ``2 ** MOST_BITS`` bi
 whatever the corpus: with more phrases than bits they let more through, and the exact
 counts that follow decide alone.
 
-A task counts up to ``FLUSH`` words at a time, so a phrase that all texts share leaves
-it as one row, and its memory is bounded by that number and by the bucket table.
+A task counts about ``FLUSH`` bytes at a time, so a phrase that all texts share leaves it
+as few rows, and its memory is bounded by that number and by the bucket table.
 """
 
 from __future__ import annotations
@@ -21,40 +21,57 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortweave.llm._store import partitions, stored
 
-# What ends a piece (the first class) and what ends a word.
-_TOKEN = re.compile(rb"[.,;:!?\x0A-\x0D]+|[^\x20\x09.,;:!?\x0A-\x0D]+")
-_ENDS = frozenset(b".,;:!?\x0a\x0b\x0c\x0d")
+# The bytes that end a piece, and those that only part words.
+_ENDS, _GAPS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
+_END = re.compile(rb"[.,;:!?\x0A-\x0D]")
 UNKNOWN_LANG = "und"
-FLUSH = 1 << 21  # words counted at a time
-VOCABULARY = 1 << 20  # distinct words a task remembers
+FLUSH = 12 << 20  # bytes of text counted at a time
 LEAST_BITS, MOST_BITS = 20, 26
 BLOCK_BITS = 16
 SALTS = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _Words(dict):
-    """Ids from 1 of the words of one language; 0 ends a piece.  ``hashes[id]`` is a word's 64-bit hash."""
-
-    def __init__(self, lang: str) -> None:
-        super().__init__()
-        self.seed = xxhash.xxh32_intdigest(lang.encode())
-        self.names, self.hashes = [b""], [0]
-
-    def __missing__(self, word: bytes) -> int:
-        if word[0] in _ENDS:
-            self[word] = 0
-            return 0
-        self[word] = n = len(self.names)
-        self.names.append(word)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word, self.seed))
-        return n
+_KIND = np.zeros(256, np.uint8)
+_KIND[list(_GAPS)], _KIND[list(_ENDS)] = 1, 2
+
+
+def words_of(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The distinct words (lower-cased, A-Z only) and the texts as their numbers from 1, with 0 where a piece ends."""
+    data = b"\n".join(texts).lower()
+    raw = np.frombuffer(data, np.uint8)
+    kind = _KIND[raw]
+    word = kind == 0
+    edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return pa.array([], pa.binary()), np.zeros(0, np.int64)
+    ends = np.cumsum(kind == 2, dtype=np.int32)
+    offsets = np.zeros(len(start) + 1, np.int32)
+    np.cumsum(end - start, out=offsets[1:])
+    joined = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(raw[word])]).dictionary_encode()
+    cut = ends[start[1:]] != ends[end[:-1] - 1]
+    ids = np.zeros(len(start) + int(cut.sum()), np.int64)
+    ids[np.arange(len(start)) + np.r_[0, np.cumsum(cut)]] = joined.indices.to_numpy() + 1
+    return joined.dictionary, ids
+
+
+def _cut(text: bytes) -> Iterator[bytes]:
+    """A text in parts of about ``FLUSH`` bytes that end where a piece ends."""
+    at = 0
+    while len(text) - at > FLUSH and (found := _END.search(text, at + FLUSH)):
+        yield text[at : found.start()]
+        at = found.end()
+    yield text[at:]
+
+
+def _seed(lang: str) -> int:
+    return xxhash.xxh32_intdigest(lang.encode())
 
 
 def _slots(ids: np.ndarray, hashes: np.ndarray, at: np.ndarray, n: int, bits: int) -> np.ndarray:
@@ -129,10 +146,12 @@ def _pass(texts: DataFrame, n: int, bits: int, cap: int, found, bitmaps: tuple |
     ``found`` is the broadcast bitmap of the frequent phrases of n - 1 words, ``bitmaps`` that of the buckets of n (both null for n = 1).
     """
 
-    def flush(lang: str, words: _Words, held: list[np.ndarray], table: np.ndarray | None) -> pa.RecordBatch:
-        ids = np.concatenate([*held, np.zeros(n + 1, np.int64)])
-        hashes = np.array(words.hashes, np.uint64)
-        end = len(ids) - n
+    def flush(lang: str, texts: list[bytes], table: np.ndarray | None) -> pa.RecordBatch:
+        names, ids = words_of(texts)
+        seed = _seed(lang)
+        hashes = np.array([0, *(xxhash.xxh3_64_intdigest(w, seed) for w in names.to_pylist())], np.uint64)
+        end = len(ids)
+        ids = np.r_[ids, np.zeros(n + 1, np.int64)]
         whole = ids[:end] > 0
         for k in range(1, n):
             whole &= ids[k : end + k] > 0
@@ -142,7 +161,8 @@ def _pass(texts: DataFrame, n: int, bits: int, cap: int, found, bitmaps: tuple |
                 at = at[_has(found.value, _slots(ids, hashes, at, n - 1, bits))]
                 at = at[_has(found.value, _slots(ids, hashes, at + 1, n - 1, bits))]
             else:
-                often = _has(found.value, _slots(np.arange(len(hashes)), hashes, np.arange(len(hashes)), 1, bits))
+                every = np.arange(len(hashes))
+                often = _has(found.value, _slots(every, hashes, every, 1, bits))
                 at = at[often[ids[at]] & often[ids[at + 1]]]
             at = at[_has(bitmaps.value, _slots(ids, hashes, at, n, bits))]
         if table is not None:  # phrases of one word more, of which both parts may be frequent
@@ -152,35 +172,27 @@ def _pass(texts: DataFrame, n: int, bits: int, cap: int, found, bitmaps: tuple |
             slots, counts = np.unique(_slots(ids, hashes, longer, n + 1, bits), return_counts=True)
             table[slots] = np.minimum(table[slots] + counts, cap).astype(np.uint8)
         first, counts = _counted(ids, at, n)
-        names = words.names
-        parts = [[names[i] for i in ids[first + k].tolist()] for k in range(n)]
-        phrases = parts[0] if n == 1 else [b" ".join(p) for p in zip(*parts, strict=True)]
+        parts = [names.take(pa.array(ids[first + k] - 1)) for k in range(n)]
+        phrases = parts[0] if n == 1 else pc.binary_join_element_wise(*parts, b" ")
         size = len(first)
         none = pa.nulls(size, pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.nulls(size, pa.int32()), none, none], ["lang", "phrase", "f", "block", "at", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), phrases.cast(pa.string()), pa.array(counts, pa.int64()), pa.nulls(size, pa.int32()), none, none], ["lang", "phrase", "f", "block", "at", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits, np.uint8) if more else None
-        known: dict[str, _Words] = {}
-        held: dict[str, list[np.ndarray]] = {}
+        held: dict[str, list[bytes]] = {}
         waiting = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = known.get(lang)
-                if words is None:
-                    words = known[lang] = _Words(lang)
-                tokens = _TOKEN.findall(text.lower())  # of bytes: A-Z only
-                ids = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
-                held.setdefault(lang, []).extend((ids, np.zeros(1, np.int64)))
-                waiting += len(tokens) + 1
-                if waiting >= FLUSH:
-                    for k, v in held.items():
-                        yield flush(k, known[k], v, table)
-                    held, waiting = {}, 0
-                    if sum(map(len, known.values())) > VOCABULARY:
-                        known = {}
+                for part in _cut(text):
+                    held.setdefault(lang, []).append(part)
+                    waiting += len(part) + 1
+                    if waiting >= FLUSH:
+                        for k, v in held.items():
+                            yield flush(k, v, table)
+                        held, waiting = {}, 0
         for k, v in held.items():
-            yield flush(k, known[k], v, table)
+            yield flush(k, v, table)
         if table is not None:
             b = _rows(table)
             none = b.num_rows
@@ -198,7 +210,7 @@ def _frequent_bitmap(frequent: DataFrame, n: int, bits: int) -> np.ndarray:
         for batch in batches:
             hashes = np.empty((batch.num_rows, n), np.uint64)
             for i, (lang, phrase) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                seed = seeds.setdefault(lang, xxhash.xxh32_intdigest(lang.encode()))
+                seed = seeds.setdefault(lang, _seed(lang))
                 hashes[i] = [xxhash.xxh3_64_intdigest(w, seed) for w in phrase.encode().split(b" ")]
             flat = hashes.reshape(-1)
             table[_slots(np.arange(len(flat)), flat, np.arange(0, len(flat), n), n, bits)] = 1
