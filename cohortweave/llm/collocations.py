@@ -32,7 +32,7 @@ from cohortweave.llm._store import partitions, stored
 _ENDS, _GAPS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
 _END = re.compile(rb"[.,;:!?\x0A-\x0D]")
 UNKNOWN_LANG = "und"
-FLUSH = 12 << 20  # bytes of text counted at a time
+FLUSH = 8 << 20  # bytes of text counted at a time
 LEAST_BITS, MOST_BITS = 20, 26
 BLOCK_BITS = 16
 SALTS = 64
