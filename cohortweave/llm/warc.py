@@ -27,6 +27,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,15 +48,26 @@ def url_key(url: Column) -> Column:
     text = F.coalesce(url.cast("string"), F.lit(""))
     prefix = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)(?::[0-9]*)?"
     host = F.lower(F.regexp_extract(text, prefix, 1))
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.translate(F.regexp_replace(text, prefix, ""), "\t\r\n", "   "))
+    key = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_replace(text, prefix, ""))
+    return F.translate(key, "\t\r\n", "   ")  # keys that this makes equal are looked up together
 
 
-def record(page_id: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+def escaped(page_id: str | None) -> str:
+    """An id as it stands in records and index lines: what could end a field is per cent encoded; null is empty, the empty id ``%``."""
+    return "" if page_id is None else quote(page_id, safe=" !\"#$&'()*+,-./:;=?@[]^_`{|}~", errors="surrogatepass") or "%"
+
+
+def unescaped(field: str) -> str | None:
+    """The id that :func:`escaped` wrote."""
+    return None if not field else "" if field == "%" else unquote(field, errors="surrogatepass")
+
+
+def record(page_id: str | None, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """One gzip member: a response record, or a revisit record that keeps the HTTP head alone."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url.translate(_SPACES)}", f"WARC-Payload-Digest: sha256:{digest}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{escaped(page_id)}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url.translate(_SPACES)}", f"WARC-Payload-Digest: sha256:{digest}"]
     if refers_to is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{escaped(refers_to)}>"]
     block = head + payload if refers_to is None else head
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -66,7 +78,7 @@ def record(page_id: str, url: str, payload: bytes, digest: str, refers_to: str |
 class Capture:
     """A record read back; ``payload`` is None for a revisit."""
 
-    page_id: str
+    page_id: str | None
     url: str
     record_type: str
     refers_to: str | None
@@ -83,14 +95,14 @@ def parse(member: bytes) -> Capture:
     http, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
     size = int(next(x for x in http.split(b"\r\n") if x.startswith(b"Content-Length: "))[16:])
     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-    page = fields["WARC-Record-ID"][10:-1]
+    page = unescaped(fields["WARC-Record-ID"][10:-1])
     kind = fields["WARC-Type"]
     if kind == "response":
         got = hashlib.sha256(payload).hexdigest()
         if got != digest or len(payload) != size:
             raise ValueError(f"record of page {page}: payload is not what its header says")
         return Capture(page, fields["WARC-Target-URI"], kind, None, size, got, payload)
-    return Capture(page, fields["WARC-Target-URI"], kind, fields["WARC-Refers-To"][10:-1], size, digest, None)
+    return Capture(page, fields["WARC-Target-URI"], kind, unescaped(fields["WARC-Refers-To"][10:-1]), size, digest, None)
 
 
 def _page_rows(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -149,9 +161,9 @@ def write_archives(df: DataFrame, root: str, id_col: str = "page_id", url_col: s
                         files.create_dir(f"{base}/{folder}", recursive=True)
                     archive, index = files.open_output_stream(f"{base}/archive/{part}.warc.gz", compression=None), files.open_output_stream(f"{base}/index/{part}.idx", compression=None)
                 digest = hashlib.sha256(payload).hexdigest()  # noqa: PLW2901
-                member = record(page or "", url, payload, digest, known.get(digest) if len(payload) >= MIN_REVISIT else None)
+                member = record(page, url, payload, digest, known.get(digest) if len(payload) >= MIN_REVISIT else None)
                 archive.write(member)
-                lines.append(f"{key}\t{page or ''}\t{at}\t{len(member)}")
+                lines.append(f"{key}\t{escaped(page)}\t{at}\t{len(member)}")
                 at += len(member)
                 if len(lines) >= BLOCK_LINES or at - start >= BLOCK_BYTES:
                     close_block()
@@ -257,7 +269,7 @@ def read_archives(keys: DataFrame, root: str, id_type: str = "long") -> DataFram
                     continue
                 raw = read_range(index.files, f"{index.base}/archive/{d['part']}.warc.gz", d["from"], d["to"] - d["from"])
                 got = [parse(raw[at - d["from"] : at - d["from"] + size]) for at, size in asked]
-                cols = [[c.page_id or None for c in got], [c.payload_bytes for c in got], [c.payload_digest for c in got], [c.record_type for c in got], [c.refers_to for c in got]]
+                cols = [[c.page_id for c in got], [c.payload_bytes for c in got], [c.payload_digest for c in got], [c.record_type for c in got], [c.refers_to for c in got]]
                 kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
@@ -269,8 +281,12 @@ def read_archives(keys: DataFrame, root: str, id_type: str = "long") -> DataFram
 
 
 def round_trip(spark: SparkSession, df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", root: str | None = None) -> DataFrame:
-    """Write archives of ``df`` below ``root`` (default: the shared folder) and look all its keys up."""
+    """Write archives of ``df`` below ``root`` (default: the shared folder) and look all its keys up; raises if a record is not found again."""
     root = root or fresh_dir(spark, "warc")
     kind = df.select(F.col(id_col)).schema[0].dataType.simpleString()
-    write_archives(df, root, id_col, url_col, html_col)
-    return read_archives(df.select(url_key(F.col(url_col)).alias("key")), root, kind)
+    directory = write_archives(df, root, id_col, url_col, html_col)
+    got = stored(read_archives(df.select(url_key(F.col(url_col)).alias("key")), root, kind), "captures")
+    wrote, read = directory.agg(F.sum("lines")).first()[0] or 0, got.count()
+    if wrote != read:
+        raise RuntimeError(f"{wrote} records were written and {read} found through the index")
+    return got
