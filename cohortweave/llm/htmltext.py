@@ -165,16 +165,27 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def first_pass(b: Block) -> int:
-    """1 main text, -1 not, 0 undecided: short, or of middling stop-word density."""
+def stop_share(text: str) -> float:
+    """The share of a block's words that are stop words."""
+    words = text.split()
+    return sum(w.strip(".,;:!?()\"'").lower() in STOP for w in words) / len(words)
+
+
+def first_pass(b: Block, telling: bool = True) -> int:
+    """1 main text, -1 not, 0 undecided: short, mostly links inside an article, or of middling stop-word density.
+
+    ``telling`` is whether stop words say anything on this page: where no block has enough of them, in
+    languages that the list lacks, long blocks count by length and links alone.
+    """
     if b.region < 0:
         return -1
+    stops = stop_share(b.text)
+    if b.region > 0:  # an article's blocks are never rejected, only left to their neighbours in it
+        return 1 if b.links <= LINKS and (len(b.text) >= SHORT or stops >= STOP_LOW) else 0
     if b.links > LINKS:
-        return -1 if b.region == 0 or len(b.text) < SHORT else 0
-    if b.region > 0:
-        return 1
-    words = b.text.split()
-    stops = sum(w.strip(".,;:!?()\"'").lower() in STOP for w in words) / len(words)
+        return -1
+    if not telling and len(b.text) >= SHORT and not b.heading:
+        return 1 if b.links <= LINKS / 2 else 0
     if len(b.text) < SHORT or b.heading:
         return -1 if b.links > LINKS / 2 else 0
     if stops >= STOP_HIGH:
@@ -208,14 +219,23 @@ def main_text(page: str | None) -> str:
     """The article's blocks joined by one space; empty for a null, empty or all-boilerplate page.
 
     A page of which the first pass decides nothing (all blocks short) is all main text
-    but for its links: nothing speaks against it.
+    but for its links: nothing speaks against it.  Blocks inside an article look at neighbours
+    inside it alone, whatever stands beside the article.
     """
     if not page:
         return ""
     found = blocks(page)
-    labels = [first_pass(b) for b in found]
-    kept = second_pass(labels, 1 if 1 not in labels and -1 not in labels else -1)
-    return " ".join(b.text for b, k in zip(found, kept, strict=True) if k > 0)
+    return " ".join(b.text for b, k in zip(found, labelled(found), strict=True) if k > 0)
+
+
+def labelled(found: list[Block]) -> list[int]:
+    """Both passes over a page's blocks: 1 main text, -1 not."""
+    telling = any(b.region >= 0 and stop_share(b.text) >= STOP_HIGH for b in found)
+    labels = [first_pass(b, telling) for b in found]
+    inside = [k for k, b in enumerate(found) if b.region > 0]
+    for k, label in zip(inside, second_pass([labels[k] for k in inside], 1), strict=True):
+        labels[k] = label
+    return second_pass(labels, 1 if 1 not in labels and -1 not in labels else -1)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
