@@ -122,6 +122,8 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
         u = np.einsum("ij,j", inverse, column)
         ratio = np.where(u > 1e-9, np.maximum(x, 0) / np.where(u > 1e-9, u, 1), np.inf)
         r = int(ratio.argmin())
+        if not np.isfinite(ratio[r]):
+            raise RuntimeError("the linear program has a direction without a bound: the basis has become singular")
         basis[:, r], cost[r] = column, price
         theta = ratio[r]
         x = x - theta * u
@@ -164,9 +166,10 @@ def fullest(left: dict[int, int], capacity: int) -> dict[int, int]:
 def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """Whole patterns ``({size: count}, uses)`` that hold every item of ``{size: items}``.
 
-    The linear program's uses are rounded to the nearest whole number, the largest
-    fractions first, as far as items are left; the few left over (at most about one
-    pattern's items for each size) fill bins one by one, each as full as can be.
+    The linear program's uses are rounded down; where it covers a size beyond its items, that size is left out of the last
+    of them, and the patterns' other items go on.  Then fractions of a half and more are rounded up, the largest first, where all of a
+    pattern's items are there.  What is left is less than one use of each pattern, so at most about one bin a size, whatever
+    the number of items; it fills bins one by one, each as full as can be.
     """
     left = {c: n for c, n in histogram.items() if n > 0}
     if not left:
@@ -175,18 +178,22 @@ def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[dict[i
     found, _ = column_generation(sizes, np.array([left[c] for c in sizes], float), capacity)
     plans: list[tuple[dict[int, int], int]] = []
 
-    def use(pattern: dict[int, int], times: int) -> None:
-        times = min([times, *(left.get(c, 0) // k for c, k in pattern.items())])
-        if times > 0:
-            plans.append((pattern, times))
-            for c, k in pattern.items():
-                left[c] -= k * times
+    def use(pattern: dict[int, int], times: int, whole: bool = True) -> None:
+        while times > 0:
+            now = pattern if whole else {c: min(k, left[c]) for c, k in pattern.items() if c in left}
+            n = min([times, *(left.get(c, 0) // k for c, k in now.items())]) if now else 0
+            if not n:
+                return
+            plans.append((now, n))
+            for c, k in now.items():
+                left[c] -= k * n
                 if not left[c]:
                     del left[c]
+            times -= n  # a size has run out, or all uses are done
 
     patterns = [({int(c): int(k) for c, k in zip(sizes, counts, strict=True) if k}, x) for counts, x in found]
     for pattern, x in patterns:
-        use(pattern, int(x))
+        use(pattern, int(x), whole=False)
     for pattern, x in sorted(patterns, key=lambda p: int(p[1]) - p[1]):
         use(pattern, int(x % 1 >= 0.5))
     while left:
