@@ -42,6 +42,7 @@ AUDIT = 32  # planted queries of a block
 PROBES = 8  # a block's own queries that are compared with brute force
 AUDIT_RECALL = 0.98
 EXPAND = 4
+SLICE = 1 << 15  # pairs whose vectors are gathered at a time
 
 
 class HNSW:
@@ -241,8 +242,8 @@ def links_within(g: HNSW, x: np.ndarray, q: np.ndarray, threshold: float, beam:
     real = int(truth.sum())
     while True:
         a, b = _search(g, x, q, edge, beam)
-        cos = np.einsum("ad,ad->a", q[a], x[b])
-        a, b = a[cos >= threshold], b[cos >= threshold]
+        real_link = _verified(q, x, a, b, threshold)
+        a, b = a[real_link], b[real_link]
         seen = np.zeros(truth.shape, bool)
         inside = np.isin(a, probe)
         seen[np.searchsorted(probe, a[inside]), b[inside]] = True
@@ -252,12 +253,28 @@ def links_within(g: HNSW, x: np.ndarray, q: np.ndarray, threshold: float, beam:
         if again >= AUDIT_RECALL * AUDIT and met >= AUDIT_RECALL * real:
             return a, b, beam, (AUDIT + real, again + met)
         if beam >= max(512, n // 8):
-            parts = [np.nonzero(q[s : s + 256] @ x.T >= threshold) for s in range(0, len(q), 256)]
-            a = np.concatenate([r + 256 * k for k, (r, _) in enumerate(parts)])
-            return a, np.concatenate([c for _, c in parts]), n, (AUDIT + real, AUDIT + real)
+            a, b = _by_hand(q, x, np.arange(len(q)), threshold)
+            return a, b, n, (AUDIT + real, AUDIT + real)
         beam *= 2
 
 
+def _verified(q: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs reach the threshold in double precision; ``SLICE`` pairs' vectors are gathered at a time."""
+    out = np.empty(len(a), bool)
+    for s in range(0, len(a), SLICE):
+        out[s : s + SLICE] = np.einsum("ad,ad->a", q[a[s : s + SLICE]], x[b[s : s + SLICE]]) >= threshold
+    return out
+
+
+def _by_hand(q: np.ndarray, x: np.ndarray, rows: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of the queries ``rows`` and nodes with cosine >= ``threshold``, 64 queries at a time; 8 bytes a pair are held."""
+    found = [(np.empty(0, np.int32), np.empty(0, np.int32))]
+    for s in range(0, len(rows), 64):
+        r, c = np.nonzero(q[rows[s : s + 64]] @ x.T >= threshold)
+        found.append((rows[s + r].astype(np.int32), c.astype(np.int32)))
+    return np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found])
+
+
 def _search(g: HNSW, x: np.ndarray, q: np.ndarray, edge: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs found with similarity >= ``edge``; beams that end within the links are widened, at last to all nodes."""
     n = len(x)
@@ -270,9 +287,8 @@ def _search(g: HNSW, x: np.ndarray, q: np.ndarray, edge: float, beam: int) -> tu
         wide *= 4
         a, b = a[~np.isin(a, full)], b[~np.isin(a, full)]
         if wide >= max(512, n // 8):
-            for s in range(0, len(full), 256):
-                r, c = np.nonzero(q[full[s : s + 256]] @ x.T >= edge)
-                a, b = np.r_[a, full[s + r]], np.r_[b, c]
+            c, d = _by_hand(q, x, full, edge)
+            a, b = np.r_[a, c], np.r_[b, d]
             break
         i, v = g.search(q[full], wide)
         r, c = np.nonzero((i >= 0) & (v >= edge))
@@ -384,13 +400,19 @@ def embedding_components(df: DataFrame, id_col: str = "vec_id", vector_col: str
                 mine, q = mine[lo : lo + BLOCK], q[lo : lo + BLOCK]
                 a, b, _, (knew, met) = links_within(g, x, q, threshold, own=lo + np.arange(len(q)) if index == asked else None)
                 yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([met], pa.int64()), pa.array([knew], pa.int64())], ["node", "links", "peer"])
-                other = mine[a] != nodes[b]
-                a, b = a[other], b[other]
+                own = index == asked
+                if own:
+                    other = lo + a != b
+                    a, b = a[other], b[other]
                 if not len(a):
                     continue
-                count = np.bincount(a, weights[b], len(mine)).astype(np.int64)
-                names, flat = np.unique(np.r_[mine[a], nodes[b]], return_inverse=True)
-                u, w = flat[: len(a)], flat[len(a) :]
+                names = nodes if own else np.concatenate([mine, nodes])
+                first = lo if own else 0  # place of the block's first vector among the names
+                u, w = a + first, b if own else b + len(mine)
+                links = np.zeros(len(names), np.int64)
+                links[first : first + len(mine)] = np.bincount(a, weights[b], len(mine))
+                linked = np.zeros(len(names), bool)
+                linked[u] = linked[w] = True
                 label = np.arange(len(names))
                 while True:  # smallest label over the block's links
                     low = label.copy()
@@ -400,9 +422,8 @@ def embedding_components(df: DataFrame, id_col: str = "vec_id", vector_col: str
                     if (low == label).all():
                         break
                     label = low
-                seen = dict(zip(mine.tolist(), count.tolist(), strict=True))
-                weight = [seen.get(v, 0) for v in names.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(weight, pa.int64()), pa.array(names[label])], ["node", "links", "peer"])
+                at = np.flatnonzero(linked)
+                yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(links[at]), pa.array(names[label[at]])], ["node", "links", "peer"])
 
     work = spark.range(0, total, 1, max(1, min(total, 4 * n_parts)))
     answers = stored(work.mapInArrow(query, "node long, links long, peer long"), "links")

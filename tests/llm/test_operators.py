@@ -142,6 +142,23 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(spark, df.limit(0), root=str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("odd", ["\n", "\r", "\t", "\0", "\r\n", "%", "%0A", " "])
+def test_warc_loses_nothing_to_odd_urls_and_ids(spark, tmp_path, odd):
+    body = "<p>" + "the same page " * 12 + "</p>"
+    rows = [(f"a{odd}b", f"http://new{odd}line.org/", body), (f"{odd}", f"http://x.org/{odd}p?q={odd}", body), ("", "http://x.org/", "short"), (None, f"{odd}", None), ("z", f"http://{odd}", body)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(spark, df, root=str(tmp_path / "w")).collect()}
+    first = min(i for i, _, h in rows if h == body)
+    assert got == {(i, len((h or "").encode()), "revisit" if h == body and i != first else "response", first if h == body and i != first else None) for i, _, h in rows}
+
+
+def test_warc_says_when_a_record_is_not_found(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(1, "http://a.org/", "x"), (2, "http://b.org/", "y")], "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "read_archives", lambda keys, root, kind: spark.createDataFrame([(1,)], "page_id long"))
+    with pytest.raises(RuntimeError, match="2 records were written and 1 found"):
+        warc.round_trip(spark, df, root=str(tmp_path / "w"))
+
+
 # op3 ----------------------------------------------------------------------------
 
 
@@ -352,6 +369,26 @@ def test_packing(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("items", [130_000, 10_000_000_000])
+def test_packing_leaves_few_items_at_any_size(monkeypatch, items):
+    sizes = [8 * k for k in range(2, 257, 3)]
+    bins = []
+    monkeypatch.setattr(packing, "fullest", lambda left, capacity, f=packing.fullest: bins.append(1) or f(left, capacity))
+    for weights in (np.linspace(1, 2, len(sizes)), np.random.default_rng(1).uniform(0.1, 2, len(sizes))):
+        bins.clear()
+        want = {s: int(items * w / weights.sum()) for s, w in zip(sizes, weights, strict=True)}
+        got = defaultdict(int)
+        total = 0
+        for pattern, uses in packing.plan_patterns(want, 2048):
+            assert sum(c * k for c, k in pattern.items()) <= 2048
+            total += uses
+            for c, k in pattern.items():
+                got[c] += k * uses
+        assert dict(got) == want and len(bins) < 2 * len(sizes)
+        bound = packing.column_generation(np.array(sizes), np.array([want[s] for s in sizes], float), 2048)[1]
+        assert total <= bound * (1 + packing.GAP) + len(sizes)
+
+
 def test_packing_special_tokens_and_patterns():
     e = packing.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
     texts = ["a <|endoftext|> b", "", "tabs\t\tand  spaces \n\n x", "漢字 é ü ", "it's 42!", "\x1c\x1d a"]
@@ -406,9 +443,71 @@ def test_main_text(spark):
     assert {(r["id"], r["n_chars"]) for r in got} == {(1, len(htmltext.main_text(page))), (None, 0)}
 
 
+def test_main_text_of_languages_without_known_stop_words_and_of_links_in_articles():
+    italian = "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita ahi quanto a dir qual era"
+    japanese = "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。何でも薄暗いじめじめした所でニャーニャー泣いていた事だけは記憶している。吾輩はここで始めて人間というものを見た。"
+    for story in (italian, japanese):
+        menu = "<div><a href=1>Uno</a> <a href=2>Due</a> <a href=3>Tre</a></div>"
+        assert htmltext.main_text(f"{menu}<div><p>{story}</p><p>{story}</p></div>{menu}") == f"{story} {story}"
+    long = "Long enough is this paragraph of the article to be taken as it is by the first of the two passes over all of the blocks."
+    assert htmltext.main_text(f"<article><p>See <a href=a>the earlier report</a></p><p><a href=b>Reference one</a></p><p>{long}</p></article>") == f"See the earlier report Reference one {long}"
+    assert htmltext.main_text(f"<nav><p>Menu</p></nav><article><h1>Head</h1><p>{long}</p></article><footer>Foot</footer>") == f"Head {long}"
+    assert htmltext.main_text("<article><p>Short.</p><p><a href=a>Link</a></p></article>") == "Short. Link"
+
+
+def brute_labels(found):
+    """Both passes by looking at every pair of blocks."""
+    stops = [sum(w.strip(".,;:!?()\"'").lower() in htmltext.STOP for w in b.text.split()) / len(b.text.split()) for b in found]
+    telling = any(s >= htmltext.STOP_HIGH and b.region >= 0 for s, b in zip(stops, found, strict=True))
+    first = [htmltext.first_pass(b, telling) for b in found]
+
+    def inherit(k, among, labels, fallback):
+        near = sorted((abs(j - k) if among is None else abs(among.index(j) - among.index(k)), j, labels[j]) for j in (among or range(len(found))) if labels[j])
+        best = [x for x in near if x[0] == near[0][0]] if near else []
+        left, right = [x for x in near if x[1] < k], [x for x in near if x[1] > k]
+        if not best:
+            return fallback
+        return min(x[2] for x in best) if left and right else best[0][2]
+
+    inside = [k for k, b in enumerate(found) if b.region > 0]
+    labels = list(first)
+    for k in inside:
+        labels[k] = first[k] or inherit(k, inside, first, 1)
+    fallback = 1 if 1 not in labels and -1 not in labels else -1
+    return [v or inherit(k, None, labels, fallback) for k, v in enumerate(labels)]
+
+
+def test_both_passes_equal_a_look_at_all_pairs():
+    rng = random.Random(6)
+    kinds = ["Short.", "the story of a man in the house " * 5, "lorem ipsum dolor sit amet consectetur " * 4, "of it and " + "verba longa sine fine scripta " * 2]
+    for _ in range(300):
+        found = [htmltext.Block(rng.choice(kinds), rng.choice([0, 0, 0.2, 0.9]), rng.choice([-1, 0, 0, 0, 1]), rng.random() < 0.1) for _ in range(rng.randint(0, 9))]
+        assert htmltext.labelled(found) == brute_labels(found)
+
+
 # op7 ----------------------------------------------------------------------------
 
 
+def test_dense_blocks_are_verified_in_slices():
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(12_000, 64))
+    x[:4000] = x[0] + 0.01 * rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = hnsw.HNSW.build(x[:200])  # the graph plays no part: beams are full and brute force decides
+    q = x[:256]
+    tracemalloc.start()
+    a, b = hnsw._by_hand(q, x, np.arange(len(q)), 0.95)
+    keep = hnsw._verified(q, x, a, b, 0.95)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(a) == 256 * 4000 and keep.all() and peak < 80e6  # both vectors of all pairs would be 1 GB
+    assert g.x.shape == (200, 64)
+
+
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(120, 16))
