@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from cohortweave.operators import communities as cm
 from cohortweave.operators import regression as rg
+from cohortweave.operators import resampled as rs
 from cohortweave.operators import scaling as sc
 from cohortweave.operators import surface as su
+from cohortweave.plans import catalogue
 from cohortweave.plans.bindings import layers, series, table
 from cohortweave.plans.catalogue import TS, query, rounded
 
@@ -134,3 +136,23 @@ query("SELECT metric, site, n, round(u, 6) + 0.0 AS slope_orders, round(v, 6) +
 def _leiden(spark: SparkSession, d: str) -> DataFrame:
     """Leiden communities of both layers of the trade graph, the best of four runs."""
     return rounded(cm.leiden(layers(spark, d)), "modularity")
+
+
+# ------------------------------------------------------------------ tails and uncertain graphs
+
+RUNS, SAMPLES = 100, 200  # the reference's counts
+
+
+def uncertain_graph(spark: SparkSession, d: str) -> DataFrame:
+    """``g, i, j, w, sd``: mean and deviation over the years of the lines between two nations; g is the line status."""
+    o, c, s, li = (table(spark, d, n) for n in ("orders", "customer", "supplier", "lineitem"))
+    lines = li.groupBy("l_orderkey", "l_suppkey", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+    sides = lines.join(o.select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year")), F.col("l_orderkey") == F.col("o_orderkey")).join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(s.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    years = sides.filter("c_nationkey <> s_nationkey").groupBy(F.col("l_linestatus").alias("g"), F.least("c_nationkey", "s_nationkey").alias("i"), F.greatest("c_nationkey", "s_nationkey").alias("j"), "year").agg(F.sum("n").alias("n"))
+    return years.groupBy("g", "i", "j").agg(F.avg("n").alias("w"), F.stddev_pop("n").alias("sd"))
+
+
+query(name="powerlaw_compare")(lambda spark, d: rs.powerlaw_compare(catalogue._av(spark, d), "subject", "size"))
+query(name="probabilistic_communities")(lambda spark, d: rs.coassignment(uncertain_graph(spark, d), RUNS))
+query(name="community_stability")(lambda spark, d: rs.stability(rs.coassignment(uncertain_graph(spark, d), RUNS)))
+query(name="graph_metrics_ci")(lambda spark, d: rs.metrics_with_ci(uncertain_graph(spark, d), SAMPLES))
