@@ -30,11 +30,15 @@ def _links(pairs: DataFrame, label: DataFrame, zero: DataFrame) -> DataFrame:
 
 
 def _moved(pairs: DataFrame, nodes: DataFrame, resolution: float, salt: int) -> DataFrame:
-    """``nodes`` after one round; ``wants`` marks nodes that had a better community, moved or not."""
+    """``nodes`` after one round; ``wants`` marks nodes that had a better community, moved or not.
+
+    A node may also leave for the community of its own name, which gains nothing where nobody is in it.
+    """
     label = nodes.select(*_KEY, F.col("node").alias("j"), F.col("comm").alias("c"))
     own = nodes.select(*_KEY, F.col("node").alias("i"), "k", "m2", "comm")
     total = nodes.groupBy(*_KEY, F.col("comm").alias("c")).agg(F.sum("k").alias("total"))
-    met = _links(pairs, label, own.withColumn("c", F.col("comm"))).join(own, [*_KEY, "i"]).join(total, [*_KEY, "c"])
+    zero = own.withColumn("c", F.explode(F.array("comm", "i")))
+    met = _links(pairs, label, zero).join(own, [*_KEY, "i"]).join(total, [*_KEY, "c"], "left").na.fill(0.0, ["total"])
     stays = F.col("c") == F.col("comm")
     gain = F.round((F.col("kin") - resolution * F.col("k") * (F.col("total") - F.when(stays, F.col("k")).otherwise(0.0)) / F.col("m2")) / F.col("m2"), 12)
     best = met.select(*_KEY, "i", "k", "m2", "comm", "c", gain.alias("gain"), stays.alias("stays")).groupBy(*_KEY, "i", "k", "m2", "comm")

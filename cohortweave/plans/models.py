@@ -11,7 +11,7 @@ from cohortweave.operators import resampled as rs
 from cohortweave.operators import scaling as sc
 from cohortweave.operators import surface as su
 from cohortweave.plans import catalogue
-from cohortweave.plans.bindings import layers, series, table
+from cohortweave.plans.bindings import series, table, trade_graph
 from cohortweave.plans.catalogue import TS, query, rounded
 
 RADII = [0.3, 0.5, 0.8, 1.2]
@@ -134,8 +134,8 @@ query("SELECT metric, site, n, round(u, 6) + 0.0 AS slope_orders, round(v, 6) +
 
 @query(name="leiden")
 def _leiden(spark: SparkSession, d: str) -> DataFrame:
-    """Leiden communities of both layers of the trade graph, the best of four runs."""
-    return rounded(cm.leiden(layers(spark, d)), "modularity")
+    """Leiden communities of the strong edges of the trade graph, the best of four runs."""
+    return rounded(cm.leiden(trade_graph(spark, d)), "modularity")
 
 
 # ------------------------------------------------------------------ tails and uncertain graphs
