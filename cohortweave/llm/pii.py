@@ -5,9 +5,11 @@ numbers; their matches always stay.  A semi-Markov CRF adds what they miss
 (``name at host dot org``, ``(212) 555-0100``, an IPv6 address, a card written
 with dots): features of a *whole span* score each candidate segment, and a
 dynamic program over segments of bounded length chooses boundaries and types
-jointly.  Segments outside any entity are single tokens of score 0, so texts are
-only decoded where tokens can start an entity at all; the result is that of
-decoding the whole text.
+jointly.  Segments outside any entity are single tokens of score 0.  Candidates have
+a shape (see :func:`_segments`): runs of digits, blanks and the signs of numbers with
+7 to 24 digits, runs of hexadecimal digits and colons with 2 to 8 colons, and a name,
+an at sign or word, and a domain.  Only the stretches where a candidate fits are
+decoded, which gives what decoding all of the text between the base spans gives.
 
 The weights are fitted here, by gradient ascent on the CRF's likelihood over
 generated sentences (see :func:`training_set`); nothing is read from the corpus.
@@ -85,15 +87,18 @@ def joined(spans: list[Span]) -> str:
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 MAX_TOKENS = 40
 MAX_DIGITS, MAX_COLONS = 24, 8
-#: Where a segment can be an entity at all: digits, and colons of addresses.  Digit runs are possessive and begin at their first digit, so a long one is read once.
-_TRIGGER = re.compile(
-    r"[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,8}"
-    r"|(?:\+[0-9]{1,3}[ .-]?)?\(?(?<![0-9])[0-9]{2,}+\)?(?:[ ().\-/]{1,3}[0-9]{2,}+)++"
-    r"|\+[0-9]{3,}+\)?(?:[ ().\-/]{1,3}[0-9]{2,}+)++"
-)
+MIN_DIGITS, MIN_COLONS = 7, 2
+#: Signs and blanks inside phone and card numbers, beside digits.
+_SIGNS = "().-_/+\u2010\u2011\u2012\u2013\u2014"
+_BLANKS = " \t\u00a0"
+_NUMBER = re.compile(rf"[0-9(+][0-9{re.escape(_SIGNS + _BLANKS)}]*+")
+_COLONS = re.compile(r":[0-9A-Fa-f]*+:[0-9A-Fa-f:]*+")
+_HEX = frozenset("0123456789ABCDEFabcdef")
 #: Spelled-out addresses are found by their ``at``; the name before it is looked up backwards.
-_AT = re.compile(r"[\(\[\{]\s{0,8}(?:at|AT)\s{0,8}[\)\]\}]|\s(?:at|AT)(?=\s)")
-_SPELLED = re.compile(r"\s{0,8}[A-Za-z0-9-]++(?:\s{0,8}(?:[\(\[\{]\s{0,8}(?:dot|DOT)\s{0,8}[\)\]\}]|\s(?:dot|DOT)\s|\.)\s{0,8}[A-Za-z0-9-]++){1,4}")
+_AT = re.compile(r"[\(\[\{]\s*+(?:at|AT)\s*+[\)\]\}]|\s(?:at|AT)(?=\s)|@")
+_LABELS = r"[A-Za-z0-9-]++(?:(?:\s*+[\(\[\{]\s*+(?:dot|DOT)\s*+[\)\]\}]\s*+|\s++(?:dot|DOT)\s++|\s*+\.\s*+)[A-Za-z0-9-]++)++"
+_SPELLED = re.compile(r"\s*+" + _LABELS)
+_MAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*+(?:\s*+[\(\[\{]\s*+(?:at|AT)\s*+[\)\]\}]\s*+|\s++(?:at|AT)\s++|\s*+@\s*+)" + _LABELS)
 _CUE = {
     "email": frozenset("email mail contact write courriel correo".split()),
     "ip": frozenset("ip address host server addr client".split()),
@@ -122,16 +127,27 @@ def segment_features(kind: str, span: str, before: str, after: str) -> list[str]
         f += [f"email|at:{'bracket' if re.search(r'[(\[{] *at *[)\]}]', low) else 'word' if ' at ' in low else 'sign' if '@' in low else 'none'}"]
         f += [f"email|dot:{'spelled' if re.search(r' dot |[(\[{] *dot *[)\]}]', low) else 'sign' if '.' in low else 'none'}"]
         f.append("email|known end" if words and words[-1] in _TLD and low.endswith(words[-1]) else "email|other end")
-        if re.match(r"\W", low):
-            f.append("email|starts with a sign")
+        if re.match(r"\s*[(\[{]?\s*(?:dot|DOT)\b|\.[A-Za-z0-9]", after):
+            f.append("email|goes on")
     elif kind == "phone":
         f.append(f"phone|digits:{'few' if digits < 9 else 'many' if digits > 15 else 'fit'}")
         f.append("phone|area code in brackets" if re.match(r"\(\d{2,4}\)", span) else "phone|no brackets")
-        f.append("phone|3-3-4" if groups[-3:] == [3, 3, 4] and len(groups) <= 4 else f"phone|{'one group' if len(groups) == 1 else 'groups'}")
+        known = groups[-3:] == [3, 3, 4] and len(groups) <= 4
+        f.append("phone|3-3-4" if known else f"phone|{'one group' if len(groups) == 1 else 'groups'}")
+        if known and len(groups) == 4 and span[0] != "+":
+            f.append("phone|leading 1" if groups[0] == 1 and span[0] == "1" else "phone|leading digits")
+        elif not known and min(groups) < 2:
+            f.append("phone|single digits")
+        if len(groups) == 1 and digits == 10 and _CUE[kind].intersection(cues):
+            f.append("phone|ten digits after a cue")
+        if re.search(r"[0-9][ \t\xa0]+\Z", before) or re.match(r"[ \t\xa0]+[0-9]", after):
+            f.append("phone|digits a space away")
+        if re.search(r"[0-9(]\s*[-._\u2010-\u2014]\s*\Z", before) or re.match(r"\s*[-._\u2010-\u2014]\s*[0-9]", after):
+            f.append("phone|goes on")
         f.append(f"phone|plus:{span.count('+')}:{span[0] == '+'}")
         if before.endswith("+") or re.search(r"\+[0-9]{1,3}[ .-]?\Z", before):
             f.append("phone|country code left out")
-        if letters or re.search(r"[:/,]", span):
+        if re.search(r"[/_]", span):
             f.append("phone|foreign signs")
     elif kind == "card":
         f.append("card|length fits" if 13 <= digits <= 19 else "card|length")
@@ -139,7 +155,7 @@ def segment_features(kind: str, span: str, before: str, after: str) -> list[str]
         f.append("card|fours" if groups[:3] == [4, 4, 4] else "card|one group" if len(groups) == 1 else "card|groups")
         if re.search(r"[0-9]{4} \Z", before) or re.match(r" [0-9]{4}", after):
             f.append(f"card|digits a space away:{'one group' if len(groups) == 1 else 'groups'}")
-        if letters or not re.fullmatch(r"[0-9. -]+", span):
+        if re.search(r"[()/+]", span):
             f.append("card|foreign signs")
     else:
         parts = re.split(r":", span)
@@ -154,33 +170,43 @@ def segment_features(kind: str, span: str, before: str, after: str) -> list[str]
 def _segments(text: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], list[list[tuple[int, str, list[str]]]]]:
     """Tokens of ``text[lo:hi]`` and, by end token, the candidates ``(first token, kind, features)``.
 
-    Candidates have at most ``MAX_TOKENS`` tokens, cards and phones at most ``MAX_DIGITS``
-    digits, IP addresses at most ``MAX_COLONS`` colons.
+    Candidates have at most ``MAX_TOKENS`` tokens and at least 4 characters.  Cards and phones are digits, ``_SIGNS`` and
+    blanks, from a digit, ``(`` or ``+`` to a digit, with ``MIN_DIGITS`` to ``MAX_DIGITS`` digits; IP addresses are hexadecimal digits
+    and colons without gaps, with ``MIN_COLONS`` to ``MAX_COLONS`` colons; addresses match ``_MAIL``.
     """
     tokens = [m.span() for m in _TOKEN.finditer(text, lo, hi)]
     words = [text[s:e] for s, e in tokens]
-    digits_of = [len(w) if w[0] in "0123456789" else 0 for w in words]
-    last_colon = max((k for k, w in enumerate(words) if w == ":"), default=-1)
-    last_at = max((k for k, w in enumerate(words) if w == "@" or w in ("at", "AT", "At")), default=-1)
+    number = [w[0] in "0123456789" for w in words]
+    part = [n or w in _SIGNS for n, w in zip(number, words, strict=True)]
+    hexes = [w == ":" or _HEX.issuperset(w) for w in words]
+    ats = [w in ("@", "at", "AT") for w in words]
+    gap = [2, *(0 if a[1] == b[0] else 2 if text[a[1] : b[0]].strip(_BLANKS) else 1 for a, b in zip(tokens, tokens[1:], strict=False))]
+    next_at, following = [len(tokens)] * len(tokens), len(tokens)
+    for k in range(len(tokens) - 1, -1, -1):
+        next_at[k] = following
+        following = k if ats[k] else following
     found: list[list[tuple[int, str, list[str]]]] = [[] for _ in tokens]
-    for i in range(len(tokens)):
-        s = tokens[i][0]
-        if not (text[s].isalnum() or text[s] in "(:+"):
-            continue
+    for i, (s, _) in enumerate(tokens):
+        first = words[i][0]
+        digital, colonic, mail = number[i] or first in "(+", hexes[i], next_at[i] < i + MAX_TOKENS and first.isalnum() and first.isascii()
         digits = colons = 0
-        at, left = False, text[max(0, s - 40) : s]
         for j in range(i, min(len(tokens), i + MAX_TOKENS)):
-            e = tokens[j][1]
-            digits += digits_of[j]
+            digits += len(words[j]) if number[j] else 0
             colons += words[j] == ":"
-            at = at or words[j] in ("@", "at", "AT", "At")
-            if not at and last_at < j and (colons > MAX_COLONS or digits > MAX_DIGITS and last_colon < j and colons < 2):
+            digital = digital and part[j] and digits <= MAX_DIGITS and (j == i or gap[j] < 2)
+            colonic = colonic and hexes[j] and colons <= MAX_COLONS and (j == i or not gap[j])
+            if not (digital or colonic or mail):
                 break
-            if e - s < 4 or not (words[j][-1].isalnum() or words[j] == ":"):
+            e = tokens[j][1]
+            if e - s < 4:
                 continue
-            kinds = [k for k, on in zip(KINDS, (at, 2 <= colons <= MAX_COLONS, 7 <= digits <= MAX_DIGITS, 7 <= digits <= MAX_DIGITS), strict=True) if on]
+            kinds = ["phone", "card"] if digital and number[j] and digits >= MIN_DIGITS else []
+            if colonic and colons >= MIN_COLONS:
+                kinds.append("ip")
+            if mail and next_at[i] < j and _MAIL.fullmatch(text, s, e):
+                kinds.append("email")
             if kinds:
-                span, right = text[s:e], text[e : e + 8]
+                span, left, right = text[s:e], text[max(0, s - 40) : s], text[e : e + 8]
                 found[j] += [(i, kind, segment_features(kind, span, left, right)) for kind in kinds]
     return tokens, found
 
@@ -208,7 +234,7 @@ def decode(text: str, lo: int, hi: int, weights: dict[str, float]) -> list[Span]
     return out[::-1]
 
 
-def training_set(n: int = 260, seed: int = 4) -> list[tuple[str, list[Span]]]:
+def training_set(n: int = 600, seed: int = 4) -> list[tuple[str, list[Span]]]:
     """Generated sentences with and without personal data, and their entities."""
     rng = random.Random(seed)
     pick = rng.choice
@@ -221,19 +247,26 @@ def training_set(n: int = 260, seed: int = 4) -> list[tuple[str, list[Span]]]:
         return sep.join(d[k : k + 4] for k in range(0, 16, 4))
 
     def entity() -> tuple[str | None, str]:
-        k = rng.randrange(12)
-        if k < 3:
-            at, dot = pick([(" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" at ", ".")])
-            return "email", f"{word()}{pick(['', '.' + word(), num(2)])}{at}{word()}{dot}{pick(sorted(_TLD))}"
-        if k < 5:
-            return "phone", pick([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"({num(3)}) {num(3)} {num(4)}"])
-        if k < 6:
-            return "card", card(".")
+        k = rng.randrange(18)
+        if k < 4:
+            at, dot = pick([(" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" at ", "."), ("@", " dot "), (" @ ", ".")])
+            domain = dot.join(word() for _ in range(pick([1, 1, 1, 2, 3, 5])))
+            return "email", f"{word()}{pick(['', '.' + word(), num(2)])}{at}{domain}{dot}{pick(sorted(_TLD))}"
         if k < 7:
+            a, b, c = num(3), num(3), num(4)
+            dash = pick(["-", "-", ".", " - ", "  -  ", "\u2013", "\u2011", " "])
+            return "phone", pick([f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"1-{a}-{b}-{c}", f"1 {a} {b} {c}", f"1 ({a}) {b}-{c}", f"{a}{dash}{b}{dash}{c}"])
+        if k < 8:
+            return "phone", f"{pick(sorted(_CUE['phone']))}{pick([': ', ' '])}{num(10)}"
+        if k < 10:
+            return "card", card(pick([".", "_", "  ", "\u2013", " - "]))
+        if k < 11:
             return "ip", pick([":".join(f"{rng.randrange(1, 65536):x}" for _ in range(8)), f"2001:db8:{rng.randrange(1, 65536):x}::{rng.randrange(1, 65536):x}", f"fe80::{rng.randrange(1, 65536):x}"])
         return None, pick([
             f"{rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{rng.randint(10, 23)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}", f"{num(4)}.{num(4)}.{num(4)}.{num(4)}",
             f"{num(2)}.{num(2)}.{num(4)}", f"{word()} at {word()}. {word()}", f"{num(16)}", f"{num(3)}, {num(3)}, {num(4)}", f"{num(5)} {num(5)}", f"{num(2)} {num(2)} {num(2)}", f"at {word()} dot", f"{num(4)} {num(4)} {num(4)} {num(4)} {num(4)}", f"{num(3)}-{num(4)}-{num(3)}-{num(3)}",
+            num(10), f"{num(4)} {num(4)}", " ".join(num(rng.randint(1, 3)) for _ in range(rng.randint(4, 12))), f"{num(4)}-{num(4)} {num(4)}-{num(4)}", f"{num(1)}.{num(2)} {num(1)}.{num(2)} {num(2)}.{num(2)} {num(1)}.{num(3)}", f"978-3-{num(2)}-{num(6)}-{num(1)}",
+            f"{rng.randint(1900, 2030)}-{num(2)}-{num(2)} {num(2)}:{num(2)}", f"{num(2)}.{num(2)}.{num(4)} {num(2)}.{num(2)}.{num(4)}", f"{num(3)}.{num(3)}.{num(3)}", f"{num(1)}_{num(3)}_{num(3)}", f"{num(3)} {num(3)} {num(3)}", f"{word()}@{word()}. {word().title()}", num(8), num(12), "-".join(num(4) for _ in range(3)), f"{num(2)}/{num(2)}/{num(4)}", f"1 {num(4)} {num(4)}",
         ])
 
     out = []
@@ -247,11 +280,19 @@ def training_set(n: int = 260, seed: int = 4) -> list[tuple[str, list[Span]]]:
                 text += f"{one} {two} "
             text += " ".join(word() for _ in range(rng.randint(1, 5))) + " "
             kind, s = entity()
-            if kind and rng.random() < 0.4:
+            if kind == "phone" and s[0].isalpha():  # a number that only its cue tells
+                text += s[: len(s) - 10]
+                s = s[-10:]
+            elif kind and rng.random() < 0.4:
                 text += pick(sorted(_CUE[kind])) + pick([": ", " "])
             if kind:
                 spans.append((kind, len(text), len(text) + len(s)))
-            text += s + pick([" ", ". ", ", ", "\n"])
+            text += s
+            if kind == "phone" and "-" in s and rng.random() < 0.15:  # a list of numbers
+                s = f"{num(3)}-{num(3)}-{num(4)}"
+                spans.append((kind, len(text) + 1, len(text) + 1 + len(s)))
+                text += " " + s
+            text += pick([" ", ". ", ", ", "\n"])
         out.append((text + word(), spans))
     return out
 
@@ -296,25 +337,47 @@ def fitted(epochs: int = 12, rate: float = 0.4) -> dict[str, float]:
 def _spelled(text: str) -> list[tuple[int, int]]:
     """Stretches around each ``at`` that has a name before and a domain after it."""
     out: list[tuple[int, int]] = []
-    end = 0
     for m in _AT.finditer(text):
         after = _SPELLED.match(text, m.end())
         if not after:
             continue
         start = m.start()
-        while start > end and m.start() - start < 8 and text[start - 1].isspace():
+        while start and text[start - 1].isspace():
             start -= 1
         name = start
-        while start > end and text[start - 1] in _LOCAL:
+        while start and text[start - 1] in _LOCAL:
             start -= 1
-        while start < name and not (text[start].isascii() and text[start].isalnum()):
-            start += 1
         if start < name:
             out.append((start, after.end()))
-            end = m.end()
     return out
 
 
+def _numbers(text: str) -> list[tuple[int, int]]:
+    """Runs of the characters of phone and card numbers with enough digits."""
+    return [m.span() for m in _NUMBER.finditer(text) if m.end() - m.start() >= MIN_DIGITS and sum(map(m[0].count, "0123456789")) >= MIN_DIGITS]
+
+
+def _colons(text: str) -> list[tuple[int, int]]:
+    """Runs of hexadecimal digits and colons with enough colons, less words at their ends that go on with other letters."""
+    out: list[tuple[int, int]] = []
+    for m in _COLONS.finditer(text):
+        lo, hi = m.span()
+        while lo and text[lo - 1] in _HEX:
+            lo -= 1
+        if lo and _letter(text[lo - 1]):
+            while _letter(text[lo]):
+                lo += 1
+        if hi < len(text) and _letter(text[hi]):
+            while _letter(text[hi - 1]):
+                hi -= 1
+        out.append((lo, hi))
+    return out
+
+
+def _letter(c: str) -> bool:
+    return c.isascii() and c.isalpha()
+
+
 def _united(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The stretches in order, overlapping ones as one."""
     out: list[tuple[int, int]] = []
@@ -327,12 +390,12 @@ def _united(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def regions(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    """Stretches, apart from each other, outside which no token can belong to an entity; without ``taken`` ones.
+    """Stretches, apart from each other, that hold all candidates; without ``taken`` ones.
 
     What the base finds stays as it is: its spans are cut out, and the rest of a stretch is left on either side.
     """
     out: list[tuple[int, int]] = []
-    stretches = _spelled(text) + [m.span() for m in _TRIGGER.finditer(text)]
+    stretches = _spelled(text) + _numbers(text) + _colons(text)
     busy: list[list[int]] = []
     for s, e in sorted((s, e) for _, s, e in taken):
         if busy and s < busy[-1][1]:

@@ -327,6 +327,50 @@ def test_pii_field_on_sentences_of_another_kind():
         assert pii.find_spans(text, weights)[1] == [], text
 
 
+def test_pii_gate_gives_what_decoding_everything_gives():
+    """Random and hand-written lines: stretches with candidates against all of the text between the base spans."""
+    weights = pii.fitted()
+    rng = random.Random(12)
+    parts = ["212", "555", "0100", "1", "4111", "12345", "-", " ", " ", ".", "(", ")", "+", "_", "/", "\u2013", "\n", "fe80", "2001", ":", "::", "db8", "face", "xfe", "at", " at ", "dot", " dot ", "(at)", "[dot]", "@", "anna", "com", "org", "é", ",", "call ", "\u00a0", "\t", "("]
+    lines = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(10_000)]
+    lines += [t for t, _ in pii.training_set(200, seed=5)]
+    added = 0
+    for text in lines:
+        base, every = pii.find_spans(text, weights)
+        busy = [0] * (len(text) + 1)
+        for _, s, e in base:
+            busy[s:e] = [1] * (e - s)
+        want, lo = [], 0
+        while lo < len(text):
+            hi = lo
+            while hi < len(text) and not busy[hi]:
+                hi += 1
+            want += pii.decode(text, lo, hi, weights) if hi > lo else []
+            lo = hi + (hi == lo)
+        assert sorted(every[len(base) :]) == sorted(want), text
+        added += len(want)
+    assert added > 400
+
+
+def test_pii_field_finds_numbers_in_other_dress():
+    weights = pii.fitted()
+    cases = {
+        "pay with 4111_1111_1111_1111 now": ("card", "4111_1111_1111_1111"),
+        "call 212\u2013555\u20130100 now": ("phone", "212\u2013555\u20130100"),
+        "ring 212  -  555  -  0100 now": ("phone", "212  -  555  -  0100"),
+        "write john at a dot b dot c dot d dot e dot com please": ("email", "john at a dot b dot c dot d dot e dot com"),
+        "dial 1-800-555-0199 today": ("phone", "1-800-555-0199"),
+        "dial 1 212 555 0100 today": ("phone", "1 212 555 0100"),
+        "please call 2125550100 now": ("phone", "2125550100"),
+        "write to anna@example dot org today": ("email", "anna@example dot org"),
+    }
+    for text, (kind, span) in cases.items():
+        at = text.index(span)
+        assert pii.find_spans(text, weights)[1] == [(kind, at, at + len(span))], text
+    for text in ("order 2125550100 now", "The years 1999 2001 2005 2010 were good", "1 2 3 4 5 6 7 8 9 10 11 12", "3.14 2.718 1.414 1.732", "2019-05-12 10:30", "part 1234-5678-9012", "look @ this. Then go"):
+        assert pii.find_spans(text, weights)[1] == [], text
+
+
 def test_pii_query(docs, empty):
     got = {r["id"]: r for r in pii.detect(docs).collect()}
     mail = next(i for i, t, *_ in corpus() if t and t.startswith("Mail"))
