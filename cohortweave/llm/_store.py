@@ -8,6 +8,7 @@ executors' folder.
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
 import uuid
 
@@ -15,7 +16,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: dict[str, str] = {}
-_MADE: list[str] = []
+#: What the run of this thread has made since its :func:`mark`; another thread's run has a list of its own.
+_MADE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -35,7 +37,9 @@ def shared_root(spark: SparkSession) -> str:
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A path below the shared root that no other call gets."""
     path = f"{shared_root(spark)}/cohortweave/{name}-{uuid.uuid4().hex}"
-    _MADE.append(path)
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
     return path
 
 
@@ -74,23 +78,25 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def mark() -> int:
-    """A point in time for :func:`release`."""
-    return len(_MADE)
+def mark() -> list[str]:
+    """Begin a run: the list of what this thread makes from now on below the shared root, for :func:`release`."""
+    made: list[str] = []
+    _MADE.set(made)
+    return made
 
 
-def release(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
-    """Remove all that was made below the shared root since a :func:`mark`, but for the table ``keep``.
+def release(spark: SparkSession, made: list[str], keep: DataFrame | None = None) -> None:
+    """Remove what the run has ``made`` since its :func:`mark`, but for the table ``keep``; what other runs made stays.
 
     For a step whose result is stored: nothing reads its intermediate tables any more.
     """
     kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for f in keep.inputFiles()} if keep is not None else set()
-    stay = [p for p in _MADE[since:] if p.rsplit("/", 1)[1] in kept]
-    for path in _MADE[since:]:
+    stay = [p for p in made if p.rsplit("/", 1)[1] in kept]
+    for path in made:
         if path not in stay:
             files, where = _hadoop(spark, path)
             files.delete(where, True)
-    _MADE[since:] = stay
+    made[:] = stay
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

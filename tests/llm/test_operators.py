@@ -768,3 +768,24 @@ def test_pipeline(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_a_run_removes_its_own_tables_only(spark):
+    import threading
+
+    from cohortweave.llm import _store
+
+    def make(name):
+        _store.mark()
+        other.append(_store.stored(spark.range(3), name))
+
+    other = []
+    made = _store.mark()
+    mine, kept = _store.stored(spark.range(4), "mine"), _store.stored(spark.range(5), "kept")
+    thread = threading.Thread(target=make, args=("other",))
+    thread.start()
+    thread.join()
+    path = mine.inputFiles()[0]
+    _store.release(spark, made, keep=kept)
+    assert not _store.exists(spark, path) and other[0].count() == 3 and kept.count() == 5
+    assert len(made) == 1
