@@ -83,7 +83,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("near_duplicates", drop_near_duplicates), ("pii", redact), ("packing", pack)]
 
-#: Fingerprints, fitted models and token ids are not expressible in SQL; tests hold each stage against brute force.
+#: Fingerprints, fitted models and token ids are not expressible in SQL; tests/llm holds the stages' operators
+#: against brute force or held-out labels, and the chain's columns and ids.
 ORACLE_SQL = None
 
 
