@@ -398,6 +398,32 @@ def weights_shuffled(w: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return out + out.T
 
 
+def strength_preserving(w: np.ndarray, rng: np.random.Generator, moves_per_edge: int = 20) -> np.ndarray:
+    """Weights moved round random cycles of four edges: more on two opposite ones, as much less on the other two.
+
+    Every node's strength and every edge stay, weights stay positive.  A graph without such a cycle (a tree, a triangle) stays as it is.
+    """
+    a = w.astype(float).copy()
+    on = a > 0
+    np.fill_diagonal(on, False)
+    near = [np.nonzero(row)[0] for row in on]
+    e = np.argwhere(on)  # both directions
+    for _ in range(moves_per_edge * len(e) // 2):
+        p, q = e[rng.integers(len(e))]
+        r = near[q][rng.integers(len(near[q]))]
+        if r == p:
+            continue
+        ends = np.nonzero(on[p] & on[r])[0]
+        ends = ends[ends != q]
+        if not len(ends):
+            continue
+        s = ends[rng.integers(len(ends))]
+        d = rng.uniform(-min(a[p, q], a[r, s]), min(a[q, r], a[s, p]))
+        for x, y, by in ((p, q, d), (r, s, d), (q, r, -d), (s, p, -d)):
+            a[x, y] = a[y, x] = a[x, y] + by
+    return a
+
+
 def geometry_rewired(w: np.ndarray, place: np.ndarray, rng: np.random.Generator, bins: int = 10) -> np.ndarray:
     """Edges dealt anew among the pairs of about the same distance: their number in each distance bin stays."""
     i, j = np.triu_indices(len(w), 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +10,8 @@ from cohortweave.functions import networks as nw
 from cohortweave.operators import alignment as al
 from cohortweave.operators import communication as co
 from cohortweave.operators import kernels as kr
-from cohortweave.plans.bindings import table
+from cohortweave.operators import labels as lb
+from cohortweave.plans.bindings import modules, table
 from cohortweave.plans.catalogue import query, rounded
 
 # ------------------------------------------------------------------ a graph a year
@@ -137,3 +139,34 @@ def _group_gradients(spark: SparkSession, d: str) -> DataFrame:
     found = kr.per_node(yearly_trade(spark, d), ["a", "b", "c"], lambda w: nw.diffusion_map(nw.affinity(w, 50), 3)[0])
     found = found.select(F.col("g").alias("subject"), "node", F.array("a", "b", "c").alias("v"))
     return rounded(al.misfit(*al.align_jointly(found, 3), 3), "rmse", "r", digits=4)
+
+
+# ------------------------------------------------------------------ permuted modules, strengths kept
+
+PERMUTATIONS, NULLS = 1000, 100  # the reference's counts
+_PERMUTED = _COUPLED + f""",
+pe AS (SELECT yt.g, yt.i, yt.j, w AS x, y FROM yt JOIN lk ON lk.g = yt.g AND lk.i = yt.i AND lk.j = yt.j WHERE y IS NOT NULL AND NOT isnan(y)),
+nd AS (SELECT g, node, n_regionkey AS module, row_number() OVER (PARTITION BY g ORDER BY node) AS place FROM (SELECT g, i AS node FROM pe UNION SELECT g, j FROM pe) JOIN nation ON n_nationkey = node),
+rp AS (SELECT unnest(range(0, {PERMUTATIONS + 1})) AS replicate),
+pm AS (SELECT g, node, replicate, row_number() OVER (PARTITION BY g, replicate ORDER BY CASE WHEN replicate > 0 THEN md5(concat_ws(':', g, node, replicate)) END, node) AS place FROM nd, rp),
+lb AS (SELECT pm.g, pm.node, pm.replicate, nd.module FROM pm JOIN nd ON nd.g = pm.g AND nd.place = pm.place),
+rr AS (SELECT pe.g, a.replicate, a.module, corr(x, y) AS r FROM pe JOIN lb a ON a.g = pe.g AND a.node = pe.i JOIN lb b ON b.g = pe.g AND b.node = pe.j AND b.replicate = a.replicate AND b.module = a.module GROUP BY ALL HAVING count(*) >= 3 AND var_pop(x) > 1e-12 AND var_pop(y) > 1e-12),
+rm AS (SELECT module, replicate, avg(r) AS r, count(*) AS subjects FROM rr GROUP BY ALL),
+rs AS (SELECT n.module, o.subjects, o.r, avg(n.r) AS null_mean, stddev_pop(n.r) AS null_sd, avg(CAST(n.r >= o.r - 1e-12 AS DOUBLE)) AS p FROM rm n JOIN rm o ON o.module = n.module AND o.replicate = 0 WHERE n.replicate > 0 GROUP BY n.module, o.subjects, o.r)"""
+
+
+def _permuted(spark: SparkSession, d: str) -> DataFrame:
+    likeness = yearly_likeness(spark, d)
+    edges = yearly_trade(spark, d).join(likeness, ["g", "i", "j"]).select(F.col("g").alias("subject"), "i", "j", F.col("w").alias("x"), "y")
+    return rounded(lb.coupling_test(edges, modules(spark, d), PERMUTATIONS), "r", "null_mean", "null_sd", "z", "p", digits=5)
+
+
+query("SELECT module, subjects, round(r, 5) + 0.0 AS r, round(null_mean, 5) + 0.0 AS null_mean, round(null_sd, 5) + 0.0 AS null_sd, round((r - null_mean) / greatest(null_sd, 1e-8), 5) + 0.0 AS z, round(p, 5) + 0.0 AS p FROM rs", _PERMUTED, "coupling_label_permutation")(_permuted)
+
+
+@query(name="strength_preserving_null")
+def _strengths(spark: SparkSession, d: str) -> DataFrame:
+    """Clustering and efficiency of each year's trade graph under weights moved round cycles, strengths kept."""
+    kernel = lambda w: [(float(nw.clustering(w).mean()), nw.efficiency(w), float(np.ptp(w.sum(0))))]
+    nulls = kr.null_rows(yearly_trade(spark, d), NULLS, "clustering double, efficiency double, spread double", kernel, nw.strength_preserving, 6)
+    return nulls.groupBy("g").agg(F.avg("clustering").alias("clustering"), F.stddev_pop("clustering").alias("clustering_sd"), F.avg("efficiency").alias("efficiency"), F.avg("spread").alias("strength_range"), F.count(F.lit(1)).alias("replicates"))

@@ -1,13 +1,16 @@
 """Communication, regional coupling and joint alignment against numpy."""
 
+import hashlib
 import heapq
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cohortweave.functions import networks as nw
 from cohortweave.operators import alignment as al
 from cohortweave.operators import communication as co
+from cohortweave.operators import labels as lb
 
 
 def graphs():
@@ -153,3 +156,43 @@ def test_misfit_of_equal_vectors_is_zero(spark):
     df = spark.createDataFrame([(s, n, [float(n), float(n * n)]) for s in (1, 2) for n in range(5)], "subject int, node int, v array<double>")
     got = al.misfit(*al.align_jointly(df, 2), 2).collect()
     assert [r["rmse"] for r in got] == pytest.approx([0, 0], abs=1e-9) and df.filter(F.col("subject") == 1).count() == 5
+
+
+def test_moved_weights_keep_strengths_and_edges():
+    rng = np.random.default_rng(8)
+    for w in (graphs()[0], graphs()[2][:4, :4] + np.ones((4, 4)) - np.eye(4)):
+        a = nw.strength_preserving(w, rng)
+        assert np.allclose(a.sum(0), w.sum(0), atol=1e-9) and np.array_equal(a, a.T)
+        assert np.array_equal(a > 0, w > 0)
+        assert np.abs(a - w).sum() > 0.2 * w.sum()
+    for w in (graphs()[3], graphs()[1], np.zeros((3, 3))):  # a star, paths and a triangle: no cycle of four
+        assert np.array_equal(nw.strength_preserving(w, rng), w)
+
+
+def test_permuted_modules_equal_a_loop(spark):
+    rng = np.random.default_rng(9)
+    n, nodes, module = 150, np.arange(3, 21), ["a", "b", "a", "c", "b", "a"] * 3
+    rows, want = [], {}
+    for s in ("s1", "s2", "s3"):
+        x, y = np.triu(rng.normal(size=(18, 18)), 1), np.triu(rng.normal(size=(18, 18)), 1)
+        same = np.array(module)[:, None] == np.array(module)
+        y = np.where(same, y + x, y)
+        rows += [(s, int(nodes[i]), int(nodes[j]), float(x[i, j]), float(y[i, j])) for i, j in zip(*np.triu_indices(18, 1), strict=True)]
+        for r in range(n + 1):
+            order = sorted(range(18), key=lambda k: hashlib.md5(f"{s}:{nodes[k]}:{r}".encode()).hexdigest()) if r else range(18)
+            mine = [""] * 18
+            for place, k in enumerate(order):
+                mine[k] = module[place]
+            for m in "abc":
+                on = [(i, j) for i in range(18) for j in range(i + 1, 18) if mine[i] == mine[j] == m]
+                want[s, r, m] = np.corrcoef([x[p] for p in on], [y[p] for p in on])[0, 1]
+    bad = [("s1", 3, 4, None, 1.0), ("s1", 3, 99, 1.0, 1.0), ("s2", 5, 6, 1.0, float("nan")), ("s4", 3, 5, 1.0, 1.0), ("s4", 3, 8, 1.0, 2.0)]
+    edges = spark.createDataFrame(rows + bad, "subject string, i int, j int, x double, y double").repartition(4)
+    labels = spark.createDataFrame([(int(v), m) for v, m in zip(nodes, module, strict=True)] + [(50, None)], "node int, module string")
+    got = {(r["subject"], r["replicate"], r["module"]): r["r"] for r in lb.coupling_nulls(edges, labels, n).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    for row in lb.coupling_test(edges, labels, n).collect():
+        m = row["module"]
+        mean = np.array([np.mean([want[s, r, m] for s in ("s1", "s2", "s3")]) for r in range(n + 1)])
+        assert row["r"] == pytest.approx(mean[0]) and row["p"] == pytest.approx((mean[1:] >= mean[0] - 1e-12).mean())
+        assert row["z"] == pytest.approx((mean[0] - mean[1:].mean()) / mean[1:].std()) and row["subjects"] == 3
