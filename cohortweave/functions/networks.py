@@ -406,19 +406,15 @@ def strength_preserving(w: np.ndarray, rng: np.random.Generator, moves_per_edge:
     a = w.astype(float).copy()
     on = a > 0
     np.fill_diagonal(on, False)
-    near = [np.nonzero(row)[0] for row in on]
-    e = np.argwhere(on)  # both directions
-    for _ in range(moves_per_edge * len(e) // 2):
-        p, q = e[rng.integers(len(e))]
-        r = near[q][rng.integers(len(near[q]))]
-        if r == p:
+    near = [np.nonzero(row)[0].tolist() for row in on]
+    e = np.argwhere(on).tolist()  # both directions
+    for u in rng.random((moves_per_edge * len(e) // 2, 4)).tolist():
+        p, q = e[int(u[0] * len(e))]
+        r, s = near[q][int(u[1] * len(near[q]))], near[p][int(u[2] * len(near[p]))]
+        if r == p or s == q or r == s or not on[r, s]:
             continue
-        ends = np.nonzero(on[p] & on[r])[0]
-        ends = ends[ends != q]
-        if not len(ends):
-            continue
-        s = ends[rng.integers(len(ends))]
-        d = rng.uniform(-min(a[p, q], a[r, s]), min(a[q, r], a[s, p]))
+        less, more = min(a[p, q], a[r, s]), min(a[q, r], a[s, p])
+        d = u[3] * (less + more) - less
         for x, y, by in ((p, q, d), (r, s, d), (q, r, -d), (s, p, -d)):
             a[x, y] = a[y, x] = a[x, y] + by
     return a

@@ -282,7 +282,9 @@ def null_rows(edges: DataFrame, n: int, schema: str, kernel: Callable[[np.ndarra
             yield pd.DataFrame(rows, columns=["g", "replicate", *names])
 
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
-    work = replicates(packed_graphs(edges), n, "g", salt=salt).repartition("g", "replicate")
+    # a stated number of partitions: rows are small and long to work on, and would be put together into one task
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    work = replicates(packed_graphs(edges), n, "g", salt=salt).repartition(tasks, "g", "replicate")
     return work.mapInPandas(run, f"g {kinds['g']}, replicate int, {schema}")
 
 

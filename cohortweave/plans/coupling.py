@@ -166,7 +166,10 @@ query("SELECT module, subjects, round(r, 5) + 0.0 AS r, round(null_mean, 5) + 0.
 
 @query(name="strength_preserving_null")
 def _strengths(spark: SparkSession, d: str) -> DataFrame:
-    """Clustering and efficiency of each year's trade graph under weights moved round cycles, strengths kept."""
-    kernel = lambda w: [(float(nw.clustering(w).mean()), nw.efficiency(w), float(np.ptp(w.sum(0))))]
-    nulls = kr.null_rows(yearly_trade(spark, d), NULLS, "clustering double, efficiency double, spread double", kernel, nw.strength_preserving, 6)
-    return nulls.groupBy("g").agg(F.avg("clustering").alias("clustering"), F.stddev_pop("clustering").alias("clustering_sd"), F.avg("efficiency").alias("efficiency"), F.avg("spread").alias("strength_range"), F.count(F.lit(1)).alias("replicates"))
+    """Radius and spread of weights of each year's trade graph, and of graphs whose weights moved round cycles with all strengths kept."""
+    g = yearly_trade(spark, d)
+    kernel = lambda w: [(float(np.linalg.eigvalsh(w)[-1]), float(w[w > 0].std()), float(np.ptp(w.sum(0))))]
+    own = kr.graph_rows(g, "radius double, spread double, strength_range double", kernel)
+    nulls = kr.null_rows(g, NULLS, "null_radius double, null_spread double, null_range double", kernel, nw.strength_preserving, 6)
+    summary = nulls.groupBy("g").agg(*(f(c).alias(c + e) for c in ("null_radius", "null_spread") for f, e in ((F.avg, ""), (F.stddev_pop, "_sd"))), F.max("null_range").alias("null_range"), F.count(F.lit(1)).alias("replicates"))
+    return own.join(summary, "g")
