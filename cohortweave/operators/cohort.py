@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortweave.functions import networks as nw
 from cohortweave.functions.ranks import average_rank
 from cohortweave.operators.graph import components
-from cohortweave.operators.kernels import graph_rows
+from cohortweave.operators.kernels import added, graph_rows, resampled_sums
+from cohortweave.session import written
 
 
 def dependent_z(r_xy: Column, r_xz: Column, r_yz: Column, n: Column) -> Column:
@@ -32,36 +38,113 @@ def distance_dependence(edges: DataFrame, places: DataFrame, value: str) -> Data
     return ranked.groupBy("all").agg(F.corr("a", "b").alias("rho"), F.count(F.lit(1)).alias("n")).select("rho", "n", (F.abs("rho") < 0.1).alias("passed"))
 
 
+def md5_signs(ids: np.ndarray, n: int) -> np.ndarray:
+    """1 or -1 for each id and replicate 1 to ``n`` by the first bit of the MD5 of ``id:replicate``; a first column of ones."""
+    heads = [hashlib.md5(f"{i}:".encode()) for i in ids]
+    tails = [str(r).encode() for r in range(1, n + 1)]
+
+    def bits(head: hashlib._Hash) -> bytes:
+        out = bytearray()
+        for t in tails:
+            h = head.copy()
+            h.update(t)
+            out.append(h.digest()[0])
+        return bytes(out)
+
+    first = np.frombuffer(b"".join(map(bits, heads)), np.uint8).reshape(len(ids), n)
+    return np.hstack([np.ones((len(ids), 1)), np.where(first < 128, 1.0, -1.0)])
+
+
 def sign_flips(df: DataFrame, value: str, n: int, *by: str) -> DataFrame:
     """``by, observed, p, replicates``: two-sided p of a mean of zero under random signs, 1 / (n + 1) at least.
 
     A row's sign in a replicate is a digit of the MD5 of its ``id`` and the replicate, so it depends on nothing
-    else; means are aggregates combined before the shuffle.
+    else.  Rows are read once and never copied: the tasks add up arrays of signed sums.  Rows without a value are
+    left out, and so are groups without any.
     """
-    obs = df.groupBy(*by).agg(F.avg(value).alias("observed"))
-    digit = F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.col("replicate").cast("string"))), 1, 1)
-    flipped = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("s", F.when(digit < "8", F.col(value)).otherwise(-F.col(value)))
-    null = flipped.groupBy(*by, "replicate").agg(F.avg("s").alias("m")).join(obs, list(by))
-    hits = F.sum((F.abs("m") >= F.abs("observed") - 1e-12).cast("int"))
-    return null.groupBy(*by, "observed").agg(F.greatest(hits / n, F.lit(1 / (n + 1))).alias("p"), F.count(F.lit(1)).alias("replicates"))
 
+    def p(sums: np.ndarray, counts: np.ndarray) -> tuple:
+        m = sums / counts[0]
+        return float(m[0]), max(int((np.abs(m[1:]) >= abs(m[0]) - 1e-12).sum()) / n, 1 / (n + 1)), n
+
+    rows = df.select(*by, F.col("id").cast("string").alias("id"), F.col(value).cast("double").alias("v")).filter("v is not null")
+    parts = resampled_sums(rows, list(by), n + 1, lambda ids: md5_signs(ids, n))
+    return added(parts, list(by), "observed double, p double, replicates long", p)
 
-def label_permutations(subjects: DataFrame, n: int) -> DataFrame:
-    """``replicate, subject, first``: replicate 0 as it is, in the others as many subjects in the first group by the order of an MD5."""
-    size = subjects.agg(F.sum(F.col("first").cast("int")).alias("n1"))
-    work = subjects.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n)))).join(F.broadcast(size), how="cross")
-    order = F.md5(F.concat_ws(":", F.col("subject").cast("string"), F.col("replicate").cast("string")))
-    place = F.row_number().over(Window.partitionBy("replicate").orderBy(order))
-    return work.select("replicate", "subject", F.when(F.col("replicate") == 0, F.col("first")).otherwise(place <= F.col("n1")).alias("first"))
 
+#: Replicates whose labels share one word a subject.
+WORD = 64
 
-def edge_t(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Welch t of each pair in each replicate; pairs without any spread have 0."""
-    x = edges.join(F.broadcast(labels) if labels.isStreaming else labels, "subject")
-    w1, w2 = F.when(F.col("first"), F.col("w")), F.when(~F.col("first"), F.col("w"))
-    s = x.groupBy("replicate", "i", "j").agg(*[f(w).alias(f"{k}{g}") for g, w in ((1, w1), (2, w2)) for k, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
-    t = (F.col("m1") - F.col("m2")) / F.nullif(F.sqrt(F.col("v1") / F.col("n1") + F.col("v2") / F.col("n2")), F.lit(0.0))
-    return s.select("replicate", "i", "j", F.coalesce(t, F.lit(0.0)).alias("t"))
+
+def label_words(subjects: DataFrame, n: int) -> DataFrame:
+    """``chunk, words``: a row for each `WORD` replicates of 0 to ``n``; bit r of a subject's word is its label in replicate 64 chunk + r.
+
+    Replicate 0 has the labels as they are; in the others as many subjects are in the first group, by the order of the MD5 of
+    subject and replicate.  ``subjects`` has ``subjects``, one row of ``(subject, first)`` in order: 8 bytes a subject a row come out.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            out = []
+            for chunk, ids, first in zip(t["chunk"], t["ids"], t["first"], strict=True):
+                own = np.asarray(first, bool)
+                words = np.zeros(len(own), np.uint64)
+                for r in range(WORD * chunk, min(WORD * chunk + WORD, n + 1)):
+                    dealt = np.zeros(len(own), bool)
+                    dealt[np.argsort([hashlib.md5(f"{s}:{r}".encode()).digest() for s in ids], kind="stable")[: own.sum()]] = True
+                    words |= (own if r == 0 else dealt).astype(np.uint64) << np.uint64(r % WORD)
+                out.append((chunk, words.view(np.int64)))
+            yield pd.DataFrame(out, columns=["chunk", "words"])
+
+    tasks = int(subjects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = F.transform("subjects", lambda s: s["subject"].cast("string")).alias("ids")
+    work = subjects.select(ids, F.col("subjects.first").alias("first"), F.explode(F.sequence(F.lit(0), F.lit(n // WORD))).alias("chunk"))
+    return work.repartition(tasks, "chunk").mapInPandas(run, "chunk int, words array<long>")
+
+
+def welch_under(w: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Welch t of values (subjects) for each row of labels (replicates, subjects); 0 where a group has under two values or neither any spread.
+
+    Sums are of values less their mean; a variance under 1e-12 of the mean square counts as none.
+    """
+    x = w - w.mean()
+    n1 = first.sum(1).astype(float)
+    n2 = len(x) - n1
+    s1, q1 = first @ x, first @ (x * x)
+    s2, q2 = x.sum() - s1, (x * x).sum() - q1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        v1, v2 = (q1 - s1 * s1 / n1) / (n1 - 1), (q2 - s2 * s2 / n2) / (n2 - 1)
+        floor = 1e-12 * (x * x).mean()
+        v1, v2 = np.where(v1 > floor, v1, 0.0), np.where(v2 > floor, v2, 0.0)
+        t = (s1 / n1 - s2 / n2) / np.sqrt(v1 / n1 + v2 / n2)
+    return np.where((n1 > 1) & (n2 > 1) & (v1 + v2 > 0), t, 0.0)
+
+
+def strong_pairs(edges: DataFrame, subjects: DataFrame, threshold: float, n: int) -> DataFrame:
+    """``replicate, i, j, t``: the pairs with |Welch t| over the threshold under the labels (0) and ``n`` permutations of them.
+
+    A pair is one packed row of its subjects' values; it meets rows of 64 replicates' labels, so it is copied n / 64 times, not n times,
+    and only strong pairs come out.  Pairs and labels hold 8 bytes a subject: the cohort must fit a row, the pairs need not.
+    """
+    packed = subjects.groupBy().agg(F.array_sort(F.collect_list(F.struct("subject", "first"))).alias("subjects"))
+    place = packed.select(F.posexplode("subjects").alias("at", "s")).select("at", "s.subject")
+    x = edges.filter("w is not null").join(place, "subject").groupBy("i", "j").agg(F.array_sort(F.collect_list(F.struct("at", F.col("w").cast("double").alias("w")))).alias("s"))
+    copies = x.select("i", "j", F.col("s.at").alias("at"), F.col("s.w").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(n // WORD))).alias("chunk"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, j, at, w, chunk, words in zip(b["i"], b["j"], b["at"], b["w"], b["chunk"], b["words"], strict=True):
+                count = min(WORD, n + 1 - WORD * chunk)
+                own = np.asarray(words, np.int64).view(np.uint64)[np.asarray(at)]
+                t = welch_under(np.asarray(w, float), ((own >> np.arange(count, dtype=np.uint64)[:, None]) & np.uint64(1)).astype(float))
+                out += [(WORD * chunk + int(r), i, j, float(t[r])) for r in np.flatnonzero(np.abs(t) > threshold)]
+            yield pd.DataFrame(out, columns=["replicate", "i", "j", "t"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = copies.join(label_words(packed, n), "chunk").repartition(tasks, "i", "j", "chunk")
+    return both.mapInPandas(run, f"replicate int, i {kinds['i']}, j {kinds['j']}, t double")
 
 
 def nbs(edges: DataFrame, subjects: DataFrame, threshold: float, n: int) -> DataFrame:
@@ -70,8 +153,7 @@ def nbs(edges: DataFrame, subjects: DataFrame, threshold: float, n: int) -> Data
     p is the share of ``n`` label permutations whose largest part has as many edges.  ``edges`` has ``subject, i, j, w``,
     ``subjects`` has ``subject, first``.  Permuted graphs are one packed row each; the observed one is a distributed search.
     """
-    t = edge_t(edges, label_permutations(subjects, n)).filter(F.abs("t") > threshold)
-    strong = t.select(F.col("replicate").alias("g"), "i", "j", F.abs("t").alias("w"))
+    strong = written(strong_pairs(edges, subjects, threshold, n)).select(F.col("replicate").alias("g"), "i", "j", F.abs("t").alias("w"))
     largest = graph_rows(strong.filter("g > 0"), "largest long", lambda w: [(nw.largest_part(w),)]).groupBy("largest").agg(F.count(F.lit(1)).alias("k"))
     own = strong.filter("g = 0")
     found = own.join(components(own).withColumnRenamed("node", "i"), ["g", "i"]).groupBy("component").agg(F.count(F.lit(1)).alias("edges"), F.sum("w").alias("total_t"))

@@ -173,10 +173,10 @@ def poisson_counts(ids: np.ndarray, n: int, salt: int) -> np.ndarray:
     return np.searchsorted(_POISSON, (x >> np.uint64(11)) / float(1 << 53), "right").astype(np.uint8)
 
 
-def poisson_sums(rows: DataFrame, keys: list[str], n: int, salt: int) -> DataFrame:
-    """``keys, sums, counts``: for each key arrays of ``n`` resampled sums of ``v`` and row counts, partly added up by the tasks.
+def resampled_sums(rows: DataFrame, keys: list[str], n: int, weights: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``keys, sums, counts``: for each key arrays of ``n`` weighted sums of ``v`` and sums of weights, partly added up by the tasks.
 
-    ``rows`` has the keys, ``id`` (long) and ``v``: each is read once and never copied.
+    ``rows`` has the keys, ``id`` and ``v``; ``weights`` maps ids to (rows, ``n``).  Each row is read once and never copied.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,7 +191,7 @@ def poisson_sums(rows: DataFrame, keys: list[str], n: int, salt: int) -> DataFra
             for k, part in b.groupby(keys, dropna=False):
                 sums, counts = held.setdefault(k, [np.zeros(n), np.zeros(n)])
                 for s in range(0, len(part), 256):
-                    c = poisson_counts(part["id"].to_numpy()[s : s + 256], n, salt)
+                    c = weights(part["id"].to_numpy()[s : s + 256])
                     sums += part["v"].to_numpy(float)[s : s + 256] @ c
                     counts += c.sum(0)
             if len(held) > 4096:
@@ -203,7 +203,12 @@ def poisson_sums(rows: DataFrame, keys: list[str], n: int, salt: int) -> DataFra
     return rows.select(*keys, "id", "v").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", sums array<double>, counts array<double>")
 
 
-def _added(parts: DataFrame, keys: list[str], schema: str, summary: Callable[[np.ndarray, np.ndarray], tuple]) -> DataFrame:
+def poisson_sums(rows: DataFrame, keys: list[str], n: int, salt: int) -> DataFrame:
+    """`resampled_sums` by Poisson counts of the rows' ids (long)."""
+    return resampled_sums(rows, keys, n, lambda ids: poisson_counts(ids, n, salt))
+
+
+def added(parts: DataFrame, keys: list[str], schema: str, summary: Callable[[np.ndarray, np.ndarray], tuple]) -> DataFrame:
     """The summary of each key's added arrays; a key has one part a task at most."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -223,7 +228,7 @@ def bootstrap_means(df: DataFrame, value: str, n: int, *by: str, level: float =
         return float(m.mean()), float(np.quantile(m, tail)), float(np.quantile(m, 1 - tail)), len(sums)
 
     rows = df.select(*by, F.xxhash64("id").alias("id"), F.col(value).cast("double").alias("v")).filter("v is not null")
-    return _added(poisson_sums(rows, list(by), n, 9), list(by), "mean_m double, low double, high double, replicates long", summary)
+    return added(poisson_sums(rows, list(by), n, 9), list(by), "mean_m double, low double, high double, replicates long", summary)
 
 
 def tractogram_bootstrap(lines: DataFrame, n: int) -> DataFrame:
@@ -239,7 +244,7 @@ def tractogram_bootstrap(lines: DataFrame, n: int) -> DataFrame:
         return p, mean, sd, float(np.quantile(s, 0.025)), float(np.quantile(s, 0.975)), cv, kind
 
     x = lines.filter("a > 0 and b > 0 and a <> b").select("id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("w").cast("double").alias("v"))
-    return _added(poisson_sums(x, ["a", "b"], n, 13), ["a", "b"], "presence double, mean_w double, sd_w double, low double, high double, cv double, edge_class string", summary)
+    return added(poisson_sums(x, ["a", "b"], n, 13), ["a", "b"], "presence double, mean_w double, sd_w double, low double, high double, cv double, edge_class string", summary)
 
 
 def virtual_lesions(edges: DataFrame) -> DataFrame:

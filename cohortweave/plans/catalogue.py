@@ -39,14 +39,14 @@ def query(sql: str | None = None, ctes: str = "", name: str = ""):  # noqa: ANN2
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All registered queries."""
-    from cohortweave.plans import coupling, extended, kernels, models, more  # noqa: F401  register their own
+    from cohortweave.plans import bayes, coupling, extended, kernels, models, more  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """The SQL of those that have one."""
-    from cohortweave.plans import coupling, extended, kernels, models, more  # noqa: F401  register their own
+    from cohortweave.plans import bayes, coupling, extended, kernels, models, more  # noqa: F401  register their own
 
     return dict(_SQL)
 
