@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortweave.session import written
+
 #: Points of the quadrature over the logarithm of the residual deviation.
 POINTS = 401
 
@@ -43,20 +45,21 @@ def linear(df: DataFrame, y: str, x: str, *by: str, scale: float = 2.0) -> DataF
     return m.select(*by, "n", "alpha", sd("aa", "alpha").alias("alpha_sd"), "beta", sd("bb", "beta").alias("beta_sd"), "sigma", sd("ss", "sigma").alias("sigma_sd"))
 
 
-def _slice(log: Callable[[float], float], at: float, rng: np.random.Generator, width: float = 1.0) -> float:
-    """One step of slice sampling: the interval steps out to both sides, then shrinks to the point."""
-    level = log(at) + np.log(rng.random())
-    low = at - width * rng.random()
-    high = low + width
-    while log(low) > level:
-        low -= width
-    while log(high) > level:
-        high += width
-    while True:
-        new = low + (high - low) * rng.random()
-        if log(new) > level:
-            return new
-        low, high = (new, high) if new < at else (low, new)
+def _slices(log: Callable[[np.ndarray], np.ndarray], at: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """One step of slice sampling for each of independent values: intervals step out to both sides, then shrink to the point."""
+    level = log(at) + np.log(rng.random(len(at)))
+    low = at - rng.random(len(at))
+    high = low + 1
+    while (out := log(low) > level).any():
+        low = low - out
+    while (out := log(high) > level).any():
+        high = high + out
+    new, left = at, np.ones(len(at), bool)
+    while left.any():
+        new = np.where(left, low + (high - low) * rng.random(len(at)), new)
+        left &= log(new) <= level
+        low, high = np.where(left & (new < at), new, low), np.where(left & (new >= at), new, high)
+    return new
 
 
 def gibbs(cells: pd.DataFrame, draws: int, tune: int, seed: int, fixed: tuple[float, float, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -78,34 +81,41 @@ def gibbs(cells: pd.DataFrame, draws: int, tune: int, seed: int, fixed: tuple[fl
     rows, own, spread = n.sum(), by_s(n), by_p(sxx)
     a, b, m = np.zeros(len(subjects)), np.zeros(len(places)), np.zeros(len(groups))
     noise, sa, sb = fixed or (1.0, 0.5, 0.25)
-    log_sb, members = np.full(len(groups), np.log(sb)), [np.flatnonzero(g == k) for k in range(len(groups))]
+    log_sb = np.full(len(groups), np.log(sb))
+    # places by group, one row a group; a place that fills a row up has no spread and adds a constant
+    order = np.argsort(g, kind="stable")
+    size = np.bincount(g, minlength=len(groups))
+    slot = (g[order], np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size))
+    shape = (len(groups), int(size.max()))
+    z, c = np.zeros(shape), np.zeros(shape)
+    z[slot] = by_p(sxx)[order]
+    inverse = 1 / np.where(z > 0, z, 1.0)
     out = np.empty((draws, len(groups)))
     for it in range(tune + draws):
         weight = own / noise**2 + 1 / sa**2
         a = by_s(sy - b[p] * sx) / noise**2 / weight + rng.standard_normal(len(a)) / np.sqrt(weight)
         cross = by_p(sxy - a[s] * sx)
-        for k, at in enumerate(members):
-            z, c = spread[at], cross[at]
-
-            def pooled(u: float, z: np.ndarray = z, c: np.ndarray = c) -> tuple[float, float, np.ndarray]:
-                v = np.exp(2 * u) * z + noise**2
-                return 1 + (z / v).sum(), (c / v).sum(), v
-
-            def log(u: float, z: np.ndarray = z, c: np.ndarray = c, pooled: Callable = pooled) -> float:
-                weight, total, v = pooled(u)
-                square = (c * c / (np.where(z > 0, z, 1.0) * v)).sum()
-                return u - np.exp(2 * u) / 0.5 - 0.5 * (np.log(v).sum() + np.log(weight) + square - total * total / weight)
-
-            if not fixed:
-                log_sb[k] = _slice(log, log_sb[k], rng)
-            weight, total, _ = pooled(log_sb[k])
-            m[k] = total / weight + rng.standard_normal() / np.sqrt(weight)
+        c[slot] = cross[order]
+        square, floor = c * c * inverse, noise**2
+
+        def pooled(u: np.ndarray, floor: float = floor) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            v = np.exp(2 * u)[:, None] * z + floor
+            return 1 + (z / v).sum(1), (c / v).sum(1), v
+
+        def log(u: np.ndarray, square: np.ndarray = square, pooled: Callable = pooled) -> np.ndarray:
+            weight, total, v = pooled(u)
+            return u - 2 * np.exp(2 * u) - 0.5 * (np.log(v).sum(1) + np.log(weight) + (square / v).sum(1) - total * total / weight)
+
+        if not fixed:
+            log_sb = _slices(log, log_sb, rng)
+        weight, total, _ = pooled(log_sb)
+        m = total / weight + rng.standard_normal(len(m)) / np.sqrt(weight)
         tight = np.exp(-2 * log_sb)[g]
         weight = spread / noise**2 + tight
         b = (cross / noise**2 + m[g] * tight) / weight + rng.standard_normal(len(b)) / np.sqrt(weight)
         if not fixed:
-            square = float(a @ a)
-            sa = float(np.exp(_slice(lambda u, q=square: u - len(a) * u - q * np.exp(-2 * u) / 2 - np.exp(2 * u) / 2, np.log(sa), rng)))
+            q = float(a @ a)
+            sa = float(np.exp(_slices(lambda u, q=q: u - len(a) * u - q * np.exp(-2 * u) / 2 - np.exp(2 * u) / 2, np.array([np.log(sa)]), rng)[0]))
             rest = (syy - 2 * a[s] * sy - 2 * b[p] * sxy + n * a[s] ** 2 + 2 * a[s] * b[p] * sx + b[p] ** 2 * sxx).sum()
             mixed = (1 + 1 / noise**2) / rng.gamma(1.0)  # the half-Cauchy as a mixture of inverse gammas
             noise = float(np.sqrt((max(rest, 0.0) / 2 + 1 / mixed) / rng.gamma((rows + 1) / 2)))
@@ -119,7 +129,8 @@ def chains(df: DataFrame, key: str, subject: str, place: str, grp: str, y: str,
 
     Rows become sums of a subject and place before anything is packed; a model is one packed row of those, so its size
     is that of the design, not of the rows.  Each chain is a row with a seed from its key and number alone.
-    Rows with a null in any of these columns are left out; a place belongs to one group (the least of several).
+    Rows with a null in any of these columns are left out; a place belongs to one group (the least of several).  The draws
+    are a written table, as summaries read them several times.
     """
     cols = {"key": key, "subject": subject, "place": place, "grp": grp}
     rows = df.select(*(F.col(c).alias(k) for k, c in cols.items()), F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x")).dropna()
@@ -138,7 +149,7 @@ def chains(df: DataFrame, key: str, subject: str, place: str, grp: str, y: str,
                 yield pd.DataFrame({"key": np.repeat(k, m.size), "grp": np.tile(groups, draws), "chain": chain, "draw": np.repeat(np.arange(draws), len(groups)), "m": m.ravel()})
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return work.mapInPandas(run, f"key {kinds['key']}, grp {kinds['grp']}, chain int, draw int, m double")
+    return written(work.mapInPandas(run, f"key {kinds['key']}, grp {kinds['grp']}, chain int, draw int, m double"))
 
 
 def interval(df: DataFrame, value: str, *by: str, level: float = 0.94) -> DataFrame:
