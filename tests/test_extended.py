@@ -203,3 +203,35 @@ def test_windowed_activity(spark, tmp_path):
     q.awaitTermination()
     got = {(str(r["start"])[11:13], r["roi"]): (r["n"], r["v"]) for r in spark.table("windows").collect()}
     assert got == {("00", "a"): (2, 3.0), ("01", "a"): (1, 4.0), ("00", "b"): (1, 8.0)}
+
+
+def test_strong_pairs_over_several_words_of_labels_against_a_loop(spark):
+    rng, reps = np.random.default_rng(17), 150
+    rows = [(f"s{s}", i, i + 1, None if (s, i) == (3, 2) else 1.0 if i == 4 else float(rng.normal() + (1.5 if s < 5 and i < 2 else 0))) for s in range(11) for i in range(5)]
+    df = spark.createDataFrame([*rows, ("unknown", 0, 1, 99.0)], "subject string, i int, j int, w double")
+    subjects = spark.createDataFrame([(f"s{s}", s < 5) for s in range(11)], "subject string, first boolean")
+    got = {(r["replicate"], r["i"]): r["t"] for r in co.strong_pairs(df, subjects, 1.0, reps).collect()}
+    want = {}
+    for r in range(reps + 1):
+        ids = [f"s{s}" for s in range(11)]
+        first = set(ids[:5] if r == 0 else sorted(ids, key=lambda s: hashlib.md5(f"{s}:{r}".encode()).hexdigest())[:5])
+        for i in range(5):
+            a, b = ([w for s, p, _, w in rows if p == i and w is not None and (s in first) == side] for side in (True, False))
+            spread = np.var(a, ddof=1) / len(a) + np.var(b, ddof=1) / len(b)
+            t = (np.mean(a) - np.mean(b)) / np.sqrt(spread) if spread else 0.0
+            if abs(t) > 1.0:
+                want[(r, i)] = t
+    assert got == pytest.approx(want) and max(r for r, _ in got) > 128
+
+
+def test_sign_flips_against_a_loop(spark):
+    rng, n = np.random.default_rng(18), 500
+    rows = [(k, "a" if k % 2 else "b", float(rng.normal() + 0.4)) for k in range(20)] + [(50, "a", None), (51, "none", None)]
+    got = {r["g"]: r for r in co.sign_flips(spark.createDataFrame(rows, "id int, g string, v double"), "v", n, "g").collect()}
+    assert set(got) == {"a", "b"}
+    for g in "ab":
+        own = [(k, v) for k, x, v in rows if x == g and v is not None]
+        observed = np.mean([v for _, v in own])
+        null = [np.mean([v if hashlib.md5(f"{k}:{r}".encode()).hexdigest()[0] < "8" else -v for k, v in own]) for r in range(1, n + 1)]
+        assert got[g]["observed"] == pytest.approx(observed)
+        assert got[g]["p"] == pytest.approx(max(np.mean(np.abs(null) >= abs(observed) - 1e-12), 1 / (n + 1)))
