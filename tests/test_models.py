@@ -44,6 +44,29 @@ def test_features_keep_surfaces_apart(spark):
     assert got == {("l", k): near[k].sum() for k in range(60)} | {("r", k): near[k, :30].sum() for k in range(30)}
 
 
+def test_neighbours_meet_in_blocks_and_not_by_rows_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(su, "BLOCK", 50)  # the lattice has many distances equal to a radius, and one small cell holds 200 points
+    rng = np.random.default_rng(5)
+    xyz = np.r_[np.stack(np.meshgrid(*[np.arange(11) / 10 - 0.5] * 3), -1).reshape(-1, 3), np.round(0.31 + rng.random((200, 3)) * 0.01, 6), [[np.nan, 0, 0], [0, np.inf, 0]]]
+    df = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(xyz)], "id long, x double, y double, z double").repartition(3)
+    radii = [0.3, 0.5]
+    sizes = [r["count"] for r in su.blocks(df, 0.5).groupBy("cx", "cy", "cz", "block", "part").count().collect()]
+    assert max(sizes) <= 120 and sum(sizes) == len(xyz) - 2
+    sums = su.radius_sums(df, radii)
+    assert "MapInPandas" in sums._jdf.queryExecution().optimizedPlan().toString()
+    with np.errstate(invalid="ignore"):
+        d = xyz[None] - xyz[:, None]
+        d2 = d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]
+    got = {(r["x"], r["y"], r["z"], r["k"]): r for r in sums.collect()}
+    assert len(got) == 2 * (len(xyz) - 2)
+    for k, r in enumerate(radii):
+        for i, p in enumerate(xyz[:-2]):
+            near, row = d[i][d2[i] <= r * r], got[(*p, k)]
+            assert row["n"] == len(near)
+            assert np.allclose([row["dx"], row["dy"], row["dz"]], near.sum(0), atol=1e-9)
+            assert np.allclose([row["dxdx"], row["dxdy"], row["dydz"], row["dzdz"]], [(near[:, a] * near[:, b]).sum() for a, b in ((0, 0), (0, 1), (1, 2), (2, 2))], atol=1e-9)
+
+
 def test_fluctuations_equal_the_kernel(spark):
     rng = np.random.default_rng(3)
     series = {("a", "x"): rng.normal(size=400), ("a", "y"): np.cumsum(rng.normal(size=400)), ("b", "x"): rng.normal(size=97), ("b", "z"): np.zeros(50)}
