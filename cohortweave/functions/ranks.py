@@ -16,20 +16,40 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
 
-def adjust_p(df: DataFrame, p: str, *by: str, method: str = "bh", tie: str = "id") -> DataFrame:
-    """``df`` with ``p_adjusted`` by ``bh``, ``by``, ``holm`` or ``bonferroni`` within ``by``; ``tie`` orders equal p."""
-    w = Window.partitionBy(*by).orderBy(p, tie)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    r = F.row_number().over(w)
-    p_ = F.col(p)
+#: Terms of the harmonic number that are added up one by one; the rest is Euler's series, then exact to 1e-14.
+_TERMS = 16
+
+
+def harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n in closed form."""
+    m = n.cast("double") + _TERMS
+    tail = F.log(m) + 0.57721566490153286 + 1 / (2 * m) - 1 / (12 * m**2) + 1 / (120 * m**4) - 1 / (252 * m**6) + 1 / (240 * m**8)
+    return tail - sum((1 / (n + k) for k in range(1, _TERMS + 1)), F.lit(0.0))
+
+
+def adjust_p(df: DataFrame, p: str, *by: str, method: str = "bh", tie: str = "id") -> DataFrame:  # noqa: ARG001
+    """``df`` with ``p_adjusted`` by ``bh``, ``by``, ``holm`` or ``bonferroni`` within ``by``.
+
+    Equal p share their adjusted value whatever the order that ``tie`` gives them, so ranks and running extremes are made over
+    counts of distinct p, and every window runs from its start: frames that reach to the end are scanned anew for each row.
+    """
     if method == "bonferroni":
-        return df.withColumn("p_adjusted", F.least(F.lit(1.0), p_ * n))
+        return df.withColumn("p_adjusted", F.least(F.lit(1.0), F.col(p) * F.count(F.lit(1)).over(Window.partitionBy(*by))))
+    keys = [f"_k{k}" for k in range(len(by))]
+    counts = df.groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_m"))
+    up = Window.partitionBy(*keys).orderBy(F.col("_p").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    last = counts.withColumn("_r", F.sum("_m").over(up)).withColumn("_n", F.sum("_m").over(Window.partitionBy(*keys)))
     if method == "holm":
-        raw = df.withColumn("_raw", p_ * (n - r + 1))
-        return raw.withColumn("p_adjusted", F.least(F.lit(1.0), F.max("_raw").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("_raw")
-    harmonic = F.sum(1.0 / F.col("_r")).over(Window.partitionBy(*by)) if method == "by" else F.lit(1.0)
-    raw = df.withColumn("_r", r).withColumn("_raw", p_ * n / F.col("_r") * harmonic)
-    return raw.withColumn("p_adjusted", F.least(F.lit(1.0), F.min("_raw").over(w.rowsBetween(0, Window.unboundedFollowing)))).drop("_raw", "_r")
+        best = F.max(F.col("_p") * (F.col("_n") - (F.col("_r") - F.col("_m")))).over(up)
+    else:
+        down = Window.partitionBy(*keys).orderBy(F.col("_p").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+        best = F.min(F.col("_p") * F.col("_n") / F.col("_r")).over(down)
+        best = best * harmonic(F.col("_n")) if method == "by" else best
+    adjusted = last.select(*keys, "_p", F.least(F.lit(1.0), best).alias("p_adjusted"))
+    same = F.col(p).eqNullSafe(F.col("_p"))
+    for c, k in zip(by, keys, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    return df.join(adjusted, same).drop(*keys, "_p")
 
 
 def magnitude(d: Column) -> Column:

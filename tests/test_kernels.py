@@ -81,6 +81,26 @@ def test_p_adjustment(spark):
     assert [round(r[0], 9) for r in ranks.adjust_p(df, "p", "g", method="holm").orderBy("id").select("p_adjusted").collect()] == [0.03, 0.06, 0.06]
 
 
+@pytest.mark.parametrize("method", ["bh", "by", "holm"])
+def test_p_adjustment_scans_no_frame_anew_for_each_row(spark, method):
+    rng = np.random.default_rng(4)
+    rows = [(k, g, None if k % 40 == 7 else float(np.round(rng.random() ** 2, 2))) for k, g in enumerate(["a"] * 300 + ["b"] * 30 + [None] * 20 + ["c"])]
+    got = ranks.adjust_p(spark.createDataFrame(rows, "id int, g string, p double").repartition(3), "p", "g", method=method)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "currentrow$(), unboundedfollowing$()" not in plan and "Cartesian" not in got._jdf.queryExecution().executedPlan().toString()
+    values = {r["id"]: r["p_adjusted"] for r in got.collect()}
+    assert len(values) == len(rows)
+    for g in ("a", "b", None, "c"):  # nulls come last, as in SQL
+        mine = sorted((x for x in rows if x[1] == g), key=lambda x: (x[2] is None, x[2] or 0, x[0]))
+        n, seen = len(mine), []
+        raw = [None if x[2] is None else x[2] * (n - k if method == "holm" else n / (k + 1)) for k, x in enumerate(mine)]
+        h = sum(1 / k for k in range(1, n + 1)) if method == "by" else 1.0
+        for k, x in enumerate(mine):
+            seen = [v for v in (raw[: k + 1] if method == "holm" else raw[k:]) if v is not None]
+            want = min(1.0, h * (max(seen) if method == "holm" else min(seen))) if seen else 1.0
+            assert values[x[0]] == pytest.approx(want, abs=1e-12)
+
+
 def test_components_and_identity(spark):
     e = spark.createDataFrame([(0, 1, 2, 1.0), (0, 2, 3, 1.0), (0, 5, 6, 1.0)], "g int, i int, j int, w double")
     assert {(r["node"], r["component"]) for r in gr.components(e).collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)}
