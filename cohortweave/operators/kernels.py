@@ -161,23 +161,40 @@ def _permuted_rows(rows: DataFrame, n: int, *by: str) -> DataFrame:
 _POISSON = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, k + 1))) for k in range(12)])
 
 
+#: The same limits for draws of 53 bits.
+_LIMITS = np.ceil(_POISSON * float(1 << 53)).astype(np.uint64)
+
+
 def poisson_counts(ids: np.ndarray, n: int, salt: int) -> np.ndarray:
     """Poisson(1) counts ``(rows, n)``: a function of a row's id and the replicate alone (a mixed counter)."""
     with np.errstate(over="ignore"):
         x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(1, n + 1, dtype=np.uint64) + np.uint64(salt << 32)) * np.uint64(0xD1B54A32D192ED03)
-        x ^= x >> np.uint64(30)
+        high = x >> np.uint64(30)
+        x ^= high
         x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(27)
+        x ^= np.right_shift(x, np.uint64(27), out=high)
         x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-    return np.searchsorted(_POISSON, (x >> np.uint64(11)) / float(1 << 53), "right").astype(np.uint8)
+        x ^= np.right_shift(x, np.uint64(31), out=high)
+    x >>= np.uint64(11)
+    out = (x >= _LIMITS[0]).view(np.uint8)
+    for limit in _LIMITS[1:3]:
+        out += (x >= limit).view(np.uint8)
+    rare = np.flatnonzero(x >= _LIMITS[3])  # one draw in fifty
+    out.reshape(-1)[rare] += np.searchsorted(_LIMITS[3:], x.reshape(-1)[rare], "right").astype(np.uint8)
+    return out
 
 
 def resampled_sums(rows: DataFrame, keys: list[str], n: int, weights: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """``keys, sums, counts``: for each key arrays of ``n`` weighted sums of ``v`` and sums of weights, partly added up by the tasks.
 
     ``rows`` has the keys, ``id`` and ``v``; ``weights`` maps ids to (rows, ``n``).  Each row is read once and never copied.
+    Rows are dealt by ranges of key and id over a stated number of tasks (small rows with long work would be put together
+    into a few), so that a task meets few keys and a large key is shared by several.
     """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    dealt = rows.select(*keys, "id", "v").repartitionByRange(tasks, *keys, "id").sortWithinPartitions(*keys)
+    step = max(8, (1 << 16) // n)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, list[np.ndarray]] = {}
@@ -190,9 +207,9 @@ def resampled_sums(rows: DataFrame, keys: list[str], n: int, weights: Callable[[
         for b in batches:
             for k, part in b.groupby(keys, dropna=False):
                 sums, counts = held.setdefault(k, [np.zeros(n), np.zeros(n)])
-                for s in range(0, len(part), 256):
-                    c = weights(part["id"].to_numpy()[s : s + 256])
-                    sums += part["v"].to_numpy(float)[s : s + 256] @ c
+                for s in range(0, len(part), step):
+                    c = weights(part["id"].to_numpy()[s : s + step])
+                    sums += part["v"].to_numpy(float)[s : s + step] @ c
                     counts += c.sum(0)
             if len(held) > 4096:
                 yield out()
@@ -200,7 +217,7 @@ def resampled_sums(rows: DataFrame, keys: list[str], n: int, weights: Callable[[
             yield out()
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.select(*keys, "id", "v").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", sums array<double>, counts array<double>")
+    return dealt.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", sums array<double>, counts array<double>")
 
 
 def poisson_sums(rows: DataFrame, keys: list[str], n: int, salt: int) -> DataFrame:

@@ -173,6 +173,24 @@ def test_resampled_sums_do_not_depend_on_partitions(spark):
     assert counts.mean() == pytest.approx(1, abs=0.01) and counts.var() == pytest.approx(1, abs=0.02)
 
 
+def test_resampling_is_dealt_over_stated_tasks_and_draws_stay(spark):
+    ids = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 300)
+    mask = (1 << 64) - 1
+
+    def draw(i, r):  # one count by plain integers
+        x = (int(i) * 0x9E3779B97F4A7C15 + (r + 1 + (13 << 32)) * 0xD1B54A32D192ED03) & mask
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return int(np.searchsorted(kr._POISSON, ((x ^ (x >> 31)) >> 11) / float(1 << 53), "right"))
+
+    counts = kr.poisson_counts(ids, 400, 13)
+    assert (counts == [[draw(i, r) for r in range(400)] for i in ids]).all() and counts.max() >= 6
+    one_task = spark.createDataFrame([(k % 5, k, float(k % 7)) for k in range(5000)], "key int, id long, v double").coalesce(1)
+    parts = kr.poisson_sums(one_task, ["key"], 50, 1)
+    spread = parts.select("key", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len({r["task"] for r in spread}) >= 8 and max(sum(r["key"] == k for r in spread) for k in range(5)) <= 8
+
+
 def test_power_law_cut_of_a_sample(spark):
     rng = np.random.default_rng(9)
     x = np.floor(4.5 * (1 - rng.random(3000)) ** (-1 / 1.5) + 0.5)
