@@ -16,15 +16,15 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
 
-#: Terms of the harmonic number that are added up one by one; the rest is Euler's series, then exact to 1e-14.
-_TERMS = 16
+#: Harmonic numbers of up to so many terms are added up in order, as SQL does, so that small groups round alike.
+_TERMS = 100
 
 
 def harmonic(n: Column) -> Column:
-    """1 + 1/2 + ... + 1/n in closed form."""
-    m = n.cast("double") + _TERMS
-    tail = F.log(m) + 0.57721566490153286 + 1 / (2 * m) - 1 / (12 * m**2) + 1 / (120 * m**4) - 1 / (252 * m**6) + 1 / (240 * m**8)
-    return tail - sum((1 / (n + k) for k in range(1, _TERMS + 1)), F.lit(0.0))
+    """1 + 1/2 + ... + 1/n, beyond ``_TERMS`` by Euler's series to the precision of a double."""
+    x = n.cast("double")
+    few = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(_TERMS)).cast("int")), F.lit(0.0), lambda s, k: s + 1.0 / k)
+    return F.when(n <= _TERMS, few).otherwise(F.log(x) + 0.57721566490153286 + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6))
 
 
 def adjust_p(df: DataFrame, p: str, *by: str, method: str = "bh", tie: str = "id") -> DataFrame:  # noqa: ARG001
